@@ -1,6 +1,522 @@
-"""All registered queries of the pair engine and their DuckDB twins."""
+"""All registered queries of the pair engine and their DuckDB twins.
+
+The tables at hand stand in for pair tables: line items are observed pairs, classed by
+return flag and line status; the first three numbers of an embedding are a point.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rangeloom.functions import scalars
+from rangeloom.functions.ranges import NumRange
+from rangeloom.operators import boundaries, compare, dedupe, filters, matching, spatial, stats
+from rangeloom.plans import codec
+
+OBS = """select l_orderkey as pid, l_partkey as k1, l_suppkey as k2, l_linenumber as k3, l_returnflag as family, l_linestatus as variant,
+  l_quantity as hb_0, round(l_discount * 100) as hb_1, nullif(round(l_tax * 100), 4) as hb_2, l_quantity * cast(7.2 as double) - 180 as angle,
+  l_discount < 0.05 as quality from lineitem"""
+CLASS = ["family", "variant"]
+ROW = ["pid", "k1", "k2", "k3"]
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation view."""
+    c = F.col
+    return t(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("pid"), c("l_partkey").alias("k1"), c("l_suppkey").alias("k2"), c("l_linenumber").alias("k3"), c("l_returnflag").alias("family"), c("l_linestatus").alias("variant"),
+        c("l_quantity").alias("hb_0"), F.round(c("l_discount") * 100).alias("hb_1"), F.nullif(F.round(c("l_tax") * 100), F.lit(4.0)).alias("hb_2"),
+        (c("l_quantity") * 7.2 - 180).alias("angle"), (c("l_discount") < 0.05).alias("quality"),
+    )
+
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            text = sql.strip()
+            more = ", " + text.removeprefix("with ").removeprefix(", ") if text.startswith(("with ", ",")) else " " + text
+            ORACLES[f.__name__] = f"with obs as ({OBS}){more}" if " obs" in sql else sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+# --- filters -----------------------------------------------------------------------------
+
+URL = "A-F/hb0_L=..40&range_angle=90..-90&range_hb_0=5..40"
+
+
+@query("""select family, cast(decile as bigint) as decile, cast(grouping(family) * 2 + grouping(decile) as bigint) as grouping_set, count(*) as count
+  from (select *, pid % 10 as decile from obs where hb_0 between 5 and 40 and angle not between -90 and 90) group by grouping sets ((), (family), (decile))""")
+def range_filter_group_sets(spark, d):
+    f = filters.PairFilter({"hb_0": NumRange(5, 40), "angle": NumRange(90, -90)})
+    return compare.group_sets(f.apply(obs(spark, d)), [[], ["family"], ["decile"]], {"decile": "pid % 10"})
+
+
+LIMITS = [
+    ("A", "f", 5.0, 40.0, 100.0, -100.0, None, 8.0),
+    ("n", "O", 10.0, None, -90.0, 90.0, 1.0, None),
+    ("N", "F", None, 30.0, None, None, 0.0, 4.0),
+    ("R", "F", 1.0, 50.0, 150.0, -150.0, 2.0, 7.0),
+    ("A", "O", None, None, None, None, None, None),
+]
+LIMIT_COLUMNS = "family string, variant string, hb_0_min double, hb_0_max double, angle_min double, angle_max double, hb_2_min double, hb_2_max double"
+LIMIT_VALUES = ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" if isinstance(v, str) else f"cast({v} as double)" for v in row) + ")" for row in LIMITS)
+
+
+def limits(spark):
+    return spark.createDataFrame(LIMITS, LIMIT_COLUMNS)
+
+
+def limit_sql(null_is_fine: bool) -> str:
+    one = "case when b.{p}_min is null and b.{p}_max is null then true when b.{p}_min > b.{p}_max then o.{p} not between b.{p}_max - 0.01 and b.{p}_min + 0.01 else (b.{p}_min is null or o.{p} >= b.{p}_min - 0.01) and (b.{p}_max is null or o.{p} <= b.{p}_max + 0.01) end"
+    null = "or o.{p} is null" if null_is_fine else ""
+    return " and ".join(f"(coalesce({one.format(p=p)}, false) {null.format(p=p)})" for p in ("hb_0", "angle", "hb_2"))
+
+
+BOUNDS = f"b as (select * from (values {LIMIT_VALUES}) v({', '.join(c.split()[0] for c in LIMIT_COLUMNS.split(', '))}) where coalesce(hb_0_min, hb_0_max, angle_min, angle_max, hb_2_min, hb_2_max) is not null)"
+BOUND_JOIN = "b on upper(o.family) = upper(b.family) and upper(o.variant) = upper(b.variant)"
+ORACLES["boundary_filter_strict"] = f"with obs as ({OBS}), {BOUNDS} select o.* from obs o join {BOUND_JOIN} where {limit_sql(False)}"
+ORACLES["boundary_filter_null_fine"] = f"with obs as ({OBS}), {BOUNDS} select o.* from obs o join {BOUND_JOIN} where {limit_sql(True)}"
+ORACLES["boundary_filter_accepted"] = f"with obs as ({OBS}), {BOUNDS} select o.*, coalesce(b.family is not null and {limit_sql(False)}, false) as accepted from obs o left join {BOUND_JOIN}"
+
+
+def bounded(spark, d, **options):
+    return boundaries.apply_boundaries(obs(spark, d), limits(spark), {p: F.col(p) for p in ("hb_0", "angle", "hb_2")}, **options)
+
+
+@query()
+def boundary_filter_strict(spark, d):
+    return bounded(spark, d)
+
+
+@query()
+def boundary_filter_null_fine(spark, d):
+    return bounded(spark, d, null_is_fine=True)
+
+
+@query()
+def boundary_filter_accepted(spark, d):
+    return bounded(spark, d, accepted="accepted")
+
+
+FORMS = {"hb_0": NumRange(10, 30), "hb_1": NumRange(3, 3), "hb_2": NumRange(None, 5), "angle": NumRange(120, -120)}
+
+
+@query("""select pid, k1, k2, k3, hb_0, hb_1, hb_2, angle, hb_0 between 10 and 30 as hb_0_in_range, hb_1 = 3 as hb_1_in_range,
+  case when hb_2 is not null then hb_2 <= 5 end as hb_2_in_range, angle not between -120 and 120 as angle_in_range from obs""")
+def range_condition_forms(spark, d):
+    return filters.limits_verdict(obs(spark, d).select(*ROW, *FORMS), FORMS)
+
+
+@query("""select pid, k1, k2, k3, least(hb_0, hb_1, hb_2) as min_bond, round((hb_0 - 4) + coalesce(hb_1 - 4, 0) + coalesce(hb_2 - 4, 0) + angle / 100, 4) as score
+  from obs where least(hb_0, hb_1, hb_2) <= 2 and abs(angle) < 150""")
+def min_bond_any(spark, d):
+    df = obs(spark, d).where((scalars.row_min("hb_0", "hb_1", "hb_2") <= 2) & (F.abs("angle") < 150)).withColumn("shift", F.col("angle") / 100)
+    return rounded(df.select(*ROW, scalars.row_min("hb_0", "hb_1", "hb_2").alias("min_bond"), dedupe.conflict_score(["hb_0", "hb_1", "hb_2"], ["shift"]).alias("score")))
+
+
+@query("""select case when p_type like 'D%' or p_brand like 'D%' then 'dna' when p_type like 'P%' then 'p' else 'other' end as kind, count(*) as n, count(*) filter (not p_type like 'D%' or not p_brand like 'D%') as rna
+  from part group by 1""")
+def dna_rna_like(spark, d):
+    a, b = scalars.is_dna("p_type"), scalars.is_dna("p_brand")
+    kind = F.when(a | b, "dna").when(F.col("p_type").startswith("P"), "p").otherwise("other")
+    return t(spark, d, "part").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count(F.when(~a | ~b, 1)).alias("rna"))
+
+
+CODES = "case cast(s_suppkey % 4 as int) when 0 then '' when 1 then '?' when 2 then ' ' else 'b ' end"
+
+
+@query(f"""select s_suppkey, lower(s_name) as pdbid, case when trim({CODES}) in ('', '?') then null else trim({CODES}) end as ins,
+  lower(s_name) || '-1-' || cast(s_nationkey as varchar) || '_' || coalesce(case when trim({CODES}) in ('', '?') then null else trim({CODES}) end, '') || '1' || '-A_2' as pairid from supplier""")
+def identity_normalise(spark, d):
+    code = F.expr(CODES)
+    s = t(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.lower("s_name").alias("pdbid"), scalars.null_if_blank(code).alias("ins"))
+    empty = F.lit(None).cast("string")
+    return s.select("s_suppkey", "pdbid", "ins", scalars.pair_id(F.col("pdbid"), F.lit(1), [(F.col("s_nationkey"), F.col("ins"), F.lit(1), empty), (F.lit("A"), empty, F.lit(2), empty)]).alias("pairid"))
+
+
+@query("select * from obs where pid = (select max(o_orderkey) % 7 + 2 from orders) and k3 is not distinct from 1 order by k1, k2 limit 1")
+def point_lookup(spark, d):
+    key = t(spark, d, "orders").agg(F.max("o_orderkey") % 7 + 2).first()[0]
+    o = obs(spark, d).where((F.col("pid") == key) & F.col("k3").eqNullSafe(1))
+    return o.orderBy("k1", "k2").limit(1)
+
+
+@query("""select p_brand, family, count(*) as n from part cross join (values ('cWW'), ('tWW'), ('cWH'), ('tWH')) f(family) group by 1, 2""")
+def family_candidates(spark, d):
+    fam = spark.createDataFrame([("cWW",), ("tWW",), ("cWH",), ("tWH",)], "family string")
+    return dedupe.family_candidates(t(spark, d, "part"), fam).groupBy("p_brand", "family").agg(F.count("*").alias("n"))
+
+
+# --- joins, mirrored pairs ---------------------------------------------------------------
+
+EDGES = """select distinct s_nationkey as a, c_nationkey as b, case when s_nationkey % 2 = 0 then 'cWH' else 'cHW' end as family from supplier join customer on s_suppkey % 50 = c_custkey % 50"""
+
+
+@query(f"""with e as ({EDGES}) select a, b, family from (select *, row_number() over (partition by
+  least(concat(lpad(cast(a as varchar), 3, '0'), lpad(cast(b as varchar), 3, '0'), family), concat(lpad(cast(b as varchar), 3, '0'), lpad(cast(a as varchar), 3, '0'), family[1] || family[3] || family[2]))
+  order by a, b, family) as n from e) where n = 1""")
+def mirror_dedupe(spark, d):
+    s, c = t(spark, d, "supplier"), t(spark, d, "customer")
+    e = s.join(c, s.s_suppkey % 50 == c.c_custkey % 50).select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"), F.when(F.col("s_nationkey") % 2 == 0, "cWH").otherwise("cHW").alias("family")).distinct()
+    return dedupe.drop_mirrored(e, ["a"], ["b"], "family", F.regexp_replace("family", "^(.)(.)(.)$", "$1$3$2"), [F.col("a"), F.col("b"), F.col("family")])
+
+
+@query("""select family, variant, count(*) as n, count(*) filter (p) as in_part, count(*) filter (s) as in_supplier,
+  count(*) filter (not p and s) as only_supplier from (select o.*, k1 in (select p_partkey from part where p_size < 10) as p, k2 in (select s_suppkey from supplier where s_acctbal > 0) as s from obs o) group by 1, 2""")
+def membership_label(spark, d):
+    p = t(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("k"))
+    s = t(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k"))
+    o = dedupe.membership(dedupe.membership(obs(spark, d), {"p": p}, [["k1"]]), {"s": s}, [["k2"]])
+    n = lambda c: F.count(F.when(c, 1))
+    return o.groupBy(*CLASS).agg(F.count("*").alias("n"), n(F.col("p")).alias("in_part"), n(F.col("s")).alias("in_supplier"), n(~F.col("p") & F.col("s")).alias("only_supplier"))
+
+
+@query("""select pid, k1, k2, k3, hb_2, n = 1 as accepted from (select *, row_number() over (partition by pid, family order by hb_0, k1, k2, k3) as n from obs)""")
+def accepted_join_back(spark, d):
+    order = [F.col("hb_0"), F.col("k1"), F.col("k2"), F.col("k3")]
+    return dedupe.mark_best(obs(spark, d), ["pid", "family"], order).select(*ROW, "hb_2", "accepted")
+
+
+@query("""with k as (select pid, k1, k2, k3 from (select *, row_number() over (partition by pid order by hb_1, k1, k2, k3) n from obs where hb_0 > 10) where n = 1)
+  select o.family, count(*) as n, count(*) filter (k.pid is not null) as accepted from obs o left join k using (pid, k1, k2, k3) group by 1""")
+def best_row_per_structure(spark, d):
+    o = obs(spark, d)
+    best = dedupe.best_per_key(o.where("hb_0 > 10"), ["pid"], [F.col("hb_1"), F.col("k1"), F.col("k2"), F.col("k3")])
+    return dedupe.accept_joined(o, best, ROW).groupBy("family").agg(F.count("*").alias("n"), F.count(F.when(F.col("accepted"), 1)).alias("accepted"))
+
+
+@query("""with e as (select distinct o_custkey as s, cast(o_orderkey % 60 as bigint) as i, cast(o_orderkey % 7 as bigint) + 60 as j from orders),
+  f as (select *, exists(select 1 from e x where x.s = e.s and abs(x.i - e.i) = 1 and x.i - x.j = e.i - e.j) as p, exists(select 1 from e x where x.s = e.s and abs(x.i - e.i) = 1 and x.i + x.j = e.i + e.j) as a from e)
+  select s, i, j, abs(i - j) = 1 as is_dinucleotide, case when p and not a then true when a and not p then false end as is_parallel from f""")
+def backbone_parallel(spark, d):
+    e = t(spark, d, "orders").select(F.col("o_custkey").alias("s"), (F.col("o_orderkey") % 60).alias("i"), (F.col("o_orderkey") % 7 + 60).alias("j")).distinct()
+    return dedupe.backbone(e, "s", "i", "j")
+
+
+# --- comparison --------------------------------------------------------------------------
+
+A_SQL, B_SQL = "select * from orders where o_totalprice between 50000 and 250000", "select * from orders where o_orderpriority <> '1-URGENT' and o_totalprice <= 200000"
+
+
+def ab(spark, d):
+    o = t(spark, d, "orders")
+    return o.where("o_totalprice between 50000 and 250000"), o.where("o_orderpriority <> '1-URGENT' and o_totalprice <= 200000")
+
+
+def compare_sql(where: str) -> str:
+    return f"""with a as ({A_SQL}), b as ({B_SQL}), u as (select o.*, o_orderkey in (select o_orderkey from a) as comparison_in_baseline, o_orderkey in (select o_orderkey from b) as comparison_in_current from orders o)
+      select * from u where {where}"""
+
+
+WHERES = {"union": "comparison_in_baseline or comparison_in_current", "difference": "comparison_in_baseline <> comparison_in_current", "missing": "comparison_in_baseline and not comparison_in_current", "new": "comparison_in_current and not comparison_in_baseline"}
+
+
+def _comparisons() -> None:
+    for mode, where in WHERES.items():
+
+        def two(spark, d, mode=mode):
+            return compare.compare_sets(*ab(spark, d), mode, ["o_orderkey"])
+
+        def one(spark, d, mode=mode):
+            return compare.compare_filters(t(spark, d, "orders"), F.expr("o_totalprice between 50000 and 250000"), F.expr("o_orderpriority <> '1-URGENT' and o_totalprice <= 200000"), mode)
+
+        for name, f in ((f"compare_{mode}", two), (f"compare_single_table_{mode}", one)):
+            QUERIES[name] = f
+            ORACLES[name] = compare_sql(where)
+
+
+_comparisons()
+
+
+def sig2(x: str) -> str:
+    return f"case when {x} = 0 then cast(0 as double) else round({x} / pow(10, floor(log10(abs({x}))) - 1)) * pow(10, floor(log10(abs({x}))) - 1) end"
+
+
+SUMMARY = f"""with s as (select o_orderpriority, count(*) filter (a) as baseline, count(*) filter (b) as current, count(*) filter (a and not b) as dropped, count(*) filter (b and not a) as added
+  from (select *, o_totalprice between 50000 and 250000 as a, o_orderpriority <> '1-URGENT' and o_totalprice <= 200000 as b from orders) group by 1)"""
+
+
+@query(f"""{SUMMARY} select *, '-' || dropped || ' +' || added as change, round(case when baseline > 0 then {sig2('(dropped * 100.0 / nullif(baseline, 0))::double')} end, 4) as dropped_percent,
+  round(case when baseline > 0 then {sig2('(added * 100.0 / nullif(baseline, 0))::double')} end, 4) as added_percent from s""")
+def compare_summary(spark, d):
+    flags = compare.compare_filters(t(spark, d, "orders"), F.expr("o_totalprice between 50000 and 250000"), F.expr("o_orderpriority <> '1-URGENT' and o_totalprice <= 200000"), "union")
+    return rounded(compare.comparison_summary(flags, ["o_orderpriority"]))
+
+
+@query(f"{SUMMARY} select cast(sum(baseline) as bigint) as baseline, cast(sum(current) as bigint) as current, cast(sum(dropped) as bigint) as dropped, cast(sum(added) as bigint) as added, round(avg(dropped::double / nullif(baseline, 0)), 4) as mean_dropped from s")
+def compare_totals(spark, d):
+    flags = compare.compare_filters(t(spark, d, "orders"), F.expr("o_totalprice between 50000 and 250000"), F.expr("o_orderpriority <> '1-URGENT' and o_totalprice <= 200000"), "union")
+    return rounded(compare.comparison_totals(compare.comparison_summary(flags, ["o_orderpriority"])))
+
+
+# --- aggregates --------------------------------------------------------------------------
+
+
+@query("select ltrim(l_returnflag, 'A') || '-' || l_linestatus as class, count(*) as n from lineitem group by 1")
+def count_by_class(spark, d):
+    return t(spark, d, "lineitem").groupBy(F.concat_ws("-", F.expr("trim(LEADING 'A' FROM l_returnflag)"), "l_linestatus").alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("select pid, count(*) as n from obs group by 1")
+def count_by_structure(spark, d):
+    return obs(spark, d).groupBy("pid").agg(F.count("*").alias("n"))
+
+
+@query(f"select comparison_in_baseline, comparison_in_current, count(*) as n from ({compare_sql(WHERES['union'])}) group by 1, 2")
+def count_by_flags(spark, d):
+    return compare.compare_sets(*ab(spark, d), "union", ["o_orderkey"]).groupBy(compare.BASE, compare.CURRENT).agg(F.count("*").alias("n"))
+
+
+PARAMS = ["hb_0", "hb_1", "hb_2"]
+
+
+@query("select family, variant, " + ", ".join(f"round(avg({p}), 4) as {p}_avg, min({p}) as {p}_min, max({p}) as {p}_max, median({p}) as {p}_median, round(stddev({p}), 4) as {p}_stddev, count({p}) as {p}_count" for p in PARAMS) + " from obs group by 1, 2")
+def bond_parameter_stats(spark, d):
+    return rounded(stats.parameter_stats(obs(spark, d), CLASS, PARAMS))
+
+
+@query("select family, variant, " + ", ".join(f"round(avg({p}), 4) as {p}_mean, round(stddev_pop({p}), 4) as {p}_std, round(quantile_cont({p}, 0.9), 4) as {p}_p90" for p in PARAMS) + " from obs group by 1, 2")
+def population_stats(spark, d):
+    return rounded(stats.population_stats(obs(spark, d), CLASS, PARAMS))
+
+
+CENTRE = "c as (select family, variant, degrees(atan2(avg(sin(radians(angle))), avg(cos(radians(angle))))) as centre from obs where pid % 3 > 0 or angle > 0 group by 1, 2)"
+DELTA = "(o.angle - c.centre + 180) - 360 * floor((o.angle - c.centre + 180) / 360) - 180"
+
+
+@query(f", {CENTRE}, x as (select o.family, o.variant, centre, {DELTA} as dev from obs o join c using (family, variant) where pid % 3 > 0 or angle > 0) select family, variant, round(first(centre), 4) as mean, round(sqrt(avg(dev * dev)), 4) as std from x group by 1, 2")
+def circular_mean_std(spark, d):
+    o = obs(spark, d).where("pid % 3 > 0 or angle > 0")
+    return rounded(stats.circular_stats(o, CLASS, "angle").select(*CLASS, "mean", "std"))
+
+
+@query(f", c as (select family, variant, degrees(atan2(avg(sin(radians(angle))), avg(cos(radians(angle))))) as centre from obs where angle between -100 and 60 group by 1, 2), x as (select o.family, o.variant, centre, {DELTA} as dev from obs o join c using (family, variant) where angle between -100 and 60) select family, variant, round(first(centre) + min(dev), 4) as min, round(first(centre) + max(dev), 4) as max from x group by 1, 2")
+def circular_minmax(spark, d):
+    o = obs(spark, d).where("angle between -100 and 60")
+    return rounded(stats.circular_stats(o, CLASS, "angle").select(*CLASS, "min", "max"))
+
+
+BOUNDARY_SQL = """select family, variant, param, boundary, value from (select family, variant, param, unnest(['min', 'max']) as boundary, unnest([lo, hi]) as value from (
+  select family, variant, 'hb_0' as param, floor(min(hb_0) * 10) / 10 as lo, ceil(max(hb_0) * 10) / 10 as hi from o group by 1, 2 union all
+  select family, variant, 'hb_2', case when avg(case when hb_2 is null then 1.0 else 0 end) <= 0.1 then floor(min(hb_2) * 10) / 10 end, case when avg(case when hb_2 is null then 1.0 else 0 end) <= 0.1 then ceil(max(hb_2) * 10) / 10 end from o group by 1, 2 union all
+  select family, variant, 'angle', floor(round(min(angle), 9) / 5) * 5, ceil(round(max(angle), 9) / 5) * 5 from o group by 1, 2))"""
+
+
+def _bounds(spark, d):
+    o = obs(spark, d).where("hb_0 between 10 and 30 and (hb_2 <> 3 or hb_2 is null)")
+    return boundaries.derive_boundaries(o, CLASS, ["hb_0", "hb_2"], ["angle"])
+
+
+@query(f", o as (select * from obs where hb_0 between 10 and 30 and (hb_2 <> 3 or hb_2 is null)) {BOUNDARY_SQL}")
+def class_boundaries(spark, d):
+    return rounded(_bounds(spark, d))
+
+
+@query(f", o as (select * from obs where hb_0 between 10 and 30 and (hb_2 <> 3 or hb_2 is null)), l as ({BOUNDARY_SQL}) select family, variant, " + ", ".join(f"max(value) filter (param = '{p}' and boundary = '{e}') as {p}_{e}" for p in ("hb_0", "hb_2", "angle") for e in ("min", "max")) + " from l group by 1, 2")
+def boundaries_pivot(spark, d):
+    return rounded(boundaries.widen_boundaries(_bounds(spark, d), CLASS, ["hb_0", "hb_2", "angle"]))
+
+
+@query("""with g as (select cast(0 as bigint) as label, unnest(generate_series(0, 39)) as bin), h as (select least(greatest(floor((o_totalprice - 0) / 12500), 0), 39) as bin, count(*) as count from orders group by 1)
+  select g.label, cast(g.bin as bigint) as bin, coalesce(count, 0) as count from g left join h using (bin)""")
+def histogram_1d(spark, d):
+    return stats.histogram(t(spark, d, "orders"), "o_totalprice", 0, 500_000, 40)
+
+
+@query("""select cast(least(greatest(floor((hb_0 - 1) / (cast(49 as double) / 60) + 0.5), 0), 59) as bigint) as x_bin, cast(least(greatest(floor((hb_2 - 0) / (cast(10 as double) / 60) + 0.5), 0), 59) as bigint) as y_bin, count(*) as count from obs where hb_2 is not null group by 1, 2""")
+def histogram_2d(spark, d):
+    return stats.histogram_2d(obs(spark, d), "hb_0", "hb_2", (1, 50, 0, 10))
+
+
+@query("""with x as (select cast(quality as bigint) + 2 * cast(hb_0 > 25 as bigint) as label, cast(least(greatest(floor(hb_1 / 1), 0), 10) as bigint) as bin from obs),
+  g as (select label, cast(unnest(generate_series(0, 10)) as bigint) as bin from (select distinct label from x))
+  select g.label, g.bin, count(x.bin) as count from g left join x using (label, bin) group by 1, 2""")
+def histogram_categorical(spark, d):
+    return stats.histogram(obs(spark, d), "hb_1", 0, 11, 11, scalars.packed_flags(F.col("quality"), F.col("hb_0") > 25))
+
+
+# --- windows -----------------------------------------------------------------------------
+
+
+@query("""select pid, k1, k2, k3, round((rank() over (partition by family, variant order by hb_0 desc) + (count(*) over (partition by family, variant, hb_0) - 1) / 2.0 - 1) / greatest(count(*) over (partition by family, variant) - 1, 1), 4) as q from obs""")
+def rank_quantile(spark, d):
+    return rounded(stats.rank_quantile(obs(spark, d), CLASS, "hb_0", "q").select(*ROW, "q"))
+
+
+@query("""select pid, k1, k2, k3, round(sum(quality::int) over (partition by family, variant order by hb_0 desc, pid, k1, k2, k3 rows unbounded preceding)::double / sum(quality::int) over (partition by family, variant), 4) as q from obs""")
+def masked_quantile(spark, d):
+    return rounded(stats.masked_quantile(obs(spark, d), CLASS, [F.col("hb_0").desc(), *map(F.col, ROW)], "quality", "q").select(*ROW, "q"))
+
+
+@query("""with q as (select pid, k1, k2, k3, hb_0 / 50 as a, hb_1 / 10 as b, hb_2 / 10 as c from obs)
+  select pid, k1, k2, k3, round((a + b + coalesce(c, 0)) / (2 + (c is not null)::int), 4) as quantile_mean,
+  round(1 / ((1 / (a + 0.01) + 1 / (b + 0.01) + coalesce(1 / (c + 0.01), 0)) / (2 + (c is not null)::int)) - 0.01, 4) as quantile_hmean, round(a * b * coalesce(c, 1), 4) as quantile_prod,
+  round(least(a, b, c), 4) as quantile_min, round(list_sort([a, b, c], 'ASC', 'NULLS LAST')[2], 4) as quantile_min2 from q""")
+def quantile_combine(spark, d):
+    q = obs(spark, d).select(*ROW, (F.col("hb_0") / 50).alias("a"), (F.col("hb_1") / 10).alias("b"), (F.col("hb_2") / 10).alias("c"))
+    return rounded(q.select(*ROW, *[c.alias(n) for n, c in stats.combine_quantiles(["a", "b", "c"]).items()]))
+
+
+@query("""select family, variant, pid, k1, k2, k3, round(md, 4) as mode_deviations from (select *, row_number() over (partition by family, variant order by -md desc, pid, k1, k2, k3) as n from
+  (select *, (abs(hb_0 - 20) / 5 + abs(hb_1 - 4) / 2 + coalesce(abs(hb_2 - 6) / 2, 2)) / 3 as md from obs) where quality) where n = 1""")
+def nicest_row(spark, d):
+    dev = stats.mode_deviation({"hb_0": (F.lit(20.0), F.lit(5.0)), "hb_1": (F.lit(4.0), F.lit(2.0)), "hb_2": (F.lit(6.0), F.lit(2.0))})
+    o = obs(spark, d).select("*", dev["mode_deviations"].alias("mode_deviations"))
+    return rounded(stats.nicest_rows(o, CLASS, -F.col("mode_deviations"), "quality", ROW).select(*CLASS, *ROW, "mode_deviations"))
+
+
+KDE_SQL = """with v as (select label, vec_id, cast(embedding[1] as double) as x from embeddings), s as (select label, count(*) as n, pow(count(*), -0.2) * 1.5 * stddev_samp(x) as h from v group by 1),
+  p as (select a.label, a.vec_id, ln(sum(exp(-0.5 * pow((a.x - b.x) / h, 2)))) - ln(any_value(n) * any_value(h) * sqrt(2 * pi())) as ll from v a join v b on a.label = b.label join s on s.label = a.label group by 1, 2)
+  select label, vec_id, round(ll, 4) as log_likelihood from p"""
+
+
+@query(KDE_SQL)
+def kde_likelihood(spark, d):
+    e = t(spark, d, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("x"))
+    return rounded(stats.kde_likelihood(e, ["label"], ["vec_id"], "x").select("label", "vec_id", "log_likelihood"))
+
+
+def sig5(x: str) -> str:
+    return f"case when {x} = 0 then cast(0 as double) else round({x} / pow(10, floor(log10(abs({x}))) - 4)) * pow(10, floor(log10(abs({x}))) - 4) end"
+
+
+@query(f"select o_orderkey, o_orderpriority as family, round({sig5('o_totalprice')}, 2) as price from orders")
+def sig_round_export(spark, d):
+    return rounded(t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("family"), scalars.round_sig("o_totalprice", 5).alias("price")), 2)
+
+
+# --- space -------------------------------------------------------------------------------
+
+
+def points(spark, d):
+    e = F.col("embedding")
+    return t(spark, d, "embeddings").select("vec_id", *[e[i].cast("double").alias(c) for i, c in enumerate("xyz")])
+
+
+POINTS = "select vec_id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, cast(embedding[3] as double) as z from embeddings"
+
+
+@query(f"with p as ({POINTS}) select a.vec_id as left, b.vec_id as right from p a join p b on a.vec_id <> b.vec_id and (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) < 0.05 * 0.05".replace(" as left", ' as "left"').replace(" as right", ' as "right"'))
+def spatial_grid_join(spark, d):
+    return spatial.contacts(points(spark, d), "vec_id", 0.05)
+
+
+OPS = [("1_555", 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), ("2_655", -1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 1.0, 0.5, 0.0, 0.25), ("3_555", 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.5, 0.0)]
+
+
+@query(f"with p as ({POINTS}) select vec_id, '2_655' as op, round(0.5 - x, 4) as x, round(-y, 4) as y, round(z + 0.25, 4) as z from p union all select vec_id, '3_555', round(y, 4), round(x + 0.5, 4), round(-z, 4) from p")
+def symmetry_transform(spark, d):
+    ops = spark.createDataFrame(OPS, "op string, " + ", ".join(f"r{i}{j} double" for i in (1, 2, 3) for j in (1, 2, 3)) + ", t1 double, t2 double, t3 double")
+    return rounded(spatial.transform_points(points(spark, d), ops))
+
+
+def _v(n: int) -> str:
+    return "[" + ", ".join(f"cast(embedding[{3 * n + i + 1}] as double)" for i in range(3)) + "]"
+
+
+@query(f"""with v as (select vec_id, {_v(0)} as a, {_v(1)} as b, {_v(2)} as c from embeddings), w as (select vec_id, [a[i] - b[i] for i in [1, 2, 3]] as p, [c[i] - b[i] for i in [1, 2, 3]] as q, a, b from v)
+  select vec_id, round(sqrt(p[1]*p[1] + p[2]*p[2] + p[3]*p[3]), 4) as length, round(degrees(acos(greatest(-1, least(1, (p[1]*q[1] + p[2]*q[2] + p[3]*q[3]) / (sqrt(p[1]*p[1] + p[2]*p[2] + p[3]*p[3]) * sqrt(q[1]*q[1] + q[2]*q[2] + q[3]*q[3])))))), 3) as angle,
+  round(degrees(atan2(p[2], p[1])), 3) as yaw from w""")
+def geometry_angles(spark, d):
+    e = F.col("embedding")
+    a, b, c = ([e[3 * n + i].cast("double") for i in range(3)] for n in range(3))
+    p = spatial.minus(a, b)
+    df = t(spark, d, "embeddings").select("vec_id", F.round(spatial.distance(a, b), 4).alias("length"), F.round(spatial.angle_at(a, b, c), 3).alias("angle"), F.round(F.degrees(F.atan2(p[1], p[0])), 3).alias("yaw"))
+    return df
+
+
+@query()
+def base_frames(spark, d):
+    """Frames, coordinates of one frame's origin in another, and angles between them."""
+    e = F.col("embedding")
+    v = [[e[3 * n + i].cast("double") for i in range(3)] for n in range(6)]
+    f1, f2 = spatial.frame(v[0], v[1], v[2]), spatial.frame(v[3], v[4], v[5])
+    rel = [[spatial.dot(a, b) for b in f2] for a in f1]
+    yaw, pitch, roll = spatial.yaw_pitch_roll(rel)
+    x, y, z = spatial.in_frame(f1, v[0], v[3])
+    return t(spark, d, "embeddings").select("vec_id", *[c.alias(n) for n, c in {"yaw": yaw, "pitch": pitch, "roll": roll, "x": x, "y": y, "z": z}.items()])
+
+
+def atoms(spark, d):
+    e = F.col("embedding")
+    rows = F.posexplode(F.array(*[F.array(*[e[3 * n + i].cast("double") for i in range(3)]) for n in range(8)])).alias("n", "p")
+    return t(spark, d, "embeddings").select("vec_id", rows).select("vec_id", F.concat(F.lit("A"), "n").alias("atom"), *[F.col("p")[i].alias(c) for i, c in enumerate("xyz")])
+
+
+@query()
+def plane_fit(spark, d):
+    return spatial.plane_fit(atoms(spark, d), "vec_id")
+
+
+@query()
+def rmsd_exemplar(spark, d):
+    exemplar = {"A0": (0.0, 0.0, 0.0), "A1": (0.1, 0.0, 0.0), "A2": (0.1, 0.1, 0.0), "A3": (0.0, 0.1, 0.1)}
+    return spatial.rmsd_to_exemplar(atoms(spark, d), "vec_id", "atom", exemplar)
+
+
+def candidate_edges(spark, d):
+    return obs(spark, d).select("pid", "k1", "k2", "k3", (F.col("hb_1") / 5).alias("score"))
+
+
+@query()
+def greedy_edges(spark, d):
+    return matching.exclusive_edges(candidate_edges(spark, d), "pid", "k1", "k2", "score", ties=("k3",))
+
+
+@query()
+def max_weight_matching(spark, d):
+    return matching.exclusive_edges(candidate_edges(spark, d), "pid", "k1", "k2", "score", optimal=True, ties=("k3",))
+
+
+# --- set operations, URLs ----------------------------------------------------------------
+
+
+@query("""select event_id as id, event_type as kind, value, cast(null as varchar) as status from events where value > 50 union all by name select o_orderkey as id, o_orderpriority as kind, o_totalprice as value, o_orderstatus as status from orders where o_totalprice > 300000""")
+def union_by_name(spark, d):
+    e = t(spark, d, "events").where("value > 50").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "value")
+    o = t(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), F.col("o_totalprice").alias("value"))
+    return e.unionByName(o, allowMissingColumns=True)
+
+
+@query("""select cast(n_nationkey as double) as key, n_name as name, null::double as balance from nation union all select c_custkey, c_name, c_acctbal from customer where c_acctbal < 0""")
+def diagonal_concat(spark, d):
+    from rangeloom.sources.readers import diagonal_concat as concat
+
+    n = t(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    c = t(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").cast("double").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    return concat(n, c)
+
+
+@query("select family, variant, count(*) as n from obs where hb_0 between 5 and 40 and angle not between -90 and 90 and hb_1 <= 6 group by 1, 2")
+def url_filter_roundtrip(spark, d):
+    f = filters.PairFilter({"hb_0": NumRange(5, 40), "angle": NumRange(90, -90), "hb_1": NumRange(None, 6)})
+    _, back, _ = codec.parse_url(codec.to_url("cWW-A-U", f))
+    return back.apply(obs(spark, d)).groupBy(*CLASS).agg(F.count("*").alias("n"))
+
+
+@query("select o_orderpriority as family, o_orderstatus as bases, count(*) as n from orders where o_orderpriority like '1%' or (o_orderpriority like '3%' and o_orderstatus = 'F') group by 1, 2")
+def class_selector(spark, d):
+    o = t(spark, d, "orders").select(F.substring("o_orderpriority", 1, 1).alias("f"), F.col("o_orderpriority").alias("family"), F.col("o_orderstatus").alias("bases"))
+    return o.where(codec.class_selector("1,3-F", F.col("f"), F.col("bases"))).groupBy("family", "bases").agg(F.count("*").alias("n"))
+
+
+@query("""select pid, k1, k2, k3, name, value, case when name = 'hb_0' then value / 50 end as value_quantile from (select pid, k1, k2, k3, unnest(['hb_0', 'hb_1', 'hb_2']) as name, unnest([hb_0, hb_1, hb_2]) as value from obs where pid <= 200)""")
+def describe_rows(spark, d):
+    o = obs(spark, d).where("pid <= 200").withColumn("hb_0_quantile", F.col("hb_0") / 50)
+    return filters.describe_row(o, ROW, PARAMS)
