@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeloom.llm.common import blob, pieces, require
+from rangeloom.llm.common import blob, cut, pieces, require
 
 PIECE_BYTES = 8_000_000
 #: Words a worker keeps the features of; the cache starts anew beyond it.
@@ -127,45 +127,38 @@ def fit(
             yield pa.RecordBatch.from_pydict({"words": pa.array(words, pa.binary()), "p": part.column("_p"), "u": part.column("_u")})
 
     texts = documents.select(F.col(key).alias("_key"), blob(text).alias("_text")).join(sample, "_key").select("_text", "_p", "_u")
-    found = texts.mapInArrow(read, "words binary, p boolean, u boolean").toArrow()
-    positive, mixed_in = (np.array(found.column(c).to_pylist(), bool) for c in "pu")
-    if not mixed_in.any() or not positive.any():
+    bags = cut(texts.mapInArrow(read, "words binary, p boolean, u boolean"))
+    sizes = bags.agg(F.count(F.when(F.col("p"), 1)), F.count(F.when(F.col("u"), 1))).first()
+    a, b = sizes
+    if not a or not b:
         return ToxicityModel({}, np.zeros(0), float(np.log(prior / (1 - prior))), prior)
-    bags = [b.split(b" ") for b in found.column("words").to_pylist()]
-    by_positive: dict[str, int] = {}
-    for bag, is_positive in zip(bags, positive.tolist(), strict=True):
-        if is_positive:
-            for f in {f for w in bag if w for f in word_features(w)}:
-                by_positive[f] = by_positive.get(f, 0) + 1
-    candidates = {f: n for f, n in by_positive.items() if n >= min_texts}
-    others = dict.fromkeys(candidates, 0)
-    per_word: dict[bytes, list[str]] = {}
-
-    def of(bag: list[bytes]) -> set[str]:
-        got: set[str] = set()
-        for w in bag:
-            if w not in per_word:
-                per_word[w] = [f for f in word_features(w) if f in candidates] if w else []
-            got.update(per_word[w])
-        return got
-
-    held = [of(bag) for bag in bags]
-    for got, unlabelled in zip(held, mixed_in.tolist(), strict=True):
-        if unlabelled:
-            for f in got:
-                others[f] += 1
-    a, b = int(positive.sum()), int(mixed_in.sum())
-    gain = {}
-    for f, n in candidates.items():
-        share, other, both = n / a, others[f] / b, (n + others[f]) / (a + b)
-        z = (share - other) / np.sqrt(both * (1 - both) * (1 / a + 1 / b) + 1e-12)
-        if share >= 2 * other and z >= LEAST_Z:
-            gain[f] = z
-    names = sorted(gain, key=lambda f: (-gain[f], f))[:n_features]
-    index = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(bags), len(names)), np.float32)
-    for i, got in enumerate(held):
-        x[i, [index[f] for f in got if f in index]] = 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "words", PIECE_BYTES):
+            seen: dict[str, list[int]] = {}
+            for bag, p, u in zip(*(part.column(c).to_pylist() for c in ("words", "p", "u")), strict=True):
+                for f in {f for w in bag.split() for f in word_features(w)}:
+                    n = seen.setdefault(f, [0, 0])
+                    n[0] += p
+                    n[1] += u
+            yield pa.RecordBatch.from_pydict({"f": pa.array(list(seen), pa.string()), "p": pa.array([n[0] for n in seen.values()], pa.int64()), "u": pa.array([n[1] for n in seen.values()], pa.int64())})
+
+    counted = bags.mapInArrow(count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= min_texts)
+    share, other, both = F.col("p") / a, F.col("u") / b, (F.col("p") + F.col("u")) / (a + b)
+    z = (share - other) / F.sqrt(both * (1 - both) * (1 / a + 1 / b) + 1e-12)
+    best = counted.where((share >= 2 * other) & (z >= LEAST_Z)).orderBy(F.round(z, 6).desc(), "f").limit(n_features)
+    index = {r[0]: i for i, r in enumerate(best.select("f").collect())}  # n_features names at most
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "words", PIECE_BYTES):
+            rows = [sorted({index[f] for w in bag.split() for f in word_features(w) if f in index}) for bag in part.column("words").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"at": pa.array(rows, pa.list_(pa.int32())), "p": part.column("p"), "u": part.column("u")})
+
+    found = bags.mapInArrow(place, "at array<int>, p boolean, u boolean").collect()  # the sample's rows at most
+    x = np.zeros((len(found), len(index)), np.float32)
+    for i, r in enumerate(found):
+        x[i, r[0]] = 1
+    positive, mixed_in = np.array([r[1] for r in found], bool), np.array([r[2] for r in found], bool)
     weights, bias = train_nnpu(x[positive], x[mixed_in], prior)
     return ToxicityModel(index, weights, bias, prior)
 
