@@ -9,7 +9,6 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rangeloom.functions.scalars import null_if_blank
 
@@ -148,12 +147,14 @@ def cif_atoms(text: str) -> list[tuple]:
 def read_structures(spark: SparkSession, *files: str) -> DataFrame:
     """Atoms of mmCIF files (plain or gz), one file a row of work; the id is the file's stem."""
 
+    names = [c.split()[0] for c in ATOM_SCHEMA.split(", ")]
+
     def parse(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 data = gzip.open(io.BytesIO(content)).read() if path.endswith(".gz") else content
                 stem = re.split(r"[./\\]", path.rsplit("/", 1)[-1])[0].lower()
-                yield pd.DataFrame([(stem, *r) for r in cif_atoms(data.decode())], columns=[f.name for f in T.StructType.fromDDL(ATOM_SCHEMA).fields])
+                yield pd.DataFrame([(stem, *r) for r in cif_atoms(data.decode())], columns=names)
 
     return spark.read.format("binaryFile").load(list(files)).select("path", "content").mapInPandas(parse, ATOM_SCHEMA)
 
