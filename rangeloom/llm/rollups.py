@@ -75,7 +75,7 @@ class TokenRollup:
         folder = f"{self.path}/batch={batch}"
         if self._exists(f"{folder}/_SUCCESS"):
             return False
-        signed(changes).coalesce(1).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(folder)
+        signed(changes).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(folder)
         return True
 
     def batches(self) -> list[str]:
