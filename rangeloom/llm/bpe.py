@@ -31,8 +31,8 @@ LATIN = re.compile(PATTERN.format(L="A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u
 BEYOND_LATIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\u024f]")
 NO_RANK = np.int64(1) << 40
 #: Words a worker keeps; the cache starts anew beyond it, which changes no result.
-CACHE_WORDS = 400_000
-PIECE_BYTES = 4_000_000
+CACHE_WORDS = 200_000
+PIECE_BYTES = 1_000_000
 
 
 def unknown_letters() -> str:
