@@ -90,3 +90,47 @@ def either_way_lookup(df: DataFrame, table: DataFrame, a: str, b: str, value: st
     two = table.select(F.col(b).alias("_q_a"), F.col(a).alias("_q_b"), F.col(value).alias("_v2"))
     out = df.join(one, F.col(a).eqNullSafe(F.col("_r_a")) & F.col(b).eqNullSafe(F.col("_r_b")), "left").join(two, F.col(a).eqNullSafe(F.col("_q_a")) & F.col(b).eqNullSafe(F.col("_q_b")), "left")
     return out.select(*df.columns, F.coalesce("_v1", "_v2").alias(value))
+
+
+def expand_variants(df: DataFrame, variants: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame:
+    """Every row once for each variant of each side: ``sides`` maps a new column to (key in df, key in variants).
+
+    ``variants`` has the residue key and ``alt``; a residue that is not listed has the one
+    variant null.  Repeated entries count once.
+    """
+    for out, (mine, theirs) in sides.items():
+        v = variants.select(F.col(theirs).alias("_k"), F.col("alt").alias(out)).distinct()
+        df = df.join(v, F.col(mine).eqNullSafe(F.col("_k")), "left").drop("_k")
+    return df
+
+
+def per_residue(df: DataFrame, sides: list[list[str]], compute) -> DataFrame:
+    """Columns that ``compute`` adds to the distinct residues of both sides, joined to both.
+
+    ``sides`` lists each side's key columns, the first naming the dimension's; the new
+    columns get the suffixes 1 and 2.  Each residue is worked on once, not once a pair.
+    """
+    names = [f"_k{i}" for i in range(len(sides[0]))]
+    keys = reduce(lambda a, b: a.union(b), [df.select(*[F.col(c).alias(n) for c, n in zip(s, names, strict=True)]) for s in sides]).distinct()
+    made = compute(keys.select(*[F.col(n).alias(c) for n, c in zip(names, sides[0], strict=True)]))
+    new = [c for c in made.columns if c not in sides[0]]
+    for i, side in enumerate(sides, 1):
+        dim = made.select(*[F.col(c).alias(f"_r_{s}") for c, s in zip(sides[0], side, strict=True)], *[F.col(c).alias(f"{c}{i}") for c in new])
+        df = df.join(dim, _same(side), "left").drop(*[f"_r_{s}" for s in side])
+    return df
+
+
+#: Bases in order of preference for the first place of a symmetric class.
+BASE_ORDER = ("A", "DA", "G", "DG", "C", "DC", "U", "DU", "T", "DT")
+
+
+def preferred_orientation(family: Column, base1: Column, base2: Column, families: list[str]) -> Column:
+    """Whether a pair stands in the preferred order of its sides.
+
+    Symmetric classes (equal edges) go by ``BASE_ORDER``, known bases before others and
+    others by the alphabet; the rest must be among ``families``, whatever the case.
+    """
+    rank = lambda b: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, BASE_ORDER)), b), F.lit(0)), F.lit(len(BASE_ORDER) + 1))
+    by_base = F.when(rank(base1) != rank(base2), rank(base1) < rank(base2)).otherwise(base1 <= base2)
+    symmetric = F.substr(family, F.lit(2), F.lit(1)) == F.substr(family, F.lit(3), F.lit(1))
+    return F.when(symmetric, by_base).otherwise(F.lower(family).isin([f.lower() for f in families]))

@@ -125,3 +125,20 @@ def describe_row(df: DataFrame, keys: list[str], params: list[str]) -> DataFrame
     """Wide to long: (keys, name, value, value_quantile) with the quantile column where there is one."""
     rows = [F.struct(F.lit(p).alias("name"), F.col(p).cast("double").alias("value"), (F.col(f"{p}_quantile") if f"{p}_quantile" in df.columns else F.lit(None)).cast("double").alias("value_quantile")) for p in params]
     return df.select(*keys, F.inline(F.array(*rows)))
+
+
+def without_symmetric(df: DataFrame, first: str, second: str, any_side: bool = False) -> DataFrame:
+    """Drop pairs whose sides both are symmetry copies, or with ``any_side`` those with one."""
+    a, b = F.col(first).isNull(), F.col(second).isNull()
+    return df.where(a & b if any_side else a | b)
+
+
+def quality_flags(fine: list[str], coarse: list[str]) -> dict[str, Column]:
+    """high (on a list of fine structures), medium (on a coarse one) and some (either)."""
+    on = lambda cs: F.exists(F.array(*cs), lambda x: F.coalesce(x, F.lit(False)))
+    return {"high": on(fine), "medium": on(coarse), "some": on([*fine, *coarse])}
+
+
+def any_bond_below(bonds: list[str], most: float) -> Column:
+    """Whether any bond that is there is shorter than ``most``; all null: false."""
+    return F.exists(F.array(*bonds), lambda x: F.coalesce(x < most, F.lit(False)))

@@ -156,3 +156,48 @@ def kde_likelihood(df: DataFrame, keys: list[str], row: list[str], x: str, angul
         return out
 
     return dealt.groupBy(*keys, "_salt").cogroup(samples.groupBy(*keys, "_salt")).applyInPandas(evaluate, schema)
+
+
+def percentile_bands(df: DataFrame, keys: list[str], params: list[str], points: dict[str, float]) -> DataFrame:
+    """Linear percentiles of each parameter, named ``{parameter}_{point}``."""
+    return df.groupBy(*keys).agg(*[F.percentile(p, q).alias(f"{p}_{n}") for p in params for n, q in points.items()])
+
+
+def trim_quantiles(df: DataFrame, cols: list[str], q: float) -> DataFrame:
+    """Rows within the q and 1 - q percentiles, one column after the other.
+
+    Each column's limits come from what the columns before it left; nulls go.
+    """
+    for c in cols:
+        ends = df.agg(F.percentile(c, q).alias("_low"), F.percentile(c, 1 - q).alias("_high"))
+        df = df.join(F.broadcast(ends), F.col(c).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")  # one row of limits
+    return df
+
+
+def rolling_bucket_means(df: DataFrame, x: str, y: str, low: float, width: float) -> DataFrame:
+    """(bucket, mean, count): means of y over overlapping buckets, each two widths of x long."""
+    b = F.floor((F.col(x) - low) / width)
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.explode(F.array(b, b + 1)).alias("bucket"), F.col(y).alias("_y"))
+    return rows.groupBy("bucket").agg(F.avg("_y").alias("mean"), F.count("*").alias("count"))
+
+
+def merge_symmetric(df: DataFrame, keys: list[str], mirrored: dict[str, str]) -> DataFrame:
+    """Both readings of symmetric pairs in the same columns: each row as it is and mirrored.
+
+    ``mirrored`` maps each column to the one that takes its place when the sides are
+    exchanged.  One scan; the two readings are an array of two structs.
+    """
+    own = F.struct(*[F.col(c).alias(c) for c in mirrored])
+    other = F.struct(*[F.col(m).alias(c) for c, m in mirrored.items()])
+    return df.select(*keys, F.explode(F.array(own, other)).alias("_r")).select(*keys, "_r.*")
+
+
+def stddev_or_one(x: str) -> Column:
+    """Sample stddev, 1 for fewer than two values."""
+    return F.coalesce(F.stddev_samp(x), F.lit(1.0))
+
+
+def class_counts(df: DataFrame, keys: list[str], flags: dict[str, Column]) -> DataFrame:
+    """Total and one count per flag, with ``score`` = high + medium / 100 where both are flags."""
+    out = df.groupBy(*keys).agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in flags.items()])
+    return out.withColumn("score", F.col("high") + F.col("medium") / 100) if {"high", "medium"} <= set(flags) else out

@@ -165,15 +165,15 @@ def family_candidates(spark, d):
 
 # --- joins, mirrored pairs ---------------------------------------------------------------
 
-EDGES = """select distinct s_nationkey as a, c_nationkey as b, case when s_nationkey % 2 = 0 then 'cWH' else 'cHW' end as family from supplier join customer on s_suppkey % 50 = c_custkey % 50"""
+EDGES = """select distinct l_suppkey % 97 as a, l_partkey % 97 as b, case when l_suppkey % 2 = 0 then 'cWH' else 'cHW' end as family from lineitem"""
 
 
 @query(f"""with e as ({EDGES}) select a, b, family from (select *, row_number() over (partition by
   least(concat(lpad(cast(a as varchar), 3, '0'), lpad(cast(b as varchar), 3, '0'), family), concat(lpad(cast(b as varchar), 3, '0'), lpad(cast(a as varchar), 3, '0'), family[1] || family[3] || family[2]))
   order by a, b, family) as n from e) where n = 1""")
 def mirror_dedupe(spark, d):
-    s, c = t(spark, d, "supplier"), t(spark, d, "customer")
-    e = s.join(c, s.s_suppkey % 50 == c.c_custkey % 50).select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"), F.when(F.col("s_nationkey") % 2 == 0, "cWH").otherwise("cHW").alias("family")).distinct()
+    a, b = F.col("l_suppkey") % 97, F.col("l_partkey") % 97
+    e = t(spark, d, "lineitem").select(a.alias("a"), b.alias("b"), F.when(F.col("l_suppkey") % 2 == 0, "cWH").otherwise("cHW").alias("family")).distinct()
     return dedupe.drop_mirrored(e, ["a"], ["b"], "family", F.regexp_replace("family", "^(.)(.)(.)$", "$1$3$2"), [F.col("a"), F.col("b"), F.col("family")])
 
 
@@ -296,13 +296,13 @@ def population_stats(spark, d):
     return rounded(stats.population_stats(obs(spark, d), CLASS, PARAMS))
 
 
-CENTRE = "c as (select family, variant, degrees(atan2(avg(sin(radians(angle))), avg(cos(radians(angle))))) as centre from obs where pid % 3 > 0 or angle > 0 group by 1, 2)"
+CENTRE = "c as (select family, variant, degrees(atan2(avg(sin(radians(angle))), avg(cos(radians(angle))))) as centre from obs where hb_1 > 2 or angle > 0 group by 1, 2)"
 DELTA = "(o.angle - c.centre + 180) - 360 * floor((o.angle - c.centre + 180) / 360) - 180"
 
 
-@query(f", {CENTRE}, x as (select o.family, o.variant, centre, {DELTA} as dev from obs o join c using (family, variant) where pid % 3 > 0 or angle > 0) select family, variant, round(first(centre), 4) as mean, round(sqrt(avg(dev * dev)), 4) as std from x group by 1, 2")
+@query(f", {CENTRE}, x as (select o.family, o.variant, centre, {DELTA} as dev from obs o join c using (family, variant) where hb_1 > 2 or angle > 0) select family, variant, round(first(centre), 4) as mean, round(sqrt(avg(dev * dev)), 4) as std from x group by 1, 2")
 def circular_mean_std(spark, d):
-    o = obs(spark, d).where("pid % 3 > 0 or angle > 0")
+    o = obs(spark, d).where("hb_1 > 2 or angle > 0")
     return rounded(stats.circular_stats(o, CLASS, "angle").select(*CLASS, "mean", "std"))
 
 
@@ -516,7 +516,170 @@ def class_selector(spark, d):
     return o.where(codec.class_selector("1,3-F", F.col("f"), F.col("bases"))).groupBy("family", "bases").agg(F.count("*").alias("n"))
 
 
-@query("""select pid, k1, k2, k3, name, value, case when name = 'hb_0' then value / 50 end as value_quantile from (select pid, k1, k2, k3, unnest(['hb_0', 'hb_1', 'hb_2']) as name, unnest([hb_0, hb_1, hb_2]) as value from obs where pid <= 200)""")
+@query("""select pid, k1, k2, k3, name, value, case when name = 'hb_0' then value / 50 end as value_quantile from (select pid, k1, k2, k3, unnest(['hb_0', 'hb_1', 'hb_2']) as name, unnest([hb_0, hb_1, hb_2]) as value from obs)""")
 def describe_rows(spark, d):
-    o = obs(spark, d).where("pid <= 200").withColumn("hb_0_quantile", F.col("hb_0") / 50)
+    o = obs(spark, d).withColumn("hb_0_quantile", F.col("hb_0") / 50)
     return filters.describe_row(o, ROW, PARAMS)
+
+
+# --- more aggregates ---------------------------------------------------------------------
+
+BANDS = {"p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
+
+
+@query("select family, variant, " + ", ".join(f"round(quantile_cont({p}, {q}), 4) as {p}_{n}" for p in PARAMS for n, q in BANDS.items()) + " from obs group by 1, 2")
+def percentile_bands(spark, d):
+    return rounded(stats.percentile_bands(obs(spark, d), CLASS, PARAMS, BANDS))
+
+
+@query("""with a as (select *, quantile_cont(o_totalprice, 0.1) over () as lo, quantile_cont(o_totalprice, 0.9) over () as hi from orders),
+  b as (select o_orderkey, o_totalprice, cast(o_custkey as double) as c from a where o_totalprice between lo and hi), e as (select *, quantile_cont(c, 0.1) over () as lo, quantile_cont(c, 0.9) over () as hi from b)
+  select o_orderkey, o_totalprice, c from e where c between lo and hi""")
+def quantile_trim(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("c"))
+    return stats.trim_quantiles(o, ["o_totalprice", "c"], 0.1)
+
+
+@query("select bucket, round(avg(hb_1), 4) as mean, count(*) as count from (select unnest([b, b + 1]) as bucket, hb_1 from (select cast(floor(hb_0 / 5) as bigint) as b, hb_1 from obs)) group by 1")
+def rolling_bucket_means(spark, d):
+    return rounded(stats.rolling_bucket_means(obs(spark, d), "hb_0", "hb_1", 0, 5))
+
+
+@query("""select family, round(avg(x), 4) as x_mean, round(coalesce(stddev_samp(y), 1), 4) as y_std, count(y) as n from (select family, hb_0 as x, hb_2 as y from obs union all select family, hb_2, hb_0 from obs) group by 1""")
+def symmetric_merge(spark, d):
+    both = stats.merge_symmetric(obs(spark, d), ["family"], {"hb_0": "hb_2", "hb_2": "hb_0"})
+    return rounded(both.groupBy("family").agg(F.avg("hb_0").alias("x_mean"), stats.stddev_or_one("hb_2").alias("y_std"), F.count("hb_2").alias("n")))
+
+
+@query("""with p as (select p_partkey, p_brand, p_size <= 10 as fine, p_size between 20 and 30 as coarse, p_type like 'P%' as d1, p_name like 'p%' as d2 from part)
+  select p_brand, count(*) as total, count(*) filter (fine) as high, count(*) filter (coarse) as medium, count(*) filter (fine or coarse) as "some", count(*) filter (d1 or d2) as dna, count(*) filter (not d1 or not d2) as rna, count(*) filter (d1 <> d2) as mixed,
+  count(*) filter (fine) + count(*) filter (coarse) / cast(100 as double) as score from p group by 1""")
+def class_quality_counts(spark, d):
+    p = t(spark, d, "part").select("p_brand", (F.col("p_size") <= 10).alias("fine"), F.col("p_size").between(20, 30).alias("coarse"), F.col("p_type").startswith("P").alias("d1"), F.col("p_name").startswith("p").alias("d2"))
+    d1, d2 = F.col("d1"), F.col("d2")
+    return stats.class_counts(p, ["p_brand"], filters.quality_flags(["fine"], ["coarse"]) | {"dna": d1 | d2, "rna": ~d1 | ~d2, "mixed": d1 != d2})
+
+
+BOND_SETS = [("A", 3, 3), ("N", 1, 2), ("R", 1, 1)]
+
+
+@query("""select family, case when good >= 2 then 1 when r and good >= 1 and plain >= 2 then 2 else 3 end as class_number from (select family, bool_or(variant <> 'F') as r from obs group by 1) join (values ('A', 3, 3), ('N', 1, 2), ('R', 1, 1)) v(f, good, plain) on f = family""")
+def class_number(spark, d):
+    known = spark.createDataFrame(BOND_SETS, "f string, good int, plain int")
+    rna = obs(spark, d).groupBy("family").agg(F.bool_or(F.col("variant") != "F").alias("r"))
+    number = F.when(F.col("good") >= 2, 1).when(F.col("r") & (F.col("good") >= 1) & (F.col("plain") >= 2), 2).otherwise(3)
+    return rna.join(F.broadcast(known), F.col("f") == F.col("family")).select("family", number.alias("class_number"))
+
+
+@query("""select pid, k1, k2, k3, round(abs(hb_0 - 20) / 5, 4) as hb_0_mode_deviation, round(abs((angle - 170 + 180) - 360 * floor((angle - 170 + 180) / 360) - 180) / 30, 4) as angle_mode_deviation, round(abs(hb_2 - 6) / 2, 4) as hb_2_mode_deviation,
+  round((abs(hb_0 - 20) / 5 + abs((angle - 170 + 180) - 360 * floor((angle - 170 + 180) / 360) - 180) / 30 + coalesce(abs(hb_2 - 6) / 2, 2)) / 3, 4) as mode_deviations from obs""")
+def mode_deviations(spark, d):
+    dev = stats.mode_deviation({"hb_0": (F.lit(20.0), F.lit(5.0)), "angle": (F.lit(170.0), F.lit(30.0)), "hb_2": (F.lit(6.0), F.lit(2.0))}, {"angle"})
+    return rounded(obs(spark, d).select(*ROW, *[c.alias(n) for n, c in dev.items()]))
+
+
+# --- more filters and joins --------------------------------------------------------------
+
+
+def _ops(spark, d):
+    c = F.col
+    return t(spark, d, "lineitem").select(c("l_orderkey").alias("pid"), F.nullif("l_returnflag", F.lit("N")).alias("op1"), F.nullif("l_linestatus", F.lit("O")).alias("op2"), "l_linenumber")
+
+
+SYM = "(select l_orderkey as pid, nullif(l_returnflag, 'N') as op1, nullif(l_linestatus, 'O') as op2, l_linenumber from lineitem)"
+
+
+@query(f"select * from {SYM} where op1 is null or op2 is null")
+def symmetry_keep_one_sided(spark, d):
+    return filters.without_symmetric(_ops(spark, d), "op1", "op2")
+
+
+@query(f"select * from {SYM} where op1 is null and op2 is null")
+def symmetry_drop_any(spark, d):
+    return filters.without_symmetric(_ops(spark, d), "op1", "op2", any_side=True)
+
+
+@query("select pid, k1, k2, k3 from obs where coalesce(hb_0 < 5, false) or coalesce(hb_1 < 5, false) or coalesce(hb_2 < 5, false)")
+def bad_bonds(spark, d):
+    return obs(spark, d).where(filters.any_bond_below(PARAMS, 5.0)).select(*ROW)
+
+
+@query("select o_orderkey, o_custkey, o_orderpriority, a.alt as alt1, b.alt as alt2 from orders left join (select distinct c_custkey, c_mktsegment as alt from customer where c_acctbal > 0) a on a.c_custkey = o_custkey left join (select distinct n_nationkey, n_name as alt from nation where n_regionkey > 0) b on b.n_nationkey = o_orderkey % 25")
+def variant_expansion(spark, d):
+    v = t(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", F.col("c_mktsegment").alias("alt"))
+    n = t(spark, d, "nation").where("n_regionkey > 0").select("n_nationkey", F.col("n_name").alias("alt"))
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", (F.col("o_orderkey") % 25).alias("site"))
+    return dedupe.expand_variants(dedupe.expand_variants(o, v, {"alt1": ("o_custkey", "c_custkey")}), n, {"alt2": ("site", "n_nationkey")}).drop("site")
+
+
+@query("""with r as (select distinct x, x * x % 11 as w from (select k1 as x from obs union all select k2 from obs)) select o.pid, o.k1, o.k2, o.k3, a.w as w1, b.w as w2 from obs o join r a on a.x = k1 join r b on b.x = k2""")
+def residue_dimension(spark, d):
+    work = lambda keys: keys.select("k1", (F.col("k1") * F.col("k1") % 11).alias("w"))
+    return dedupe.per_residue(obs(spark, d).select(*ROW), [["k1"], ["k2"]], work)
+
+
+@query("""with n as (select a, b, max(v) as v from (select s_nationkey as a, s_suppkey % 25 as b, s_acctbal as v from supplier) group by 1, 2)
+  select c_custkey, c_nationkey as a, c_custkey % 25 as b, coalesce(x.v, y.v) as v from customer left join n x on x.a = c_nationkey and x.b = c_custkey % 25 left join n y on y.a = c_custkey % 25 and y.b = c_nationkey""")
+def either_way_lookup(spark, d):
+    n = t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("a"), (F.col("s_suppkey") % 25).alias("b")).agg(F.max("s_acctbal").alias("v"))
+    c = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("a"), (F.col("c_custkey") % 25).alias("b"))
+    return dedupe.either_way_lookup(c, n, "a", "b", "v")
+
+
+@query("""select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 200000)""")
+def not_in_keys(spark, d):
+    gone = t(spark, d, "orders").where("o_totalprice > 200000").select("o_custkey")
+    return t(spark, d, "customer").join(gone, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query("""select b.family, b.variant, count(o.pid) as n from (values ('a', 'F'), ('N', 'F'), ('R', 'F'), ('A', 'O')) b(family, variant) left join obs o on lower(o.family) = lower(b.family) and o.variant = b.variant group by 1, 2""")
+def boundary_order_join(spark, d):
+    classes = spark.createDataFrame([("a", "F"), ("N", "F"), ("R", "F"), ("A", "O")], "family string, variant string")
+    counts = obs(spark, d).groupBy(F.lower("family").alias("_f"), F.col("variant").alias("_v")).agg(F.count("*").alias("c"))
+    on = (F.lower(classes.family) == F.col("_f")) & (classes.variant == F.col("_v"))
+    return classes.join(counts, on, "left").select("family", "variant", F.coalesce("c", F.lit(0)).alias("n"))
+
+
+@query("select s_nationkey as nation from supplier union select c_nationkey from customer where c_acctbal < 0")
+def union_distinct(spark, d):
+    s, c = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")), t(spark, d, "customer").where("c_acctbal < 0").select("c_nationkey")
+    return s.union(c).distinct()
+
+
+@query("""select o_orderkey, o_totalprice, o_custkey from orders order by o_totalprice desc nulls last, o_orderkey limit 100""")
+def gallery_top(spark, d):
+    """The gallery's first hundred rows: a top-k report."""
+    return t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey").orderBy(F.col("o_totalprice").desc_nulls_last(), "o_orderkey").limit(100)
+
+
+PREFER = """with p as (select k1, k2, k3, pid, case when k3 % 2 = 0 then 'cWW' when k3 % 3 = 0 then 'cHW' else 'cWH' end as fam, ['A', 'DG', 'C', 'U', 'X', 'Q'][k1 % 6 + 1] as b1, ['A', 'DG', 'C', 'U', 'X', 'Q'][k2 % 6 + 1] as b2 from obs),
+  r as (select *, case b1 when 'A' then 1 when 'DG' then 4 when 'C' then 5 when 'U' then 7 else 11 end as r1, case b2 when 'A' then 1 when 'DG' then 4 when 'C' then 5 when 'U' then 7 else 11 end as r2 from p)
+  select pid, k1, k2, k3, case when fam = 'cWW' then case when r1 <> r2 then r1 < r2 else b1 <= b2 end else fam = 'cWH' end as preferred from r"""
+
+
+@query(f", {PREFER.removeprefix('with ')}")
+def preferred_orientation(spark, d):
+    names = F.array(*map(F.lit, ["A", "DG", "C", "U", "X", "Q"]))
+    fam = F.when(F.col("k3") % 2 == 0, "cWW").when(F.col("k3") % 3 == 0, "cHW").otherwise("cWH")
+    base = lambda k: F.get(names, (F.col(k) % 6).cast("int"))
+    return obs(spark, d).select(*ROW, dedupe.preferred_orientation(fam, base("k1"), base("k2"), ["cWW", "cWH"]).alias("preferred"))
+
+
+@query()
+def rmsd_by_class(spark, d):
+    """Each group's atoms held against the exemplar of its own class; classes without one give null."""
+    square = {"A0": (0.0, 0.0, 0.0), "A1": (0.1, 0.0, 0.0), "A2": (0.1, 0.1, 0.0), "A3": (0.0, 0.1, 0.1)}
+    line = {"A0": (0.0, 0.0, 0.0), "A1": (0.1, 0.0, 0.0), "A2": (0.2, 0.01, 0.0)}
+    labelled = atoms(spark, d).withColumn("label", F.concat(F.lit("c"), (F.col("vec_id") % 3).cast("string")))
+    return spatial.rmsd_by_class(labelled, "vec_id", "label", "atom", {"c0": square, "c1": line})
+
+
+@query(f"""with v as (select vec_id, {_v(0)} as a, {_v(1)} as b, {_v(2)} as c, {_v(3)} as e from embeddings)
+  select vec_id, round(list_distance(b, c), 4) as length, round(degrees(acos(list_cosine_similarity([a[i] - b[i] for i in [1, 2, 3]], [c[i] - b[i] for i in [1, 2, 3]]))), 3) as donor_angle,
+  round(degrees(acos(list_cosine_similarity([b[i] - c[i] for i in [1, 2, 3]], [e[i] - c[i] for i in [1, 2, 3]]))), 3) as acceptor_angle,
+  round(90 - degrees(acos(list_cosine_similarity([c[i] - b[i] for i in [1, 2, 3]], [0::double, 0::double, 1::double]))), 3) as "OOPA1", round(90 - degrees(acos(list_cosine_similarity([c[i] - b[i] for i in [1, 2, 3]], [1::double, 0::double, 0::double]))), 3) as "OOPA2" from v""")
+def bond_geometry(spark, d):
+    e = F.col("embedding")
+    a, b, c, f = ([e[3 * n + i].cast("double") for i in range(3)] for n in range(4))
+    got = spatial.bond_params(a, b, c, f, [F.lit(0.0), F.lit(0.0), F.lit(1.0)], [F.lit(1.0), F.lit(0.0), F.lit(0.0)])
+    return t(spark, d, "embeddings").select("vec_id", *[F.round(c, 4 if n == "length" else 3).alias(n) for n, c in got.items()])

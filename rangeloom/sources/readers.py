@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import bz2
 import gzip
-import io
 import re
 
 import pandas as pd
@@ -96,9 +96,39 @@ def unit_columns(unit: F.Column, n: int) -> list[F.Column]:
     ]
 
 
+def unpacked(path: str, content: bytes) -> bytes:
+    """A file's bytes, unpacked by its name's ending (gz, bz2, zst)."""
+    if path.endswith(".gz"):
+        return gzip.decompress(content)
+    if path.endswith(".bz2"):
+        return bz2.decompress(content)
+    if path.endswith(".zst"):
+        import zstandard
+
+        return zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True).read()
+    return content
+
+
+def read_lines(spark: SparkSession, *files: str) -> DataFrame:
+    """(value): lines of text files; those that end in zst are unpacked in a map over whole files."""
+    packed = [f for f in files if f.endswith(".zst")]
+    plain = [f for f in files if f not in packed]
+
+    def unpack(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                yield pd.DataFrame({"value": unpacked(path, content).decode().splitlines()})
+
+    out = spark.read.text(plain) if plain else None
+    if packed:
+        more = spark.read.format("binaryFile").load(packed).select("path", "content").mapInPandas(unpack, "value string")
+        out = more if out is None else out.union(more)
+    return out
+
+
 def read_basepairs(spark: SparkSession, *files: str) -> DataFrame:
-    """Base-pair text (plain or gz): unit id, family, unit id, ignored number on each line."""
-    lines = spark.read.text(list(files)).select(F.trim("value").alias("line")).where("line != ''")
+    """Base-pair text (plain, gz or zst): unit id, family, unit id, ignored number on each line."""
+    lines = read_lines(spark, *files).select(F.trim("value").alias("line")).where("line != ''")
     f = F.split("line", r"\s+")
     lines = lines.select(f[0].alias("u1"), f[1].alias("family"), f[2].alias("u2"))
     head = F.split("u1", r"\|")
@@ -145,14 +175,14 @@ def cif_atoms(text: str) -> list[tuple]:
 
 
 def read_structures(spark: SparkSession, *files: str) -> DataFrame:
-    """Atoms of mmCIF files (plain or gz), one file a row of work; the id is the file's stem."""
+    """Atoms of mmCIF files (plain, gz, bz2 or zst), one file a row of work; the id is the file's stem."""
 
     names = [c.split()[0] for c in ATOM_SCHEMA.split(", ")]
 
     def parse(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                data = gzip.open(io.BytesIO(content)).read() if path.endswith(".gz") else content
+                data = unpacked(path, content)
                 stem = re.split(r"[./\\]", path.rsplit("/", 1)[-1])[0].lower()
                 yield pd.DataFrame([(stem, *r) for r in cif_atoms(data.decode())], columns=names)
 
@@ -168,3 +198,144 @@ def partition_of(df: DataFrame, column: str, parts: int, first: int, last: int |
     """The rows of partitions ``first`` to ``last`` out of ``parts``, by a hash of the lower-cased id."""
     k = F.pmod(F.xxhash64(F.lower(column)), F.lit(parts))
     return df.where(k.between(first, first if last is None else last))
+
+
+#: Modified bases and the base that each counts as.
+PARENT_BASE = {"2MG": "G", "7MG": "G", "OMG": "G", "GTP": "G", "5MC": "C", "OMC": "C", "5MU": "T", "CTG": "T", "A2M": "A"}
+#: Fixed value: what the annotator writes for a number that it does not have.
+NO_NUMBER = "999999"
+ANNOTATED_ID = re.compile(r"(\w+)\.(\w+?)/?(-?\d+)(?:\^(\w+))?")
+#: Names of the twelve step parameters, in file order.
+STEP_PARAMETERS = ("shear", "stretch", "stagger", "buckle", "propeller", "opening", "shift", "slide", "rise", "tilt", "roll", "twist")
+ANNOTATED_SCHEMA = "folder string, " + ", ".join(f"seq{i} int, chain{i} string, nr{i} int, res{i} string, alt{i} string" for i in (1, 2)) + ", pairing_type string, " + ", ".join(f"{p} double" for p in STEP_PARAMETERS)
+
+
+def parent_base(name: str) -> str:
+    """One-letter base of a residue name where it has one, else the name."""
+    name = name.upper()
+    short = name[1:] if name.startswith("D") and len(name) > 1 else name
+    return PARENT_BASE.get(short, short)
+
+
+def annotated_pairs(pairs: str, steps: str) -> list[tuple]:
+    """Rows of a pair file and its parameter file, which belong together line by line.
+
+    Comment lines (#) count in neither.  Rows whose residue names contradict the written
+    base pair go; names of modified bases are not held against it.
+    """
+    lines = [[x for x in text.splitlines() if x.strip() and not x.startswith("#")] for text in (pairs, steps)]
+    rows = []
+    for line, more in zip(*lines, strict=False):
+        seq1, seq2, _, _, _, id1, id2, written, kind = line.split()
+        again, *numbers = more.split()
+        if again != written:
+            raise ValueError(f"the files are out of step: {written} and {again}")
+        sides = [ANNOTATED_ID.fullmatch(x) for x in (id1, id2)]
+        if None in sides:
+            raise ValueError(f"not residue ids: {id1} {id2}")
+        names = [parent_base(m[2]) for m in sides]
+        if all(len(n) == 1 for n in names) and names != [b.upper() for b in re.split("[-+]", written)]:
+            continue
+        values = [None if v == NO_NUMBER else float(v) for v in numbers]
+        residues = [x for seq, m in zip((seq1, seq2), sides, strict=True) for x in (int(seq), m[1], int(m[3]), m[2], m[4] or "")]
+        rows.append((*residues, kind, *(values + [None] * len(STEP_PARAMETERS))[: len(STEP_PARAMETERS)]))
+    return rows
+
+
+def read_annotated(spark: SparkSession, *folders: str, pairs: str = "dssr-pairs.txt", steps: str = "dssr-dsStepPars.txt") -> DataFrame:
+    """Pairs with step parameters from folders that hold two files each, matched by line position.
+
+    A folder is one row of work: its two files are small and are grouped by their folder.
+    """
+    files = [f"{f.rstrip('/')}/{n}" for f in folders for n in (pairs, steps)]
+    df = spark.read.format("binaryFile").load(files).select(F.regexp_extract("path", "^(.*)/", 1).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+    names = [c.split()[0] for c in ANNOTATED_SCHEMA.split(", ")]
+
+    def parse(pdf: pd.DataFrame) -> pd.DataFrame:
+        text = {n: c.decode() for n, c in zip(pdf["name"], pdf["content"], strict=True)}
+        rows = annotated_pairs(text.get(pairs, ""), text.get(steps, ""))
+        return pd.DataFrame([(pdf["folder"].iloc[0], *r) for r in rows], columns=names)
+
+    return df.groupBy("folder").applyInPandas(parse, ANNOTATED_SCHEMA)
+
+
+def cif_category(text: str, category: str) -> list[dict[str, str | None]]:
+    """Rows of one mmCIF category, whether written as a loop or as single items.
+
+    ``?`` and ``.`` are null.  Rows of a loop may be broken over lines; texts between
+    semicolons are one value.
+    """
+    names: list[str] = []
+    values: list[str | None] = []
+    single: dict[str, str | None] = {}
+    in_loop, block, pending = False, None, None
+    prefix = f"_{category}."
+
+    def give(v: str | None) -> None:
+        nonlocal pending
+        if pending is not None:
+            single[pending], pending = v, None
+        elif in_loop and names:
+            values.append(v)
+
+    for line in text.splitlines():
+        if block is not None:
+            if line.startswith(";"):
+                give("\n".join(block))
+                block = None
+            else:
+                block.append(line)
+        elif line.startswith(";"):
+            block = [line[1:]]
+        elif line.startswith(("loop_", "#", "data_")):
+            in_loop, pending = line.startswith("loop_"), None
+            if names:
+                break
+        elif line.startswith("_"):
+            item, _, rest = line.strip().partition(" ")
+            pending = None
+            if not item.startswith(prefix):
+                if names or single:
+                    break
+                in_loop = False
+            elif in_loop and not rest.strip():
+                names.append(item.removeprefix(prefix))
+            else:
+                pending = item.removeprefix(prefix)
+                for v in _cif_values(rest):
+                    give(v)
+        elif names or pending is not None:
+            for v in _cif_values(line):
+                give(v)
+    if not names:
+        return [single] if single else []
+    return [dict(zip(names, values[i : i + len(names)], strict=True)) for i in range(0, len(values) - len(names) + 1, len(names))]
+
+
+def _cif_values(text: str) -> list[str | None]:
+    return [None if c in ("?", ".") else a or b or c for a, b, c in CIF_TOKEN.findall(text)]
+
+
+OPERATOR_SCHEMA = "pdbid string, id string, op string, triplet string, " + ", ".join(f"r{i}{j} double" for i in (1, 2, 3) for j in (1, 2, 3)) + ", t1 double, t2 double, t3 double, organism string, organism_id int"
+
+
+def symmetry_rows(text: str) -> list[tuple]:
+    """Symmetry operators of an mmCIF file, each with the file's source organism."""
+    source = (cif_category(text, "pdbx_entity_src_syn") or [{}])[0]
+    number = source.get("pdbx_src_id")
+    organism = (source.get("organism_scientific"), int(number) if number else None)
+    items = [f"matrix[{i}][{j}]" for i in (1, 2, 3) for j in (1, 2, 3)] + [f"vector[{i}]" for i in (1, 2, 3)]
+    return [(r["id"], r.get("name"), r.get("symmetry_operation"), *(float(r[i]) for i in items), *organism) for r in cif_category(text, "pdbx_struct_oper_list")]
+
+
+def read_symmetry(spark: SparkSession, *files: str) -> DataFrame:
+    """Symmetry operators of mmCIF files, in the form that ``transform_points`` takes."""
+    names = [c.split()[0] for c in OPERATOR_SCHEMA.split(", ")]
+
+    def parse(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                stem = re.split(r"[./\\]", path.rsplit("/", 1)[-1])[0].lower()
+                yield pd.DataFrame([(stem, *r) for r in symmetry_rows(unpacked(path, content).decode())], columns=names)
+
+    return spark.read.format("binaryFile").load(list(files)).select("path", "content").mapInPandas(parse, OPERATOR_SCHEMA)

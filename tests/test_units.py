@@ -166,3 +166,41 @@ def test_stream_filter(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.v for r in spark.table("kept").collect()] == [5.0]
+
+
+def test_packed_basepair_text(spark, tmp_path):
+    zstandard = pytest.importorskip("zstandard")
+    (tmp_path / "x.txt.zst").write_bytes(zstandard.ZstdCompressor().compress(b"1ABC|1|A|G|10 cWH 1ABC|1|A|C|25 0\n"))
+    (tmp_path / "y.txt").write_text("2ABC|1|A|G|11 tWH 2ABC|1|A|C|26 0\n")
+    rows = readers.read_basepairs(spark, str(tmp_path / "x.txt.zst"), str(tmp_path / "y.txt")).collect()
+    assert sorted((r.pdbid, r.nr1, r.family) for r in rows) == [("1abc", 10, "cWH"), ("2abc", 11, "tWH")]
+
+
+def test_annotated_pairs_are_matched_by_line(spark, tmp_path):
+    pairs = "# head\n1 9 a b 0 A.G1 A.C9 G-C cWW\n2 8 a b 0 A.2MG2 B.DA-8^X G+A tWH\n3 7 a b 0 A.G3 A.C7 A-C cWW\n"
+    steps = "# other head\n# more\n" + "\n".join(f"{p} {v} " + " ".join(["1.5"] * 11) for p, v in (("G-C", "999999"), ("G+A", "0.25"), ("A-C", "1"))) + "\n"
+    for name, text in (("dssr-pairs.txt", pairs), ("dssr-dsStepPars.txt", steps)):
+        (tmp_path / name).write_text(text)
+    rows = sorted(readers.read_annotated(spark, str(tmp_path)).collect(), key=lambda r: r.seq1)
+    assert [(r.nr1, r.res1, r.chain2, r.nr2, r.alt2, r.pairing_type, r.shear, r.twist) for r in rows] == [(1, "G", "A", 9, "", "cWW", None, 1.5), (2, "2MG", "B", -8, "X", "tWH", 0.25, 1.5)]
+    with pytest.raises(ValueError, match="out of step"):
+        readers.annotated_pairs("1 9 a b 0 A.G1 A.C9 G-C cWW\n", "A-U 1\n")
+
+
+def test_symmetry_reader(spark, tmp_path):
+    items = ["id", "name", "symmetry_operation", *[f"matrix[{i}][{j}]" for i in (1, 2, 3) for j in (1, 2, 3)], *[f"vector[{i}]" for i in (1, 2, 3)]]
+    loop = "loop_\n" + "".join(f"_pdbx_struct_oper_list.{i}\n" for i in items) + "1 1_555 x,y,z 1 0 0 0 1 0\n0 0 1 0 0 0\n2 2_655 '-x+1,-y,z' -1 0 0 0 -1 0 0 0 1 5.5 0 0\n#\n"
+    (tmp_path / "1ABC.cif").write_text(f"data_1ABC\n{loop}_pdbx_entity_src_syn.pdbx_src_id 1\n_pdbx_entity_src_syn.organism_scientific 'some being'\n_other.x 1\n")
+    rows = readers.read_symmetry(spark, str(tmp_path / "1ABC.cif")).orderBy("id").collect()
+    assert [(r.pdbid, r.op, r.triplet, r.r11, r.t1, r.organism, r.organism_id) for r in rows] == [("1abc", "1_555", "x,y,z", 1.0, 0.0, "some being", 1), ("1abc", "2_655", "-x+1,-y,z", -1.0, 5.5, "some being", 1)]
+    points = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "k int, x double, y double, z double")
+    assert [tuple(r) for r in spatial.transform_points(points, readers.read_symmetry(spark, str(tmp_path / "1ABC.cif"))).select("op", "x", "y", "z").collect()] == [("2_655", 4.5, -2.0, 3.0)]
+
+
+def test_variants_and_residue_dimension(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "l string, r string")
+    alts = spark.createDataFrame([("b", "X"), ("b", "Y"), ("b", "X")], "k string, alt string")
+    rows = dedupe.expand_variants(pairs, alts, {"alt1": ("l", "k"), "alt2": ("r", "k")}).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [("a", "b", None, "X"), ("a", "b", None, "Y"), ("b", "c", "X", None), ("b", "c", "Y", None)]))
+    dim = dedupe.per_residue(pairs, [["l"], ["r"]], lambda k: k.select("l", F.upper("l").alias("up")))
+    assert {(r.l, r.up1, r.up2) for r in dim.collect()} == {("a", "A", "B"), ("b", "B", "C")}
