@@ -125,6 +125,13 @@ def kde_log_likelihood(x: np.ndarray, sample: np.ndarray, factor: float = 1.5, b
     return out
 
 
+def lowest_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each class; ``_salt`` deals a class to tasks that each keep ``n`` first."""
+    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    kept = df.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n)
+    return kept.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
 def kde_likelihood(df: DataFrame, keys: list[str], row: list[str], x: str, angular: bool = False, sample: int = KDE_SAMPLE, rows_per_task: int = 1_000_000) -> DataFrame:
     """(keys, row, ``log_likelihood``, ``mode``): density of each value within its class.
 
@@ -137,7 +144,7 @@ def kde_likelihood(df: DataFrame, keys: list[str], row: list[str], x: str, angul
     named = df.where(F.col(x).isNotNull()).select(*keys, *row, F.col(x).cast("double").alias("_x"))
     salts = max(1, -(-named.count() // rows_per_task))
     order = F.xxhash64(*[F.col(r).cast("string") for r in row])
-    chosen = named.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order, *row))).where(F.col("_n") <= sample)
+    chosen = lowest_rows(named.withColumn("_salt", F.pmod(order, F.lit(salts)).cast("int")), keys, [order, *map(F.col, row)], sample).drop("_salt")
     samples = chosen.select(*keys, F.col("_x").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     dealt = named.withColumn("_salt", F.pmod(order, F.lit(salts)).cast("int"))
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*keys, *row]) + ", log_likelihood double, mode double"
@@ -201,3 +208,35 @@ def class_counts(df: DataFrame, keys: list[str], flags: dict[str, Column]) -> Da
     """Total and one count per flag, with ``score`` = high + medium / 100 where both are flags."""
     out = df.groupBy(*keys).agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in flags.items()])
     return out.withColumn("score", F.col("high") + F.col("medium") / 100) if {"high", "medium"} <= set(flags) else out
+
+
+def curve_summary(sample: np.ndarray, points: int = 200, share: float = 0.05) -> tuple[float | None, float | None, float | None]:
+    """(mode, low, high) of a KDE: the densest sample value around the curve's top, and the
+    points that leave ``share`` of the curve's area on either side.  Fewer than five values
+    or no spread: nulls.
+    """
+    if len(sample) < 5 or not np.ptp(sample) > 0:
+        return None, None, None
+    grid = np.linspace(sample.min(), sample.max(), points)
+    density = kde_log_likelihood(grid, sample)
+    top = int(np.argmax(density))
+    near = sample[(sample >= grid[max(0, top - 1)]) & (sample <= grid[min(points - 1, top + 1)])]
+    mode = float(near[np.argmax(kde_log_likelihood(near, sample))]) if len(near) else float(grid[top])
+    area = np.cumsum(np.exp(density))
+    low, high = np.interp([share, 1 - share], area / area[-1], grid)
+    return mode, float(low), float(high)
+
+
+def kde_curve(df: DataFrame, keys: list[str], row: list[str], x: str, sample: int = KDE_SAMPLE, rows_per_task: int = 1_000_000) -> DataFrame:
+    """(keys, ``mode``, ``low``, ``high``) of each class's KDE over the sample of ``kde_likelihood``."""
+    named = df.where(F.col(x).isNotNull()).select(*keys, *row, F.col(x).cast("double").alias("_x"))
+    order = F.xxhash64(*[F.col(r).cast("string") for r in row])
+    salts = max(1, -(-named.count() // rows_per_task))
+    chosen = lowest_rows(named.withColumn("_salt", F.pmod(order, F.lit(salts)).cast("int")), keys, [order, *map(F.col, row)], sample)
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys) + ", mode double, low double, high double"
+
+    def summarise(part: pd.DataFrame) -> pd.DataFrame:
+        got = curve_summary(np.sort(part["_x"].to_numpy(float)))
+        return pd.DataFrame({**{k: [part[k].iloc[0]] for k in keys}, **{n: pd.Series([v], dtype=object) for n, v in zip(("mode", "low", "high"), got, strict=True)}})
+
+    return chosen.select(*keys, "_x").groupBy(*keys).applyInPandas(summarise, schema)

@@ -392,6 +392,13 @@ def kde_likelihood(spark, d):
     return rounded(stats.kde_likelihood(e, ["label"], ["vec_id"], "x").select("label", "vec_id", "log_likelihood"))
 
 
+@query()
+def kde_curve(spark, d):
+    """Mode and central nine tenths of each class's density curve."""
+    e = t(spark, d, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("x"))
+    return stats.kde_curve(e, ["label"], ["vec_id"], "x")
+
+
 def sig5(x: str) -> str:
     return f"case when {x} = 0 then cast(0 as double) else round({x} / pow(10, floor(log10(abs({x}))) - 4)) * pow(10, floor(log10(abs({x}))) - 4) end"
 

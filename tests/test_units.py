@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.functions.ranges import NumRange, range_sql
 from rangeloom.functions.scalars import circular_mean, wrap180
-from rangeloom.operators import compare, dedupe, filters, matching, spatial
+from rangeloom.operators import compare, dedupe, filters, matching, spatial, stats
 from rangeloom.plans import codec
 from rangeloom.sources import readers, writers
 
@@ -204,3 +204,16 @@ def test_variants_and_residue_dimension(spark):
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [("a", "b", None, "X"), ("a", "b", None, "Y"), ("b", "c", "X", None), ("b", "c", "Y", None)]))
     dim = dedupe.per_residue(pairs, [["l"], ["r"]], lambda k: k.select("l", F.upper("l").alias("up")))
     assert {(r.l, r.up1, r.up2) for r in dim.collect()} == {("a", "A", "B"), ("b", "B", "C")}
+
+
+def test_kde_curve_and_salted_sample(spark):
+    x = np.random.default_rng(2).normal(3.0, 1.0, 600)
+    mode, low, high = stats.curve_summary(np.sort(x))
+    assert abs(mode - 3) < 0.4 and abs(low - 1.2) < 0.3 and abs(high - 4.8) < 0.3
+    assert stats.curve_summary(np.ones(9)) == (None, None, None)
+    df = spark.createDataFrame([("a" if i % 7 else "b", i, float(v)) for i, v in enumerate(x)], "k string, i int, x double")
+    want = {r.i: r.log_likelihood for r in stats.kde_likelihood(df, ["k"], ["i"], "x", sample=50).collect()}
+    got = {r.i: r.log_likelihood for r in stats.kde_likelihood(df, ["k"], ["i"], "x", sample=50, rows_per_task=40).collect()}
+    assert want.keys() == got.keys() and all(abs(want[i] - got[i]) < 1e-9 for i in want)
+    curves = [sorted(map(tuple, stats.kde_curve(df, ["k"], ["i"], "x", sample=50, rows_per_task=n).collect())) for n in (40, 10**6)]
+    assert curves[0] == curves[1] and len(curves[0]) == 2
