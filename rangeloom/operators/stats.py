@@ -65,11 +65,18 @@ def histogram_2d(df: DataFrame, x: str, y: str, domain: tuple[float, float, floa
 
 
 def rank_quantile(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
-    """Descending average rank mapped to 0..1 within the class."""
+    """Descending average rank mapped to 0..1 within the class.
+
+    Equal values share a rank, so they are counted before anything is ordered: only
+    distinct values are ranked, and the result is joined back to the rows.
+    """
     w = Window.partitionBy(*keys)
-    ties = F.count("*").over(Window.partitionBy(*keys, x)) - 1
-    rank = F.rank().over(w.orderBy(F.col(x).desc_nulls_last())) + ties / 2.0
-    return df.withColumn(out, (rank - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1)))
+    counted = df.groupBy(*keys, x).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy(F.col(x).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    value = (before + (F.col("_n") - 1) / 2.0) / F.greatest(F.sum("_n").over(w) - 1, F.lit(1))
+    ranked = counted.select(*[F.col(c).alias(f"_r_{c}") for c in [*keys, x]], value.alias(out))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*keys, x]])
+    return df.join(ranked, on, "left").select(*df.columns, out)
 
 
 def masked_quantile(df: DataFrame, keys: list[str], order: list[Column], accepted: str, out: str) -> DataFrame:
