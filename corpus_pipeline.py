@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import bpe, decontaminate, quality, simhash, toxicity
+from rangeloom.llm import bpe, decontaminate, quality, similar, toxicity
 from rangeloom.llm.common import table
 from rangeloom.llm.queries import held_out, tokenizer_path
 
@@ -29,8 +29,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """Of documents linked by a similarity of 0.8 or more on five-word shingles the one with the smallest doc_id stays."""
+    return similar.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Learnt weights, SimHash and BPE are beyond SQL; tests hold run() against plain Python.
+#: Learnt weights, shingle sets and BPE are beyond SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rangeloom.llm import bpe, decontaminate, extract, licenses, quality, rollups, sharding, simhash, toxicity, urls
+from rangeloom.llm import bpe, decontaminate, extract, licenses, quality, rollups, sharding, similar, simhash, toxicity, urls
 from rangeloom.llm.oracles import ORACLES
 from rangeloom.llm.queries import QUERIES, URL_RULES, tokenizer_path
 from tests.oracle import check
@@ -322,6 +322,62 @@ def test_near_duplicates_and_what_stays(docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+# --- near copies -------------------------------------------------------------------------
+
+
+def plain_similar(rows, k=5):
+    """Component of each (key, text) by all pairs of similarity 0.8 or more; the least key names it."""
+    sets = []
+    for _, t in rows:
+        w = SPACED.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))})
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if group[a] != group[b] and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                group = [group[b] if g == group[a] else g for g in group]
+    return [min(rows[j][0] for j in range(len(rows)) if group[j] == g) for g in group]
+
+
+@pytest.mark.parametrize("pivots", [similar.PIVOTS, (1, 2, 2**62)])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, pivots):
+    monkeypatch.setattr(similar, "PIVOTS", pivots)
+    monkeypatch.setattr(similar, "HOT", 3)
+    rng = random.Random(6)
+    rows = [(900, None), (901, " \n"), (902, "one two"), (903, "One  TWO"), (904, "one two three"), (905, "été a b c d e"), (906, "Été a b c d e")]
+    for _ in range(8):
+        base = [rng.choice("abcdefghijklmnop") * rng.randint(1, 9) for _ in range(rng.randint(40, 160))]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = "edited"
+            rows.append((len(rows), " ".join(w + "a line that all of the texts have in common".split())))
+    want = plain_similar(rows)
+    assert len(set(want)) > 15
+    out = similar.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(want))
+
+
+def test_sketch_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((1, 1, 0), (0, 4, 0), (300, 250, 240), (1000, 1100, 900), (5000, 4000, 100)):
+        pool = np.unique(rng.integers(-(2**63), 2**63 - 1, n + m - both))
+        a, b = pool[:n], pool[n - both :]
+        bits = similar.sketch_bits([similar.sketch(a).tobytes()], [similar.sketch(b).tobytes()])[0]
+        assert bits <= n + m - 2 * both and (both or bits > 0)
+
+
+def test_pipeline_stage_takes_a_similarity_of_0_8(spark, data):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    pair = docs.where("doc_id in (1, 177)")  # 0.83 on five-word shingles, 9 bits apart
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, pair, data).collect()] == [1]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, data).collect()) == sorted(set(plain_similar(rows)))
+
+
 # --- toxicity ----------------------------------------------------------------------------
 
 
