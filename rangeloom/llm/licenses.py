@@ -44,7 +44,30 @@ TEMPLATES = (
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("all-rights-reserved", "all rights reserved no part of this publication may be reproduced"),
+    # Short notices: of fewer than WHOLE 3-grams, so they must occur whole.
+    ("all-rights-reserved", "all rights reserved"),
+    ("apache-2", "licensed under the apache license version 2"),
+    ("bsd", "licensed under the bsd license"),
+    ("bsd", "under the bsd 2 clause license"),
+    ("bsd", "under the bsd 3 clause license"),
+    ("gpl", "licensed under the gnu general public license"),
+    ("gpl", "under the gnu gpl"),
+    ("gpl", "gnu general public license version 2"),
+    ("gpl", "gnu general public license version 3"),
+    ("gpl", "gnu general public license v2"),
+    ("gpl", "gnu general public license v3"),
+    ("lgpl", "gnu lesser general public license"),
+    ("mpl-2", "mozilla public license version 2"),
+    ("mpl-2", "mozilla public license v 2"),
+    ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by", "creative commons attribution 4 0"),
+    ("cc-by", "creative commons attribution license"),
+    ("cc-by-nc", "creative commons attribution noncommercial"),
+    ("cc-by-sa", "creative commons attribution sharealike"),
+    ("cc-by-sa", "cc by sa"),
 )
+#: A template of fewer 3-grams must be met whole.
+WHOLE = 9
 
 
 def template_words(text: str) -> list[str]:
@@ -98,7 +121,7 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", phrase
     )
     share = F.col("votes") / F.col("grams")
     base = F.col("exact") & (F.col("votes") == F.col("grams"))
-    near = ~F.col("exact") & (share >= coverage)
+    near = ~F.col("exact") & (share >= F.when(F.col("grams") < WHOLE, F.lit(1.0)).otherwise(F.lit(coverage)))
     found = spans.groupBy("row", "key").agg(
         (F.lit(-1) - F.min(F.when(F.col("tmpl").isNull(), F.col("diag")))).cast("long").alias("n_words"),
         F.count(F.when(base, 1)).alias("n_base"),

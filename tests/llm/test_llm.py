@@ -152,6 +152,25 @@ def test_license_template_with_edits(spark):
     assert 0.6 <= got[1].score <= 1 and got[1].spans[0].word == 3
 
 
+@pytest.mark.parametrize(
+    ("label", "text"),
+    [
+        ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+        ("gpl", "Terms: GNU General Public License v2"),
+        ("all-rights-reserved", "All rights reserved."),
+        ("lgpl", "Use it under the GNU Lesser General Public License."),
+        ("bsd", "Released under the BSD 3-Clause License"),
+        ("mpl-2", "See the Mozilla Public License, v. 2.0"),
+        ("cc-by", "Licensed under CC BY 4.0"),
+        ("cc-by-sa", "Text is CC BY-SA"),
+        ("", "the rights reserved to all; a general public license of gnu"),
+    ],
+)
+def test_short_license_notices(spark, label, text):
+    row = licenses.scan_licenses(spark.createDataFrame([(1, f"One two. {text}")], "doc_id long, text string")).first()
+    assert (row.labels, row.score) == (label, 1.0 if label else 0.0)
+
+
 # --- extraction --------------------------------------------------------------------------
 
 
