@@ -4,8 +4,9 @@ Every rolling word 3-gram of every text is joined to the positions of the same 3
 the license templates (a fixed, small table).  A match votes for the diagonal
 ``text position - template position``; votes are counted per text, template and diagonal,
 neighbouring diagonals are merged (a word more or less moves the rest by one), and the
-span is verified by the share of template positions it accounts for.  Joining on the
-3-gram itself beside its hash makes every vote exact.
+span is verified by the share of distinct template positions it accounts for and by the
+words that tell a license from its rivals.  Of overlapping spans of several labels the
+best one stays.  Joining on the 3-gram itself beside its hash makes every vote exact.
 """
 
 from __future__ import annotations
@@ -65,7 +66,10 @@ TEMPLATES = (
     ("cc-by-nc", "creative commons attribution noncommercial"),
     ("cc-by-sa", "creative commons attribution sharealike"),
     ("cc-by-sa", "cc by sa"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike"),
 )
+#: Words that a span must hold where its template does.
+TELLING = ("lesser", "noncommercial", "sharealike")
 #: A template of fewer 3-grams must be met whole.
 WHOLE = 9
 
@@ -74,15 +78,17 @@ def template_words(text: str) -> list[str]:
     return [w for w in re.split(SPLIT, text.translate({i: i + 32 for i in range(0x41, 0x5B)})) if w]
 
 
-def template_rows(phrases, templates) -> list[tuple[int, str, int, int, str, bool]]:
-    """(template, gram, position, grams of the template, label, exact) for every 3-gram."""
+def template_rows(phrases, templates) -> list[tuple[int, str, int, int, str, bool, list[list[int]]]]:
+    """(template, gram, position, grams of the template, label, exact, needs) for every 3-gram;
+    ``needs`` are the positions of each telling word's 3-grams."""
     rows = []
     for t, (label, text, exact) in enumerate([(lb, tx, True) for tx, lb in phrases] + [(lb, tx, False) for lb, tx in templates]):
         words = template_words(text)
         if len(words) < K:
             raise ValueError(f"a template needs {K} words: {text!r}")
         grams = [" ".join(words[i : i + K]) for i in range(len(words) - K + 1)]
-        rows += [(t, g, i, len(grams), label, exact) for i, g in enumerate(grams)]
+        needs = [[i for i, g in enumerate(grams) if word in g.split()] for word in TELLING if word in words]
+        rows += [(t, g, i, len(grams), label, exact, needs) for i, g in enumerate(grams)]
     return rows
 
 
@@ -96,8 +102,8 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", phrase
     """
     require(df, key, text)
     spark = df.sparkSession
-    plan = spark.createDataFrame(template_rows(phrases, templates), "tmpl int, gram string, tpos int, grams int, label string, exact boolean")
-    plan = F.broadcast(plan.select(F.xxhash64("gram").alias("t_hash"), F.col("gram").alias("t_gram"), "tmpl", "tpos", "grams", "label", "exact"))  # fixed table
+    plan = spark.createDataFrame(template_rows(phrases, templates), "tmpl int, gram string, tpos int, grams int, label string, exact boolean, needs array<array<int>>")
+    plan = F.broadcast(plan.select(F.xxhash64("gram").alias("t_hash"), F.col("gram").alias("t_gram"), "tmpl", "tpos", "grams", "label", "exact", "needs"))  # fixed table
     # Two code points above U+007F have an ASCII letter in their lower-case form; neither may make an ASCII word.
     t = F.lower(F.replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("K"), F.lit("é")), F.lit("İ"), F.lit("é")))
     words = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.array_remove(F.split(t, SPLIT, -1), "").alias("w"))
@@ -111,25 +117,35 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", phrase
     rolled = words.select("row", "key", F.inline(F.concat(own, grams)))
     met = rolled.join(plan, (F.xxhash64("gram") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")), "left").where("pos < 0 or tmpl is not null")
     votes = met.groupBy("row", "key", "tmpl", (F.col("pos") - F.coalesce("tpos", F.lit(0))).alias("diag")).agg(
-        F.count("tpos").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("grams").alias("grams"), F.first("label").alias("label"), F.first("exact").alias("exact")
+        F.collect_set("tpos").alias("at"), F.first("needs").alias("needs"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("grams").alias("grams"), F.first("label").alias("label"), F.first("exact").alias("exact")
     )
     order = Window.partitionBy("row", "tmpl").orderBy("diag")
     starts = F.when(F.col("exact") | (F.col("diag") - F.lag("diag").over(order) > GAP) | F.lag("diag").over(order).isNull(), 1).otherwise(0)
     spans = votes.withColumn("new", starts).withColumn("span", F.sum("new").over(order))
     spans = spans.groupBy("row", "key", "tmpl", "span").agg(
-        F.least(F.sum("votes"), F.first("grams")).alias("votes"), F.min("diag").alias("diag"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("grams").alias("grams"), F.first("label").alias("label"), F.first("exact").alias("exact")
+        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.first("needs").alias("needs"), F.min("diag").alias("diag"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("grams").alias("grams"), F.first("label").alias("label"), F.first("exact").alias("exact")
     )
+    spans = spans.withColumn("votes", F.size("at"))
     share = F.col("votes") / F.col("grams")
     base = F.col("exact") & (F.col("votes") == F.col("grams"))
-    near = ~F.col("exact") & (share >= F.when(F.col("grams") < WHOLE, F.lit(1.0)).otherwise(F.lit(coverage)))
+    near = ~F.col("exact") & (share >= F.when(F.col("grams") < WHOLE, F.lit(1.0)).otherwise(F.lit(coverage))) & F.forall("needs", lambda p: F.arrays_overlap(p, F.col("at")))
+    span = F.struct(share.alias("share"), "votes", (-F.col("tmpl")).alias("order"), "label", F.col("first").alias("word"), (F.col("last") - F.col("first") + K).alias("n"))
     found = spans.groupBy("row", "key").agg(
         (F.lit(-1) - F.min(F.when(F.col("tmpl").isNull(), F.col("diag")))).cast("long").alias("n_words"),
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("diag"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("diag"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base | near, F.col("label")))), ",").alias("labels"),
-        F.coalesce(F.max(F.when(base, F.lit(1.0)).when(near, share)), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(base | near, F.struct("label", F.col("first").alias("word"), (F.col("last") - F.col("first") + K).alias("n"), share.alias("share"))))).alias("spans"),
+        F.collect_list(F.when(base, span)).alias("exacts"),
+        F.sort_array(F.collect_list(F.when(near, span)), asc=False).alias("nears"),
+    )
+    rival = lambda a, b: (a["label"] != b["label"]) & (a["word"] < b["word"] + b["n"]) & (b["word"] < a["word"] + a["n"])
+    best = F.aggregate("nears", F.slice("nears", 1, 0), lambda kept, c: F.when(F.exists(kept, lambda o: rival(o, c)), kept).otherwise(F.concat(kept, F.array(c))))
+    found = found.withColumn("best", F.concat("exacts", best))
+    found = found.select(
+        "*",
+        F.array_join(F.array_sort(F.array_distinct(F.transform("best", lambda s: s["label"]))), ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform("best", lambda s: s["share"])), F.lit(0.0)).alias("score"),
+        F.array_sort(F.transform("best", lambda s: F.struct(s["label"].alias("label"), s["word"].alias("word"), s["n"].alias("n"), s["share"].alias("share")))).alias("spans"),
     )
     return found.select(F.col("key").alias(key), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")

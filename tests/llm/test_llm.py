@@ -171,6 +171,21 @@ def test_short_license_notices(spark, label, text):
     assert (row.labels, row.score) == (label, 1.0 if label else 0.0)
 
 
+def test_license_rivals(spark):
+    full = {}
+    for label, words in licenses.TEMPLATES:
+        full.setdefault(label, words)
+    rows = [(i, label, full[label]) for i, label in enumerate(("gpl", "lgpl", "cc-by", "cc-by-nc", "cc-by-sa", "cc-by-nc-sa"))]
+    rows.append((10, "lgpl", full["gpl"].replace("gnu general", "gnu lesser general")))
+    rows.append((11, "", "gnu general public " * 9))
+    rows.append((12, "cc-by,gpl", full["gpl"] + " and also " + full["cc-by"]))
+    df = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    assert by_rows(licenses.scan_licenses(df), "doc_id", "labels") == sorted(((i, lb) for i, lb, _ in rows), key=str)
+    one = spark.createDataFrame([(1, "all rights reserved " * 8)], "doc_id long, text string")
+    notice = (("all-rights-reserved", "all rights reserved no part of this publication may be reproduced"),)
+    assert licenses.scan_licenses(one, templates=notice).first().labels == ""
+
+
 # --- extraction --------------------------------------------------------------------------
 
 
