@@ -5,7 +5,8 @@ Manhattan distance of two such vectors never exceeds the Hamming distance of the
 fingerprints.  For a Hamming radius ``r`` one of the two halves (16 segments, 32 bits) is
 within Manhattan distance ``r // 2``; both fingerprints then lie within half of that of a
 common grid point, so the range join is an equi-join over grid points.  Inside a grid
-point every pair is bounded by its full Manhattan distance and verified by popcount.
+point pairs are verified by popcount; the full Manhattan bound is implied by that test and
+filters nothing there.
 
 Copies collapse before the join (one row per distinct fingerprint), and grid points emit
 spanning links rather than all pairs, so a group of near copies costs rows in proportion
