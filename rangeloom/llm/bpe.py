@@ -9,6 +9,7 @@ only repeats its own input splits.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import blob, pieces, require
+from rangeloom.llm.common import blob, free_name, pieces, require
 
 #: The published pre-tokenisation pattern of byte-level BPE, over classes of letters and
 #: numbers; contractions stand behind letters, which changes nothing as no letter is "'".
@@ -30,9 +31,13 @@ PATTERN = r" ?[{L}]+| ?[{N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{L}{N}]+|\s+(?!\S)|\s+
 LATIN = re.compile(PATTERN.format(L="A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", N="0-9\xb2\xb3\xb9\xbc-\xbe"))
 BEYOND_LATIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\u024f]")
 NO_RANK = np.int64(1) << 40
-#: Words a worker keeps; the cache starts anew beyond it, which changes no result.
-CACHE_WORDS = 200_000
+#: Bytes of words and ids a worker keeps, with what a cached word costs beside them; the cache
+#: starts anew beyond it, which changes no result.
+CACHE_BYTES = 48_000_000
+WORD_COST = 160
 PIECE_BYTES = 1_000_000
+#: A word of more symbols is merged by ranks in turn, not by rounds over all words.
+LONG_WORD = 512
 
 
 def unknown_letters() -> str:
@@ -97,7 +102,80 @@ class Vocabulary:
         return cls(table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), byte_ids, token_bytes, special, unknown_letters())
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Encode distinct words: flat ids and the number of ids of each word.
+        """Encode distinct words: flat ids and the number of ids of each word."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        if not long:
+            return self._merge_rounds(words)
+        ids, counts = self._merge_rounds([w for w in words if len(w) <= LONG_WORD])
+        short = iter(np.split(ids, np.cumsum(counts)[:-1])) if len(counts) else iter(())
+        parts = [self._merge_long(w) if len(w) > LONG_WORD else next(short) for w in words]
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known, place in the key table) of pairs of symbols."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.keys[at] == key, at
+
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word: ranks in rising order, all places of a rank in one round.
+
+        Each round touches only the pairs of its rank and the new pairs beside them, so the
+        work grows with the merges made, not with rounds times length.
+        """
+        n = len(word)
+        symbol = self.byte_ids[np.frombuffer(word, np.uint8)]
+        if not len(self.keys):
+            return symbol
+        after = np.arange(1, n + 2)  # place of the next symbol; n: none
+        before = np.arange(-1, n)
+        alive = np.ones(n + 1, bool)
+        alive[n] = False
+        symbol = np.append(symbol, 0)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def offer(places: np.ndarray) -> None:
+            known, at = self._lookup(symbol[places], symbol[after[places]])
+            known &= after[places] < n
+            places, rank = places[known], self.ranks[at[known]]
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            starts = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(rank) else []
+            for r, some in zip(rank[starts].tolist() if len(rank) else (), np.split(places, starts[1:]), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(some)
+
+        offer(np.arange(n - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            parts = waiting.pop(r)
+            pos = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.sort(parts[0])
+            pos = pos[alive[pos]]
+            pos = pos[after[pos] < n]
+            known, at = self._lookup(symbol[pos], symbol[after[pos]])
+            known &= self.ranks[at] == r
+            pos, at = pos[known], at[known]
+            if not len(pos):
+                continue
+            # In a run of overlapping occurrences (a a a) every second one merges.
+            run = np.concatenate([[True], after[pos[:-1]] != pos[1:]])
+            first = np.maximum.accumulate(np.where(run, np.arange(len(pos)), 0))
+            odd = (np.arange(len(pos)) - first) % 2 == 0
+            pos, at = pos[odd], at[odd]
+            gone = after[pos]
+            symbol[pos] = self.merged[at]
+            alive[gone] = False
+            after[pos] = after[gone]
+            before[after[pos]] = pos
+            left = before[pos]
+            offer(np.unique(np.concatenate([pos, left[left >= 0]])))
+        return symbol[alive]
+
+    def _merge_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Batched rounds over many short words.
 
         Every round takes, in each unfinished word, the adjacent pair of lowest rank and
         merges all its occurrences from left to right.  Pairs are found by binary search
@@ -157,14 +235,26 @@ class Encoder:
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
+        self.held = 0  # bytes of the cached words, their ids and their cost
+        self.n_ids = self.n_words = 0
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.counts = np.zeros(1 << 14, np.int64)
 
     def _store(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.ids = np.concatenate([self.ids, ids])
-        self.counts = np.concatenate([self.counts, counts])
+        """Append words; the arrays double when they are full."""
+        for name, used, more in (("ids", self.n_ids, len(ids)), ("starts", self.n_words, len(counts)), ("counts", self.n_words, len(counts))):
+            have = getattr(self, name)
+            if used + more > len(have):
+                grown = np.zeros(max(2 * len(have), used + more), have.dtype)
+                grown[:used] = have[:used]
+                setattr(self, name, grown)
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        ends = self.n_ids + np.cumsum(counts)
+        self.starts[self.n_words : self.n_words + len(counts)] = ends - counts
+        self.counts[self.n_words : self.n_words + len(counts)] = counts
+        self.n_ids += len(ids)
+        self.n_words += len(counts)
 
     def find(self, text: str) -> list[str]:
         return self.full(text) if BEYOND_LATIN.search(text) else LATIN.findall(text)
@@ -180,7 +270,7 @@ class Encoder:
 
     def _places(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Places of each text's words in the store, new words encoded together first."""
-        if len(self.index) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self._reset()
         split = [self.words(t) for t in texts]
         index = self.index
@@ -193,6 +283,7 @@ class Encoder:
             self._store(np.array([self.v.special[w[0]] for w in special]), np.ones(len(special), np.int64))
         for w in [*plain, *special]:
             index[w] = len(index)
+        self.held += sum(map(len, plain)) * 5 + WORD_COST * len(fresh)
         for words in split:
             yield np.fromiter(map(index.__getitem__, words), np.int64, len(words))
 
@@ -230,11 +321,11 @@ def tokenize(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for part in pieces(batches, "_text", PIECE_BYTES):
-            encoded = encoder.encode([t.decode() for t in part.column("_text").to_pylist()])
+        for part in pieces(batches, "t", PIECE_BYTES):
+            encoded = encoder.encode([t.decode() for t in part.column("t").to_pylist()])
             raw = [e.astype("<u4") for e in encoded]
             out = {
-                key: part.column(key),
+                key: part.column("k"),
                 "n_tokens": pa.array([len(e) for e in encoded], pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(r.tobytes()).hexdigest() for r in raw], pa.string()),
             }
@@ -247,18 +338,21 @@ def tokenize(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
                     out["decoded"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
-    return df.select(key, blob(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{key}`").alias("k"), blob(text).alias("t")).mapInArrow(run, schema)
 
 
 def count_tokens(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """``df`` without ``text``, with the number of BPE tokens of each text; see ``tokenize``."""
+    """``df`` without ``text``, with the number of BPE tokens of each text; see ``tokenize``.
+
+    Null and empty texts have none; repeated rows each have theirs; a column ``out`` is replaced.
+    """
     rest = [c for c in df.columns if c not in (text, out)]
     schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in rest) + f"`{out}` long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for part in pieces(batches, "_text", PIECE_BYTES):
-            counts = encoder.count([t.decode() for t in part.column("_text").to_pylist()])
-            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in rest} | {out: pa.array(counts, pa.int64())})
+        for part in pieces(batches, len(rest), PIECE_BYTES):
+            counts = encoder.count([t.decode() for t in part.column(len(rest)).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(counts, pa.int64())], names=[*rest, out])
 
-    return df.select(*[F.col(f"`{c}`") for c in rest], blob(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in rest], blob(text).alias(free_name(df, "_text"))).mapInArrow(run, schema)

@@ -3,12 +3,16 @@
 Every Arrow piece of the corpus is a shard.  A shard's words become integers of the
 benchmark's vocabulary (0: a word that no benchmark item has, which ends every match), the
 runs that are long enough to hold a window are laid end to end, and a suffix array over
-them is built by prefix doubling.  Every benchmark suffix is then binary-searched, word by
-word, for all suffixes at once.  The operator is a map: nothing is shuffled and a lost
-executor only repeats its own splits.
-
-The benchmark travels with the closure in blocks of proven size; a larger benchmark takes
-one pass per block over the same rows.
+them is built by prefix doubling.  Every test suffix that is long enough is then
+binary-searched, word by word, for all of them at once; suffixes that agree in their first
+window are one search, with the list of the items that have it, so a passage that many
+items share costs one.  The longest verbatim match of a text is found by extending its
+occurrences in the suffix array of the benchmark itself.
+
+The operator is a map: nothing is shuffled and a lost executor only repeats its own
+splits.  The benchmark travels with the closure in blocks whose bytes are counted before
+they are gathered; a larger benchmark takes one pass per block over the same rows, and only
+one block at a time is held on the driver.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeloom.llm.common import ascii_words, blob, pieces, require
+from rangeloom.llm.common import ascii_words, blob, free_name, pieces, require
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
@@ -37,12 +41,18 @@ class TestSet:
 
     vocabulary: dict[bytes, int]
     words: np.ndarray  # all distinct items, each followed by 0s up to the deepest look-ahead
-    start: np.ndarray  # first word of each window
+    start: np.ndarray  # a first word of each distinct window
     length: np.ndarray  # words of each window
-    owner: np.ndarray  # item group of each window
+    before: np.ndarray  # the window one word earlier if it is the same wherever this one stands, else -1
+    post: np.ndarray  # item groups with window w: post[post_at[w] : post_at[w + 1]]
+    post_at: np.ndarray
     begin: np.ndarray  # first word of each item group
     groups: list[list[str]]  # item ids (as strings) that share a word sequence
+    order: np.ndarray  # suffix array of ``words``
+    named: np.ndarray  # place of each suffix of ``order`` by (least item id, word)
+    named_at: np.ndarray  # the same by the suffix's first word
     depth: int
+    window: int
 
     @classmethod
     def build(cls, rows: list[tuple[str, bytes]], window: int) -> TestSet:
@@ -53,19 +63,40 @@ class TestSet:
                 groups.setdefault(words, []).append(item)
         vocabulary: dict[bytes, int] = {}
         flat: list[int] = []
-        start, length, owner, begin = [], [], [], []
+        start, length, begin = [], [], []
+        index: dict[tuple[int, ...], int] = {}
+        posts: list[list[int]] = []
+        before: list[int] = []
         for g, words in enumerate(groups):
             begin.append(len(flat))
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1):
-                start.append(len(flat) + i)
-                length.append(size)
-                owner.append(g)
-            flat += [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
-            flat.append(0)
+            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
+            size = min(window, len(ids))
+            previous = -1
+            for i in range(len(ids) - size + 1):
+                w = index.setdefault(tuple(ids[i : i + size]), len(index))
+                if w == len(start):
+                    start.append(len(flat) + i)
+                    length.append(size)
+                    posts.append([])
+                    before.append(previous)
+                elif before[w] != previous:
+                    before[w] = -1
+                if not posts[w] or posts[w][-1] != g:
+                    posts[w].append(g)
+                previous = w
+            flat += [*ids, 0]
         depth = max(map(len, groups), default=0)
         as_int = lambda x: np.array(x, np.int64)
-        return cls(vocabulary, as_int(flat + [0] * (depth + 1)), as_int(start), as_int(length), as_int(owner), as_int(begin), list(groups.values()), depth)
+        words = as_int(flat + [0] * (depth + 1))
+        order = suffix_array(words, depth) if len(flat) else as_int([])
+        owner = np.searchsorted(as_int(begin), order, side="right") - 1
+        least = [min(ids) for ids in groups.values()]
+        rank = as_int(np.argsort(np.argsort(np.array(least, object), kind="stable"), kind="stable")) if least else as_int([])
+        named = np.argsort(np.lexsort((order, rank[owner] if len(order) else order)), kind="stable")
+        named_at = np.zeros(len(words), np.int64)
+        named_at[order] = named
+        post_at = np.concatenate([[0], np.cumsum([len(x) for x in posts])]).astype(np.int64)
+        return cls(vocabulary, words, as_int(start), as_int(length), as_int(before), as_int(list(chain.from_iterable(posts))), post_at, as_int(begin), list(groups.values()), order, named, named_at, depth, window)
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -86,7 +117,7 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     return at[np.argsort(rank[at], kind="stable")]
 
 
-def _bound(words: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, wanted: np.ndarray, right: bool) -> np.ndarray:
+def _bound(words: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int | np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
     """Binary search of ``wanted`` as word ``depth`` of the suffixes order[low:high], for all at once."""
     low, high = low.copy(), high.copy()
     while True:
@@ -94,14 +125,14 @@ def _bound(words: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarr
         if not len(live):
             return low
         middle = (low[live] + high[live]) >> 1
-        value = words[order[middle] + depth]
+        value = words[order[middle] + (depth if isinstance(depth, int) else depth[live])]
         up = value <= wanted[live] if right else value < wanted[live]
         low[live[up]] = middle[up] + 1
         high[live[~up]] = middle[~up]
 
 
 def search(words: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
-    """All occurrences (position in ``words``, window) of the windows; ``words`` ends in ``depth`` 0s."""
+    """All occurrences (position in ``words``, distinct window) of the windows; ``words`` ends in ``depth`` 0s."""
     order = suffix_array(words, tests.depth)
     n = len(tests.start)
     low, high = np.zeros(n, np.int64), np.full(n, len(order), np.int64)
@@ -121,18 +152,36 @@ def search(words: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
 
 
 def longest(words: np.ndarray, tests: TestSet, at: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal verbatim matches (position, first benchmark word, words) from the window occurrences."""
-    q = tests.start[window]
-    first = np.where(at > 0, words[at - 1], 0)
-    before = np.where(q > 0, tests.words[q - 1], 0)
-    maximal = (first == 0) | (first != before) | (q == tests.begin[tests.owner[window]])
-    at, q, size = at[maximal], q[maximal], tests.length[window][maximal].copy()
+    """(position, benchmark word, words) of the longest match that begins at each occurrence, but
+    for occurrences that only go on from the word before them: their matches are longer there.
+
+    An item of fewer words than a window matches as a whole.  Of several places in the
+    benchmark the one of the least item id counts, then the first.
+    """
+    whole = tests.length[window] < tests.window
+    short = at[whole], tests.start[window[whole]], tests.length[window[whole]]
+    at, window = at[~whole], window[~whole]
+    earlier = np.full(len(words), -2)
+    earlier[at] = window  # windows of full length: one a position
+    follows = (at > 0) & (tests.before[window] >= 0) & (earlier[at - 1] == tests.before[window])
+    at = np.unique(at[~follows])
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(tests.order), np.int64)
+    size = np.zeros(len(at), np.int64)
     live = np.arange(len(at))
     while len(live):
-        a, b = words[at[live] + size[live]], tests.words[q[live] + size[live]]
-        live = live[(a == b) & (a != 0)]
+        wanted = words[at[live] + size[live]]
+        live, wanted = live[wanted != 0], wanted[wanted != 0]
+        if not len(live):
+            break
+        # All suffixes in a range agree up to ``size`` words, so each row searches its own depth.
+        left = _bound(tests.words, tests.order, low[live], high[live], size[live], wanted, right=False)
+        right = _bound(tests.words, tests.order, left, high[live], size[live], wanted, right=True)
+        some = left < right
+        live = live[some]
+        low[live], high[live] = left[some], right[some]
         size[live] += 1
-    return at, q, size
+    first = np.array([int(tests.order[a + int(np.argmin(tests.named[a:b]))]) for a, b in zip(low.tolist(), high.tolist(), strict=True)], np.int64)
+    return tuple(np.concatenate([a, b]) for a, b in zip(short, (at, first, size), strict=True))
 
 
 def scan_shard(texts: list[bytes], tests: TestSet) -> list[tuple[int, list[tuple[int, int]], list[str], tuple[int, str, int, int] | None]]:
@@ -176,12 +225,16 @@ def scan_shard(texts: list[bytes], tests: TestSet) -> list[tuple[int, list[tuple
             stop = min(b, int(begin[d] + counts[d]))
             out[d][1].append((a - int(begin[d]), stop - int(begin[d])))
             a = stop
-    pairs = np.unique(np.stack([doc_of(place[at]), tests.owner[window]]), axis=1)
-    for d, g in pairs.T.tolist():
-        out[d][2].extend(tests.groups[g])
+    owner = doc_of(place[at])
+    met = np.unique(owner * len(tests.start) + window)
+    edges = np.flatnonzero(np.diff(met // len(tests.start))) + 1
+    for part in np.split(met, edges):
+        d, of = int(part[0] // len(tests.start)), part % len(tests.start)
+        post = np.unique(np.concatenate([tests.post[tests.post_at[w] : tests.post_at[w + 1]] for w in of.tolist()]))
+        out[d][2].extend(chain.from_iterable(tests.groups[g] for g in post.tolist()))
     m_at, m_q, m_size = longest(words, tests, at, window)
     m_doc = doc_of(place[m_at])
-    pick = np.lexsort((m_q, place[m_at], -m_size, m_doc))
+    pick = np.lexsort((tests.named_at[m_q], place[m_at], -m_size, m_doc))
     docs, firsts = np.unique(m_doc[pick], return_index=True)
     for d, i in zip(docs.tolist(), pick[firsts].tolist(), strict=True):
         g = int(np.searchsorted(tests.begin, m_q[i], side="right") - 1)
@@ -214,16 +267,43 @@ FOUND = T.StructType(
 )
 
 
-def test_sets(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> list[TestSet]:
-    """The benchmark in blocks of about ``block_bytes``; each block is checked before it is sent."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), blob(text).alias("data"))
-    size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    n = max(1, -(-int(size) // block_bytes))
-    blocks = []
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64(F.coalesce("item", F.lit(""))), F.lit(n)) == b)
-        blocks.append(TestSet.build([(r[0] if r[0] is not None else "", bytes(r[1])) for r in part.collect()], window))
-    return blocks
+#: Buckets of the benchmark at first; more are made while one that could be split exceeds a block.
+BUCKETS = 64
+
+
+def test_sets(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> Iterator[TestSet]:
+    """The benchmark in blocks of at most ``block_bytes`` (an item that is larger alone is a block
+    of its own), one after the other.
+
+    Items fall into hash buckets by id and text; the bytes of every bucket are counted on
+    the executors and buckets are packed into blocks before a block is gathered.
+    """
+    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), blob(text).alias("data"))
+    hashed = F.xxhash64("item", "data")
+    n = BUCKETS
+    while True:
+        sizes = sorted(tuple(r) for r in rows.groupBy(F.pmod(hashed, F.lit(n)).alias("b")).agg(F.sum(F.octet_length("data") + 16), F.countDistinct(hashed)).collect())
+        if all(size <= block_bytes or rest == 1 for _, size, rest in sizes):
+            break
+        n *= 8
+    blocks: list[list[int]] = []
+    room = 0
+    for b, size, _ in sizes:
+        if not blocks or size > room:
+            blocks.append([])
+            room = block_bytes
+        blocks[-1].append(b)
+        room -= size
+    for block in blocks or [[]]:
+        part = rows if len(blocks) < 2 else rows.where(F.pmod(hashed, F.lit(n)).isin(block))
+        part = part.distinct()  # repeated items add nothing
+        yield TestSet.build([(r[0] if r[0] is not None else "", bytes(r[1])) for r in part.collect()], window)
+
+
+def better(a: tuple | None, b: tuple | None) -> tuple | None:
+    """The longer of two matches (words, item, item word, word); ties: first in the text, least item id, first in the item."""
+    order = lambda m: (-m[0], m[3], m[1], m[2])
+    return min((m for m in (a, b) if m), key=order, default=None)
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, out: str = "_found", keep_text: bool = True) -> DataFrame:
@@ -231,33 +311,34 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
 
     Texts of ``window`` consecutive words of an item are hits (an item of fewer words, but
     not none, is one window).  ``spans`` are the maximal hit word ranges, ``items`` the ids
-    with occurring windows as sorted strings, ``longest`` the longest verbatim match (ties:
-    first in the text) with its places; without ``keep_text`` the text column is left out; null where nothing occurs.  Null and empty texts
-    have no words; repeated rows each get their result; an empty benchmark hits nothing.
+    with occurring windows as sorted strings (a null id is the empty string), ``longest`` the
+    longest verbatim match with its places (ties: first in the text, then the least item id,
+    then first in the item), null where nothing occurs; the block size changes none of them.
+    Without ``keep_text`` the text column is left out.  Null and empty texts have no words;
+    repeated rows each get their result; an empty benchmark hits nothing.
     """
     require(df, text)
     require(benchmark, item, item_text)
     names = [c for c in df.columns if keep_text or c != text]
     if out in df.columns:
         raise ValueError(f"column {out} exists; choose another name")
-    blocks = test_sets(benchmark, item, item_text, window, block_bytes)
-    current = df.select(*[F.col(f"`{c}`") for c in names], blob(text).alias("_text"), F.lit(None).cast(FOUND).alias(out))
-    for b, tests in enumerate(blocks):
-        last = b == len(blocks) - 1
-        fields = [f for f in current.schema.fields if not (last and f.name == "_text")]
-        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-
-        def run(batches: Iterator[pa.RecordBatch], tests: TestSet = tests, keep: list[str] = [f.name for f in fields if f.name != out]) -> Iterator[pa.RecordBatch]:  # noqa: B006
-            for part in pieces(batches, "_text", SHARD_BYTES):
+    data = free_name(df, "_text")
+    kept = [T.StructField(c, df.schema[c].dataType, True) for c in names]
+    current = df.select(*[F.col(f"`{c}`") for c in names], blob(text).alias(data), F.lit(None).cast(FOUND).alias(out))
+    width = len(names)
+    schema = T.StructType([*kept, T.StructField(data, T.BinaryType()), T.StructField(out, FOUND)])
+    for tests in test_sets(benchmark, item, item_text, window, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], tests: TestSet = tests) -> Iterator[pa.RecordBatch]:
+            for part in pieces(batches, width, SHARD_BYTES):
                 found = []
-                before = part.column(out).to_pylist()
-                for (n, spans, items, best), old in zip(scan_shard(part.column("_text").to_pylist(), tests), before, strict=True):
+                before = part.column(width + 1).to_pylist()
+                for (n, spans, items, best), old in zip(scan_shard(part.column(width).to_pylist(), tests), before, strict=True):
                     if old:
                         spans = merge_spans(spans + [(s["first"], s["stop"]) for s in old["spans"]])
                         items = items + old["items"]
                         o = old["longest"]
-                        if o and (best is None or o["n_words"] > best[0]):
-                            best = (o["n_words"], o["item_id"], o["item_word"], o["word"])
+                        best = better(best, o and (o["n_words"], o["item_id"], o["item_word"], o["word"]))
                     items = sorted(set(items))
                     found.append(
                         {
@@ -269,15 +350,17 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
                             "longest": best and dict(zip(("n_words", "item_id", "item_word", "word"), best, strict=True)),
                         }
                     )
-                kind = part.schema.field(out).type
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found, kind)], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([*part.columns[: width + 1], pa.array(found, part.schema.field(width + 1).type)], names=[*names, data, out])
 
-        order = [f.name for f in fields if f.name != out] + [out]
-        current = current.mapInArrow(run, T.StructType([schema[c] for c in order]))
-    return current
+        current = current.mapInArrow(run, schema)
+    return current.drop(data)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``df`` without the rows whose text holds a window of a benchmark item; same columns."""
-    found = find_contamination(df, benchmark, text, window=window)
-    return found.where("_found.n_hit = 0").select(*[F.col(f"`{c}`") for c in df.columns])
+    """``df`` without the rows whose text holds a window of a benchmark item; same columns.
+
+    Null and empty texts have no words and stay; repeated rows are judged alike.
+    """
+    found = free_name(df, "_found")
+    marked = find_contamination(df, benchmark, text, window=window, out=found)
+    return marked.where(F.col(found)["n_hit"] == 0).select(*[F.col(f"`{c}`") for c in df.columns])

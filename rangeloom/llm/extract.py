@@ -29,20 +29,28 @@ PIECE_BYTES = 8_000_000
 #: Element names by role.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style template textarea title svg math iframe object noframes".split())
-DROPPED_TAGS = frozenset("head select option button noscript".split())
+RAW_TAGS = frozenset("script style template textarea title svg iframe object noframes".split())
+DROPPED_TAGS = frozenset("head select option button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open paragraph, item or cell ends where one of its kind or its container begins or ends.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Parts of class and id values that tell boilerplate and content.
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline|captcha|comments?|consent|cookies?|disqus|footer|gdpr|header|legal|login|masthead|menu|meta|modal|nav\w*|newsletter|notice|notification|pagination|pager|paywall|popup|promo\w*|recommend\w*|related|replies|reply|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|tags?|teaser|toolbar|topbar|widget)(?=$|[\s_-])",
-    re.I,
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Words of class and id values that tell boilerplate.
+BAD_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs byline captcha comment comments consent cookie cookies disqus disclaimer footer gdpr header legal login masthead menu menus meta modal nav navbar navigation newsletter notice notification pagination pager paywall popup promo promotion recommend recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser teasers toolbar topbar trending widget widgets".split()
 )
-GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|prose|story|text)(?=$|[\s_-])", re.I)
+GOOD_WORDS = frozenset("article body content entry main post prose story text".split())
+#: Words that make a name speak of a state of the page, not of the element's part in it.
+STATE_FIRST = frozenset("has have no not with without is hide show hidden show single page category tag type format status theme layout template wp js supports allow enable disable use using t p".split())
+STATE_LAST = frozenset("enabled disabled open opened closed on off active inactive visible loaded ready free top bottom left right".split())
+WORD_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 BAD_ROLE = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu|menubar|form)$", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Comments, declarations and tags.  A quote opens a value only behind "=" and only if it is closed; any
+#: other quote is a plain character, so a stray one cannot swallow what follows.
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"(?<![^\s/\"'])(class|id|role|hidden|aria-hidden|style)(?![^\s=/>])(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+", re.I)
+
+#: Phrases of notices and calls to act.
+LEGAL = re.compile(r"©|\bcopyright\b|all rights reserved|privacy policy|\bcookies\b|\bnewsletter\b|\bsubscribe\b|\bsign up\b|\blog in\b|share this|enable javascript", re.I)
 
 SMOOTH_NEXT = 0.6
 SMOOTH_SIBLING = 0.6
@@ -53,9 +61,18 @@ class Node:
     """An open element: its name, flags it hands down, and the last block among its children."""
 
     name: str
-    serial: int
     flags: frozenset[str]
+    block: int = 0  # place on the stack of the nearest block element, itself included
     last: int = -1
+    mark: Mark | None = None
+
+
+@dataclass
+class Mark:
+    """An element that its name or its being a form tells as boilerplate, unless it holds the page's main heading or part."""
+
+    flag: str
+    around: bool = False
 
 
 @dataclass
@@ -67,13 +84,39 @@ class Block:
     tag: str
     link_chars: int
     siblings: list[int] = field(default_factory=list)
+    marks: tuple[Mark, ...] = ()
+
+
+def name_kind(value: str) -> str:
+    """``bad``, ``good`` or nothing for a class or id value.
+
+    Each name counts by its first and its last word, the last one first; names that speak of
+    a state (has-sidebar, comments-enabled, tag-news) do not count.  Where good and bad names
+    meet on one element neither counts.
+    """
+    kinds = set()
+    for name in value.split():
+        words = [w.lower() for w in WORD_OF_NAME.findall(name) if not w[0].isdigit()]
+        if not words or len(words) > 1 and (words[0] in STATE_FIRST or words[-1] in STATE_LAST):
+            continue
+        if words[-1] in BAD_WORDS or words[0] in BAD_WORDS:
+            kinds.add("bad")
+        elif words[-1] in GOOD_WORDS or words[0] in GOOD_WORDS:
+            kinds.add("good")
+    return kinds.pop() if len(kinds) == 1 else ""
 
 
-def flags_of(name: str, attributes: str, inherited: frozenset[str]) -> frozenset[str]:
-    """Flags of an element: its parent's and what its name and attributes add."""
+def flags_of(name: str, attributes: str, inherited: frozenset[str]) -> tuple[frozenset[str], str]:
+    """Flags of an element, its parent's and what its name and attributes add, and the flag
+    (``bad``, ``form`` or none) that holds only if the main part is not inside."""
     new = set()
-    if name in ("nav", "footer", "aside", "form", "menu", "dialog", "header", "button", "fieldset"):
+    mark = ""
+    if name in ("nav", "footer", "aside", "menu", "dialog", "header", "fieldset"):
         new.add(name)
+    if name == "form":
+        mark = "form"
+    if name == "noscript" and "article" not in inherited:
+        new.add("bad")
     if name in ("article", "main"):
         new.add("article")
     if attributes:
@@ -81,24 +124,31 @@ def flags_of(name: str, attributes: str, inherited: frozenset[str]) -> frozenset
             value = a or b or c
             key = key.lower()
             if key in ("class", "id"):
-                if BAD_NAME.search(value) and name not in ("body", "html"):
-                    new.add("bad")
-                if GOOD_NAME.search(value):
+                kind = name_kind(value)
+                if kind == "bad" and name not in ("body", "html", "main"):
+                    mark = "bad"
+                elif kind == "good":
                     new.add("good")
             elif key == "role":
                 if BAD_ROLE.search(value):
-                    new.add("bad")
+                    mark = "bad"
                 elif value.lower() in ("main", "article"):
                     new.add("article")
-            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            elif key == "hidden" and value.lower() != "until-found" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 new.add("hidden")
-    return inherited | new if new else inherited
+    return (inherited | new if new else inherited), mark
 
 
 def parse(page: str) -> list[Block]:
-    """Text blocks of a page in order; scripts, styles, comments and hidden parts have none."""
+    """Text blocks of a page in order; scripts, styles, comments and hidden parts have none.
+
+    Linear in the page: the stack knows the nearest block element of every entry and where
+    each element name is open last.
+    """
     blocks: list[Block] = []
-    stack = [Node("", 0, frozenset())]
+    stack = [Node("", frozenset())]
+    open_at: dict[str, list[int]] = {}
+    marks: list[Mark] = []
     parts: list[str] = []
     link_chars = links = 0
 
@@ -107,9 +157,9 @@ def parse(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            top = next((n for n in reversed(stack) if n.name in BLOCK_TAGS or not n.name), stack[0])
-            block = Block(text, top.flags, top.name, min(link_chars, len(text)))
-            at = stack.index(top)
+            at = stack[-1].block
+            top = stack[at]
+            block = Block(text, top.flags, top.name, min(link_chars, len(text)), marks=tuple(marks[-8:]))
             for owner in stack[max(0, at - 1) : at + 1]:  # its own element and the one around it
                 if owner.last >= 0:
                     block.siblings.append(owner.last)
@@ -119,39 +169,51 @@ def parse(page: str) -> list[Block]:
 
     def close(name: str) -> None:
         nonlocal links
-        at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-        if at:
-            links -= sum(n.name == "a" for n in stack[at:])
+        where = open_at.get(name)
+        if where:
+            at = where[-1]
+            for node in reversed(stack[at:]):
+                open_at[node.name].pop()
+                links -= node.name == "a"
+                if node.mark:
+                    marks.pop()
             del stack[at:]
 
-    end, serial, skip_to = 0, 0, 0
-    for m in TOKEN.finditer(page):
+    def main_part() -> None:
+        for mark in marks:
+            mark.around = True
+        marks.clear()
+        for node in stack:
+            node.mark = None
+
+    end = 0
+    while m := TOKEN.search(page, end):
         start = m.start()
-        if start < skip_to:
-            continue
-        if start > end and "dropped" not in stack[-1].flags:
+        dropped = "dropped" in stack[-1].flags
+        if start > end and not dropped:
             piece = page[end:start]
             parts.append(piece)
-            if links:
+            if links > 0:
                 link_chars += len(piece.strip())
         end = m.end()
         if m[2] is None:
+            if not dropped and m[0].startswith("<![CDATA["):
+                parts.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         name = m[2].lower()
-        if name in RAW_TAGS and not m[1]:
-            if name in ("title", "textarea", "script", "style", "template", "iframe", "noframes", "svg", "math", "object") and not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{name}\s*>", re.I).search(page, end)
-                end = skip_to = stop.end() if stop else len(page)
+        if name in RAW_TAGS:
+            if not m[1] and not (name in ("svg", "object") and m[3].rstrip().endswith("/")):
+                stop = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(page, end)
+                end = stop.end() if stop else len(page)
             continue
         if name in ("br", "wbr"):
-            parts.append(" ")
+            parts.append(" " if name == "br" else "")
             continue
         if name in VOID_TAGS and name != "hr":
             continue
-        boundary = name in BLOCK_TAGS
-        if boundary:
+        if name in BLOCK_TAGS:
             flush()
-            if stack[-1].name == "p" or any(n.name == "p" for n in stack[-4:]):
+            if open_at.get("p") and open_at["p"][-1] >= len(stack) - 4:
                 close("p")
             if name == "hr":
                 continue
@@ -159,21 +221,27 @@ def parse(page: str) -> list[Block]:
             close(name)
             continue
         for other in CLOSES.get(name, ()):
-            if any(n.name == other for n in stack[-3:]):
+            if open_at.get(other) and open_at[other][-1] >= len(stack) - 3:
                 close(other)
-        serial += 1
-        flags = flags_of(name, m[3], stack[-1].flags)
+        flags, told = flags_of(name, m[3], stack[-1].flags)
+        if name in ("h1", "main") and marks and not flags & {"hidden", "nav", "aside", "footer", "dialog"}:
+            main_part()
         if name in DROPPED_TAGS or "hidden" in flags:
             flags |= {"dropped"}
         if name == "body" and "dropped" in flags:
-            flags -= {"dropped"}
-        if not m[3].rstrip().endswith("/"):
-            stack.append(Node(name, serial, flags))
-            links += name == "a"
+            flags -= {"dropped", "hidden"}
+        mark = Mark(told) if told else None
+        if mark:
+            marks.append(mark)
+        stack.append(Node(name, flags, len(stack) if name in BLOCK_TAGS else stack[-1].block, mark=mark))
+        open_at.setdefault(name, []).append(len(stack) - 1)
+        links += name == "a"
     if end < len(page) and "dropped" not in stack[-1].flags:
         tail = page[end:]
         parts.append(tail[: tail.rfind("<")] if re.search(r"<[a-zA-Z/!?][^>]*\Z", tail) else tail)
     flush()
+    for block in blocks:
+        block.flags |= {mark.flag for mark in block.marks if not mark.around}
     return blocks
 
 
@@ -192,19 +260,22 @@ def features(block: Block) -> list[float]:
         float("footer" in flags),
         float("header" in flags and "article" not in flags),
         float(bool(flags & {"aside", "dialog"})),
-        float(bool(flags & {"form", "button", "fieldset"})),
+        float(bool(flags & {"form", "fieldset"})),
         float("bad" in flags),
         float("good" in flags),
         float(block.tag in HEADINGS),
         float(block.tag == "p"),
         float(block.tag in ("li", "td", "dd", "dt", "th")),
-        float("©" in text),
+        float(bool(LEGAL.search(text))) * (1.0 if words < 30 else 0.3),
         min(1.0, 8 * len(re.findall(r"[|»›·•]", text)) / n),
     ]
 
 
 #: Labelled pages for the classifier; data-keep marks content.  Hand-written.
 TRAINING = (
+    '<body class="single has-sidebar"><div id="page"><div class="site-header"><div class="site-title"><a href="/">Field Notes</a></div></div><article class="post tag-news comments-open"><h1 class="entry-title" data-keep>Why the marsh froze late</h1><div class="entry-meta"><span>By A. Writer on 3 May</span> <a href="#c">4 comments</a></div><div class="entry-content"><p data-keep>Every winter the marsh behind the school turns into a skating rink, but this year it stayed open until February.</p><p data-keep>Nobody knows why.</p><h2 data-keep>What the records say</h2><ul><li data-keep>1971: frozen on the third of December</li><li data-keep>1998: frozen on the ninth of January</li></ul><p data-keep>The water is warmer than it was, says the warden, who has kept a diary for forty years.</p></div><div class="share-buttons"><a href="/f">Share</a> <a href="/t">Send</a></div></article><div id="respond" class="comment-respond"><h3>Leave a reply</h3><form><label>Your name</label></form></div><div class="comments-area"><h3>Four thoughts on this story</h3><p>We skated there as children, and my father did before us, so this makes me sad.</p></div></div><div class="widget-area"><h3>Recent posts</h3><ul><li><a href="/1">The fox at the door</a></li><li><a href="/2">Counting the swans</a></li></ul></div><div class="site-info">Proudly made in the marsh. All rights reserved.</div>',
+    '<body><form id="aspnet" action="/x"><div class="topnav"><a href="/">Home</a><a href="/s">Shop</a></div><div class="wrapper"><h1 data-keep>How to mend a bicycle tyre</h1><p data-keep>Take off the wheel and let out what air is left. Lift the tyre over the rim with two levers.</p><ol><li data-keep>Find the hole under water.</li><li data-keep>Dry and roughen the place.</li><li data-keep>Glue on the patch and wait.</li></ol><p data-keep>Put it all back together, pump it up, and go.</p><table><tr><th data-keep>Size</th><th data-keep>Pressure</th></tr><tr><td data-keep>28 inch</td><td data-keep>four bar</td></tr></table></div><div class="newsletter-box"><p>Get our best tips once a week, straight to your inbox, and never mend alone.</p></div><div class="bottom"><p>Copyright 2021 The Shed | Terms | Privacy policy</p></div></form>',
+    '<body><div class="cookie-consent"><p>This site uses cookies and similar techniques. Please accept them to go on reading.</p></div><div class="content"><div class="col"><h1 data-keep>Night trains return</h1><div class="lead" data-keep>After twenty years the sleeper to the south is back, and tickets are sold out until autumn.</div><p data-keep>The first train left at nine on Friday evening with two hundred people on board and a band on the platform.</p><figure><img src="x"><figcaption data-keep>The train before it left.</figcaption></figure><blockquote data-keep>I did not sleep at all, and I would do it again.</blockquote><p data-keep>More lines are planned.</p></div><div class="col sidebar"><p>Most read this week: ten places to swim before the summer ends.</p><p>Our app is free. Try it now.</p></div></div><div class="sponsored"><p>Sleep better on a mattress by one of our partners, thirty nights for free.</p></div>',
     '<body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/a">About us</a></li></ul></nav><div class="ad">Buy two, get one free today.</div><article><h1 data-keep>A walk along the river</h1><p data-keep>The path starts at the old mill and follows the water for several miles, past meadows and two small villages.<p data-keep>Bring good shoes.</p><ul><li data-keep>water and some food</li><li data-keep>a map of the region</li></ul></article><footer>&copy; 2020 example &middot; all rights reserved for the owners of this page.</footer>',
     '<body><header><a href="/">The Daily Sample</a><p>News since 1890, every morning.</p></header><div id="cookie-notice"><p>We use cookies to make this site better. By going on you agree to their use.</p><button>OK</button></div><main><h1 data-keep>Council votes for the bridge</h1><p data-keep>After a long debate on Tuesday night the council decided to rebuild the bridge, which was closed last year.</p><blockquote data-keep>We could not wait any longer, said the mayor.</blockquote><p data-keep>Work begins in May.</p></main><aside class="sidebar"><h3>Most read</h3><ul><li><a href="/1">Ten easy soups for cold days</a></li><li><a href="/2">Who won the match?</a></li></ul></aside><section class="comments"><h3>Comments</h3><p>Great article, I have been waiting for this bridge for years and years now.</p><p>What about the costs?</p></section><footer><p>Contact | Imprint | Privacy</p></footer>',
     '<body><div class="menu"><a href="/">Start</a> | <a href="/b">Blog</a></div><div class="post-content"><h2 data-keep>Baking bread at home</h2><p data-keep>Flour, water, salt and time are all it takes. Mix the dough in the evening and let it rest until the next morning.</p><p data-keep>Then shape it, let it rise once more and bake it in a very hot oven for forty minutes.</p><pre data-keep>500 g flour 350 g water 10 g salt</pre></div><div class="related"><p>You might also like these stories from our kitchen, picked for you by our editors.</p><a href="/x">More recipes</a></div><form action="/s"><label>Subscribe to our newsletter and never miss a recipe.</label><input type="text"></form><div class="footer">&copy; The kitchen. Made with love in a small town.</div>',
@@ -219,7 +290,7 @@ def train(pages: tuple[str, ...] = TRAINING, rounds: int = 400) -> np.ndarray:
     x, y = [], []
     for page in pages:
         # The marker becomes a private character at the start of the block it marks.
-        marked = re.sub(r"(<[a-z0-9]+) data-keep>", "\\1>\ue000", page)
+        marked = re.sub(r"(<[a-z0-9]+[^<>]*?) data-keep>", "\\1>\ue000", page)
         for block in parse(marked):
             keep = block.text.startswith("\ue000")
             block.text = block.text.lstrip("\ue000") or " "
@@ -274,35 +345,74 @@ def min_cut(gain: list[float], edges: dict[tuple[int, int], float]) -> list[bool
         near[i] = {}
     open_ = [i for i in range(n) if label[i] is None]
     if open_:
-        source, sink = n, n + 1
-        cap: dict[int, dict[int, float]] = {i: dict(near[i]) for i in open_} | {source: {}, sink: {}}
-        for i in open_:
-            if g[i] > 0:
-                cap[source][i], cap[i][source] = g[i], 0.0
+        for i, inside in zip(open_, _source_side(open_, g, near), strict=True):
+            label[i] = inside
+    return [bool(x) for x in label]
+
+
+def _source_side(nodes: list[int], gain: list[float], near: list[dict[int, float]]) -> list[bool]:
+    """Which nodes stay on the source's side of a minimum cut: max-flow by blocking flows."""
+    at = {v: i for i, v in enumerate(nodes)}
+    source, sink = len(nodes), len(nodes) + 1
+    head: list[list[int]] = [[] for _ in range(sink + 1)]
+    to: list[int] = []
+    cap: list[float] = []
+
+    def edge(u: int, v: int, forth: float, back: float) -> None:
+        head[u].append(len(to))
+        head[v].append(len(to) + 1)
+        to.extend((v, u))
+        cap.extend((forth, back))
+
+    for v, i in at.items():
+        if gain[v] > 0:
+            edge(source, i, gain[v], 0.0)
+        else:
+            edge(i, sink, -gain[v], 0.0)
+        for w, c in near[v].items():
+            if v < w:
+                edge(i, at[w], c, c)
+    while True:
+        level = [-1] * (sink + 1)
+        level[source] = 0
+        queue = deque([source])
+        while queue:
+            u = queue.popleft()
+            for e in head[u]:
+                if cap[e] > 1e-12 and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return [x >= 0 for x in level[:source]]
+        turn = [0] * (sink + 1)
+        path: list[int] = []
+        u = source
+        while True:
+            if u == sink:
+                flow = min(cap[e] for e in path)
+                cut = len(path)
+                for k, e in enumerate(path):
+                    cap[e] -= flow
+                    cap[e ^ 1] += flow
+                    if cap[e] <= 1e-12 and cut == len(path):
+                        cut = k
+                u = to[path[cut] ^ 1]
+                del path[cut:]
+                continue
+            while turn[u] < len(head[u]):
+                e = head[u][turn[u]]
+                if cap[e] > 1e-12 and level[to[e]] == level[u] + 1:
+                    break
+                turn[u] += 1
+            if turn[u] < len(head[u]):
+                path.append(head[u][turn[u]])
+                u = to[path[-1]]
+            elif path:
+                level[u] = -1
+                u = to[path.pop() ^ 1]
+                turn[u] += 1
             else:
-                cap[i][sink], cap[sink][i] = -g[i], 0.0
-        while True:  # shortest augmenting paths
-            back = {source: source}
-            queue = deque([source])
-            while queue and sink not in back:
-                u = queue.popleft()
-                for v, c in cap[u].items():
-                    if c > 1e-12 and v not in back:
-                        back[v] = u
-                        queue.append(v)
-            if sink not in back:
                 break
-            path, v = [], sink
-            while v != source:
-                path.append((back[v], v))
-                v = back[v]
-            flow = min(cap[u][v] for u, v in path)
-            for u, v in path:
-                cap[u][v] -= flow
-                cap[v][u] = cap[v].get(u, 0.0) + flow
-        for i in open_:
-            label[i] = i in back
-    return [bool(x) for x in label]
 
 
 def main_text(page: str, weights: np.ndarray) -> str:

@@ -2,11 +2,12 @@
 
 Every rolling word 3-gram of every text is joined to the positions of the same 3-gram in
 the license templates (a fixed, small table).  A match votes for the diagonal
-``text position - template position``; votes are counted per text, template and diagonal,
-neighbouring diagonals are merged (a word more or less moves the rest by one), and the
-span is verified by the share of distinct template positions it accounts for and by the
-words that tell a license from its rivals.  Of overlapping spans of several labels the
-best one stays.  Joining on the 3-gram itself beside its hash makes every vote exact.
+``text position - template position``; votes are counted per text, template and diagonal.
+Diagonals within ``DRIFT`` of each other are merged (a word more or less moves the rest by
+one).  As the drift of a whole span is bounded, its votes stand in the template's order but
+for ``DRIFT`` words, and scattered or repeated pieces of a notice cannot add up.  The span
+is verified by the share of distinct template positions it accounts for and by the words
+that tell a license from its rivals.  Of overlapping spans the best one stays.  Joining on the 3-gram itself beside its hash makes every vote exact.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql.window import Window
 from rangeloom.llm.common import require
 
 K = 3
-#: Diagonals at most so far apart belong to one span.
-GAP = 6
+#: The diagonals of a span differ by so much at most.
+DRIFT = 12
 #: Share of a template's 3-grams that a span must account for.
 COVERAGE = 0.6
 SPLIT = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -97,7 +98,7 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", phrase
     score and ``spans`` (label, first word, words, share of the template).
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  Base places are
-    the exact phrases.  Null and empty texts have no words and no labels (empty strings),
+    the exact phrases.  The score is the best span's share, 0 without a span.  Null and empty texts have no words and no labels (empty strings),
     score 0; copies and repeated rows each get their result.
     """
     require(df, key, text)
@@ -105,8 +106,8 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", phrase
     plan = spark.createDataFrame(template_rows(phrases, templates), "tmpl int, gram string, tpos int, grams int, label string, exact boolean, needs array<array<int>>")
     plan = F.broadcast(plan.select(F.xxhash64("gram").alias("t_hash"), F.col("gram").alias("t_gram"), "tmpl", "tpos", "grams", "label", "exact", "needs"))  # fixed table
     # Two code points above U+007F have an ASCII letter in their lower-case form; neither may make an ASCII word.
-    t = F.lower(F.replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("K"), F.lit("é")), F.lit("İ"), F.lit("é")))
-    words = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.array_remove(F.split(t, SPLIT, -1), "").alias("w"))
+    t = F.lower(F.replace(F.replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("K"), F.lit("é")), F.lit("İ"), F.lit("é")))
+    words = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.array_remove(F.split(t, SPLIT, -1), "").alias("w"))
     n = F.size("w")
     gram = lambda i: F.concat_ws(" ", *[F.get("w", i + j) for j in range(K)])
     grams = F.when(n < K, F.expr("cast(array() as array<struct<pos:int,gram:string>>)")).otherwise(
@@ -119,11 +120,14 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", phrase
     votes = met.groupBy("row", "key", "tmpl", (F.col("pos") - F.coalesce("tpos", F.lit(0))).alias("diag")).agg(
         F.collect_set("tpos").alias("at"), F.first("needs").alias("needs"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("grams").alias("grams"), F.first("label").alias("label"), F.first("exact").alias("exact")
     )
-    order = Window.partitionBy("row", "tmpl").orderBy("diag")
-    starts = F.when(F.col("exact") | (F.col("diag") - F.lag("diag").over(order) > GAP) | F.lag("diag").over(order).isNull(), 1).otherwise(0)
-    spans = votes.withColumn("new", starts).withColumn("span", F.sum("new").over(order))
-    spans = spans.groupBy("row", "key", "tmpl", "span").agg(
-        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.first("needs").alias("needs"), F.min("diag").alias("diag"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("grams").alias("grams"), F.first("label").alias("label"), F.first("exact").alias("exact")
+    # Every diagonal opens a span of the diagonals up to DRIFT behind it, at most DRIFT + 1 rows.
+    near_by = Window.partitionBy("row", "tmpl").orderBy("diag").rangeBetween(0, DRIFT)
+    merged = lambda whole, one: F.when(F.col("exact") | F.col("tmpl").isNull(), F.col(one)).otherwise(whole)
+    spans = votes.select(
+        "row", "key", "tmpl", "diag", "needs", "grams", "label", "exact",
+        merged(F.array_distinct(F.flatten(F.collect_list("at").over(near_by))), "at").alias("at"),
+        merged(F.min("first").over(near_by), "first").alias("first"),
+        merged(F.max("last").over(near_by), "last").alias("last"),
     )
     spans = spans.withColumn("votes", F.size("at"))
     share = F.col("votes") / F.col("grams")
@@ -139,7 +143,8 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", phrase
         F.collect_list(F.when(base, span)).alias("exacts"),
         F.sort_array(F.collect_list(F.when(near, span)), asc=False).alias("nears"),
     )
-    rival = lambda a, b: (a["label"] != b["label"]) & (a["word"] < b["word"] + b["n"]) & (b["word"] < a["word"] + a["n"])
+    # Adjoining notices of one label do not compete, two spans of one template do.
+    rival = lambda a, b: ((a["label"] != b["label"]) | (a["order"] == b["order"])) & (a["word"] < b["word"] + b["n"]) & (b["word"] < a["word"] + a["n"])
     best = F.aggregate("nears", F.slice("nears", 1, 0), lambda kept, c: F.when(F.exists(kept, lambda o: rival(o, c)), kept).otherwise(F.concat(kept, F.array(c))))
     found = found.withColumn("best", F.concat("exacts", best))
     found = found.select(

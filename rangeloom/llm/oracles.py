@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rangeloom.llm.quality import RULES, STOP_WORDS
-from rangeloom.llm.queries import LISTED_LABELS, URL_RULES
+from rangeloom.llm.queries import URL_RULES, listed_hosts
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,12 +17,12 @@ def urls_sql() -> str:
     order = sorted(URL_RULES, key=lambda r: (-len(r[0]), r[0]))
     rule = " ".join(f"when {fits(r)} then '{r}'" for r, _ in order)
     verdict = " ".join(f"when {fits(r)} then '{v}'" for r, v in order)
-    labels = ", ".join(f"'{x}'" for x in LISTED_LABELS)
+    hosts = ", ".join(f"'{x}'" for x in listed_hosts())
     return f"""
     with a as (select page_id, case when url is null or instr(url, '://') = 0 then '' else substr(url, instr(url, '://') + 3) end as rest from pages),
     b as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_letters()}) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a)
     select page_id, host, path, case {rule} end as rule,
-      case {verdict} when list_has_any(string_split(host, '.'), [{labels}]) then 'block' else 'allow' end as verdict
+      case {verdict} when host in ({hosts}) then 'block' else 'allow' end as verdict
     from b"""
 
 

@@ -81,12 +81,15 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
 
     Words lie between ASCII white space; null, empty and blank texts have zero everywhere.
     n_dup_lines counts \\n-split lines that have a word and equal an earlier line;
-    n_repeat_words the words in five-word windows that the text has twice or more.
+    n_repeat_words the words in five-word windows that the text has twice or more.  Windows
+    are told apart by 64-bit hashes.  Columns of ``df`` named like a measure are replaced;
+    repeated rows each have theirs.
     """
     require(df, text)
-    if any(c.startswith(PREFIX) for c in df.columns):
-        raise ValueError(f"columns that start with {PREFIX} exist")
-    names = [F.col(f"`{c}`") for c in df.columns]
+    own = {"_t", "_w", "_l", "_h", "_symbols", "_exclamations", "_capitals"}
+    if own & set(df.columns):
+        raise ValueError(f"columns {sorted(own & set(df.columns))} exist; drop them first")
+    names = [F.col(f"`{c}`") for c in df.columns if not c.startswith(PREFIX)]
     t = F.col("_t")
     w, h = F.col("_w"), F.col("_h")
     # Each step stays a projection of its own, as later steps use its columns more than once.
@@ -142,14 +145,18 @@ def base_failed() -> Column:
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` with its measures, ``_base_failed`` and ``_kept`` (base holds and every rule holds).
 
-    The verdict is tied to the row's id, which is never negative: a filter on it can then
+    Columns of these names are replaced.  The verdict is tied to the row's id, which is never negative: a filter on it can then
     not be pushed below the measures, where it would compute them once per rule.
     """
-    out = measures(df, text)
+    out = measures(df.drop("_base_failed", "_kept"), text)
     own_row = F.monotonically_increasing_id() >= 0
     return out.select("*", base_failed().alias("_base_failed"), (~base_failed() & compile_rules(rules) & own_row).alias("_kept"))
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``df`` that pass; same columns."""
-    return judge(df, text, rules).where("_kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of ``df`` that pass; same columns, whatever their names.
+
+    Null, empty and blank texts have fewer than ten words and go; repeated rows are judged alike.
+    """
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return judge(packed, "text", rules).where("_kept").select("row.*")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm import bpe, decontaminate, extract, licenses, quality, rollups, sharding, simhash, toxicity, urls
-from rangeloom.llm.common import table
+from rangeloom.llm.common import shared_folder, table
 
 #: Host rules of the production URL filter.
 URL_RULES = [
@@ -20,8 +19,10 @@ URL_RULES = [
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 ]
-#: The production block list: hosts with one of these labels.
-LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: The production block list is a table of hosts: each site under each domain, bare and with each prefix.
+LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DOMAINS = ("example.com", "example.net", "example.org")
+LISTED_PREFIXES = ("", "www.", "m.", "blog.")
 SHARDS = 40
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,53 +37,79 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def listed_host(host: Column) -> Column:
-    return F.arrays_overlap(F.split(host, "\\."), F.array(*map(F.lit, LISTED_LABELS)))
+def listed_hosts() -> list[str]:
+    """The hosts of the production block list."""
+    return [f"{prefix}{site}.{domain}" for site in LISTED_SITES for domain in LISTED_DOMAINS for prefix in LISTED_PREFIXES]
 
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, listed_condition=listed_host)
+    """Every page's url: host, path, the rule that fits, and the verdict of the rule or of the block list.
+
+    Null urls and those without ``://`` have empty host and path and are allowed.
+    """
+    listed = spark.createDataFrame([(h,) for h in listed_hosts()], "key string")
+    out = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, listed)
     return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures, base test and verdict; null texts have no words and fail."""
     out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *[F.col(quality.PREFIX + c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rangeloom-")
-    return f"{base.rstrip('/')}/token-rollup-{uuid.uuid4().hex}"
-
-
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch of inserts for two tokenizer versions, delivered twice."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").withColumn("n_words", rollups.word_count())
+    """Token totals of all documents for two tokenizer versions, from four signed batches.
+
+    Documents arrive with an estimate (a token for each four bytes), which a second batch
+    revises to the exact counts.  A third batch withdraws what has no word and a fourth
+    reinserts it, as empty texts are documents too.  The first batches are delivered twice,
+    and the state is compacted between them; null texts count as empty.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = docs.withColumn("n_words", rollups.word_count()).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
     vocabulary = bpe.Vocabulary.load(tokenizer_path())
-    counted = bpe.count_tokens(docs, vocabulary, out="n_bpe")
-    versions = F.inline(F.array(F.struct(F.lit("words-1").alias("tokenizer"), F.col("n_words").alias("n_tokens")), F.struct(F.lit("byte_bpe_50k").alias("tokenizer"), F.col("n_bpe").alias("n_tokens"))))
-    changes = counted.select(F.lit("insert").alias("action"), "doc_id", "source", "lang", versions)
-    rollup = rollups.TokenRollup(spark, shared_folder(spark))
-    rollup.commit("load-1", changes)
-    rollup.commit("load-1", changes)  # a repeated delivery is not applied again
+    folder = f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}"
+    bpe.count_tokens(docs, vocabulary, out="n_bpe").write.parquet(f"{folder}/counts")
+    counted = spark.read.parquet(f"{folder}/counts")
+    exact = F.array(F.struct(F.lit("words-1").alias("tokenizer"), F.col("n_words").alias("n_tokens")), F.struct(F.lit("byte_bpe_50k").alias("tokenizer"), F.col("n_bpe").alias("n_tokens")))
+    rows = counted.select("doc_id", "source", "lang", "n_words", F.ceil(F.col("n_bytes") / 4).alias("estimate"), F.inline(exact))
+    old = [F.col(c).alias(f"old_{c}") for c in ("source", "lang")]
+    image = ("doc_id", "source", "lang", "tokenizer")
+    rollup = rollups.TokenRollup(spark, f"{folder}/state")
+    blank = rows.where("n_words = 0")
+    arrive = rows.select(F.lit("insert").alias("action"), *image, F.col("estimate").alias("n_tokens"))
+    revise = rows.select(F.lit("revise").alias("action"), *image, "n_tokens", *old, F.col("estimate").alias("old_n_tokens"))
+    withdraw = blank.select(F.lit("delete").alias("action"), *image, F.lit(None).cast("long").alias("n_tokens"), *old, F.col("n_tokens").alias("old_n_tokens"))
+    rollup.commit("arrive-1", arrive)
+    rollup.commit("revise-1", revise)
+    rollup.commit("arrive-1", arrive)  # a repeated delivery is not applied again
+    rollup.compact()
+    rollup.commit("revise-1", revise)
+    rollup.commit("withdraw-1", withdraw)
+    rollup.commit("return-1", blank.select(F.lit("insert").alias("action"), *image, "n_tokens"))
     return rollup.totals()
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, base places, labels and score; null texts have none."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; null, empty and text-free pages have an empty one."""
     return extract.extract_text(table(spark, sf_dir, "pages"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of ids and the digests of its ids and of their decoding; null texts count as empty."""
     vocabulary = bpe.Vocabulary.load(tokenizer_path())
     out = bpe.tokenize(table(spark, sf_dir, "documents"), vocabulary, ids=False, decoded_text=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, words in benchmark windows, items found, and longest match; null texts have no words."""
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
     x = F.col("_found")
     return found.select(
@@ -99,22 +126,25 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under the ``rows`` law, by a uniform permutation; copies are placed like any row."""
     rows = sharding.describe(table(spark, sf_dir, "documents"))
     out = sharding.shard(rows, SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_shard").cast("int").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; null and blank texts have fingerprint 0."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def held_out(key: Column) -> Column:
-    """The fifth of the keys whose labels are never learnt from."""
-    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+    """The fifth of the keys whose labels are never learnt from; a null key is one of them."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score and verdict, learnt from the labels of documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=~held_out(F.col("doc_id")))
     out = toxicity.score_texts(docs, model, keep_text=False)

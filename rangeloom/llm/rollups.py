@@ -2,20 +2,27 @@
 
 A batch of changes is reduced to signed totals by source, language and tokenizer version:
 an insert adds its count, a delete takes it back, a revision does both.  Each batch is
-written once, into a folder of its own; the writer's own success marker commits it, so a
-batch that is delivered again changes nothing and a batch that broke off is written anew.
-Totals are sums over all committed batches and never read a document again.
+written once, into a folder of its own; an entry in the log commits it.  The entry holds a
+digest of the batch's totals, so a batch that is delivered again changes nothing, a batch
+that broke off is written anew, and another batch under a used id is refused.  Totals are
+sums over the last compaction and the batches after it and never read a document again.
+Files are reached through Spark's readers and writers only.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from rangeloom.llm.common import require
+from rangeloom.llm.common import cut, require
 
 GROUP = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+LOG = "id string, folder string, digest string, covers array<string>"
 
 
 def word_count(text: str = "text") -> Column:
@@ -24,14 +31,18 @@ def word_count(text: str = "text") -> Column:
 
 
 def change_feed(before: DataFrame, after: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Changes between two states with (key, source, lang, tokenizer, n_tokens), unique by key and tokenizer.
+    """Changes between two states with (key, source, lang, tokenizer, n_tokens).
 
     Returns action (insert, delete or revise), both images as ``old_*`` and plain columns.
+    Null keys and tokenizers are values like any other.  A key and tokenizer that occurs
+    several times in a state is paired by the order of (source, lang, n_tokens), so equal
+    repeats cancel and one more or less is one insert or delete.  Empty states give no changes.
     """
     cols = ["source", "lang", "n_tokens"]
-    b = before.select(F.col(key).alias("_k"), F.col("tokenizer").alias("_t"), *[F.col(c).alias(f"old_{c}") for c in cols], F.lit(True).alias("_was"))
-    a = after.select(key, "tokenizer", *cols, F.lit(True).alias("_is"))
-    both = a.join(b, F.col(key).eqNullSafe(F.col("_k")) & F.col("tokenizer").eqNullSafe(F.col("_t")), "full")
+    place = F.row_number().over(Window.partitionBy(key, "tokenizer").orderBy(*cols))
+    b = before.withColumn("_m", place).select(F.col(key).alias("_k"), F.col("tokenizer").alias("_t"), F.col("_m").alias("_o"), *[F.col(c).alias(f"old_{c}") for c in cols], F.lit(True).alias("_was"))
+    a = after.withColumn("_n", place).select(key, "tokenizer", "_n", *cols, F.lit(True).alias("_is"))
+    both = a.join(b, F.col(key).eqNullSafe(F.col("_k")) & F.col("tokenizer").eqNullSafe(F.col("_t")) & (F.col("_n") == F.col("_o")), "full")
     same = F.lit(True)
     for c in cols:
         same &= F.col(c).eqNullSafe(F.col(f"old_{c}"))
@@ -58,40 +69,79 @@ def signed(changes: DataFrame) -> DataFrame:
     return totals.agg(F.sum("x.s").cast("long").alias("n_docs"), F.sum(F.col("x.s") * F.col("x.n")).alias("n_tokens"))
 
 
+def digest(totals: DataFrame) -> str:
+    """A digest of signed totals that does not depend on their order."""
+    row = totals.agg(F.count("*"), F.sum(F.xxhash64(*GROUP, "n_docs", "n_tokens").cast("decimal(38,0)"))).first()
+    return f"{row[0]}:{row[1]}"
+
+
 class TokenRollup:
     """Rollup state in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _log(self) -> list:
+        """Log entries; one small file a commit until the next compaction of the log."""
+        try:
+            return self.spark.read.schema(LOG).parquet(f"{self.path}/log").collect()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+
+    def _enter(self, id_: str, folder: str, digest_: str, covers: list[str]) -> None:
+        self.spark.createDataFrame([(id_, folder, digest_, covers)], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply a batch once; False if it is committed already."""
+        """Apply a batch once; False if it is committed already.
+
+        A committed id with other signed totals raises ValueError.  An empty batch is
+        committed like any other and changes nothing.
+        """
         if not batch or not all(c.isalnum() or c in "-_" for c in batch):
             raise ValueError(f"not a batch id: {batch!r}")
-        folder = f"{self.path}/batch={batch}"
-        if self._exists(f"{folder}/_SUCCESS"):
+        totals = cut(signed(changes))
+        now = digest(totals)
+        known = {r.id: r.digest for r in self._log()}
+        if batch in known:
+            if known[batch] != now:
+                raise ValueError(f"batch {batch} is committed with other content")
             return False
-        signed(changes).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(folder)
+        totals.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        self._enter(batch, f"batch={batch}", now, [])
         return True
 
     def batches(self) -> list[str]:
-        """Ids of the committed batches."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self._exists(f"{self.path}/{n}/_SUCCESS"))
+        """Ids of the committed batches, compacted ones included."""
+        return sorted(r.id for r in self._log() if r.folder.startswith("batch="))
+
+    def _live(self) -> list[str]:
+        """Folders that make up the totals: batches and compactions that no compaction covers."""
+        log = self._log()
+        covered = {f for r in log for f in r.covers}
+        return sorted({r.folder for r in log} - covered)
+
+    def compact(self) -> int:
+        """Fold all batches into one folder; returns how many folders it replaced.
+
+        The old folders stay, so readers that began earlier are not disturbed, and ids keep
+        their digests.  A compaction that broke off has no entry and is not seen.
+        """
+        live = self._live()
+        if len(live) < 2:
+            return 0
+        name = f"total={uuid.uuid4().hex}"
+        self._sum(live).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self._enter(name, name, "", live)
+        return len(live)
+
+    def _sum(self, folders: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders])
+        out = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return out.where("n_docs != 0 or n_tokens != 0")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all committed batches; emptied groups vanish."""
-        found = self.batches()
-        if not found:
-            return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/batch={b}" for b in found])
-        out = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return out.where("n_docs != 0 or n_tokens != 0")
+        live = self._live()
+        return self._sum(live) if live else self.spark.createDataFrame([], SCHEMA)

@@ -1,22 +1,17 @@
-"""Near copies: texts with a Jaccard similarity of 0.8 or more on five-word shingles.
-
-SimHash cannot meet that line (pairs at 0.8 lie about 10 of 64 bits apart, some far more),
-so candidates come from a prefix filter, which loses none: under any one order of all
-shingles, two sets with that similarity share one of their first ``n - ceil(0.8 n) + 1``.
-Frequent shingles are put last in that order, so the prefixes join on rare ones.  A
-candidate must pass the sizes and a parity sketch (both exact bounds); what is left is
-verified on the whole shingle sets, held as 64-bit hashes.
-
-Equal word sequences collapse to one node before the join.  In a group of more than
-``PIVOTS[0]`` nodes the first ones are held against the rest; later rounds take further
-ones, but only across components, so a large group of near copies costs few pairs a row.
+"""Verification of near copies on their five-word shingle sets.
+
+Candidates come as rows (group, node): nodes that meet in a group may be near copies.  In
+a group of more than ``PIVOTS[0]`` nodes the first ones are held against the rest; later
+rounds take further ones, but only across components, so a large group of near copies
+costs few pairs a row.  A candidate must pass the sizes, the caller's test of its
+fingerprints, and a parity sketch (an exact bound); what is left is verified on the whole
+shingle sets, held as 64-bit hashes, which are read again from the texts of the nodes
+concerned only.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -25,19 +20,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import blob, cut, pieces, require
+from rangeloom.llm.common import blob, cut, pieces  # noqa: F401
 from rangeloom.llm.components import components
 
 K = 5
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 4_000_000
 #: Bits of the shortest parity sketch.
 SKETCH = 256
 #: Nodes of a group that are held against its rest, round by round.
-PIVOTS = (32, 1024, 2**62)
-#: A shingle of so many texts of the sample is put last; the order never changes the result.
-HOT, HOT_MAX = 4, 100_000
-#: Node tables up to so many rows are broadcast.
+PIVOTS = (8, 256, 2**62)
+#: Node tables up to so many rows (eight bytes each) are broadcast.
 FEW = 250_000
+CANDIDATE = "token long, node long, n long, print long, label long"
 
 
 def node_of(text: str) -> Column:
@@ -59,6 +53,12 @@ def shingles(data: bytes, k: int = K) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends, strict=False)], np.uint64).view(np.int64))
 
 
+def count_shingles(data: bytes, k: int = K) -> int:
+    """Number of k-word shingles with repeats, a text of fewer words has one; none without words."""
+    n = len(data.split())
+    return min(n, max(1, n - k + 1))
+
+
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """Parity of the tokens by bit: two sketches differ in no more bits than their sets in tokens.
 
@@ -81,92 +81,23 @@ def sketch_bits(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that columns can be left out."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rangeloom-")
-    path = f"{base.rstrip('/')}/shingles-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def shingle_sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, node, n, sketch, tokens) of every row; tokens as little-endian 64-bit hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "_text", PIECE_BYTES):
-            sets = [shingles(t) for t in part.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    key: part.column(key),
-                    "node": part.column("node"),
-                    "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "sketch": pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
-                    "tokens": pa.array([s.tobytes() for s in sets], pa.binary()),
-                }
-            )
-
-    rows = df.select(key, node_of(text).alias("node"), blob(text).alias("_text"))
-    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, node long, n long, sketch binary, tokens binary")
-
-
-def frequent(sets: DataFrame) -> np.ndarray:
-    """Shingles to be put last, by their texts in a sample."""
-    every = min(20, max(1, sets.count() // 10_000))
+def meet(rows: DataFrame, done: int, pivots: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(big, a, b, n, print) from candidate rows: pairs (a, b) of the nodes ``done`` to ``pivots`` of
+    each group with its later ones of other labels; groups of over ``pivots`` nodes as (token, node, n, print)."""
+    from rangeloom.llm.simhash import Groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "tokens", PIECE_BYTES):
-            seen, count = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"token": pa.array(seen), "c": pa.array(count.astype(np.int64))})
-
-    counts = sets.where(F.pmod("node", F.lit(every)) == 0).select("tokens").mapInArrow(run, "token long, c long")
-    most = counts.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT).orderBy(F.desc("c"), "token").limit(HOT_MAX)
-    return np.sort(np.array([r.token for r in most.select("token").collect()], np.int64))
-
-
-def prefix_rows(sets: DataFrame, last: np.ndarray) -> DataFrame:
-    """(token, node, n) for the prefix of every set; copies of a node go once a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in pieces(batches, "tokens", PIECE_BYTES):
-            tokens, nodes, sizes = [], [], []
-            for node, n, raw in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if n == 0 or node in seen:
-                    continue
-                seen.add(node)
-                s = np.frombuffer(raw, np.int64)
-                if len(last):
-                    hot = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                    s = np.concatenate([s[~hot], s[hot]])
-                s = s[: n + (-4 * n // 5) + 1]  # n - ceil(0.8 n) + 1
-                tokens.append(s)
-                nodes.append(np.full(len(s), node))
-                sizes.append(np.full(len(s), n))
-            if tokens:
-                yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens)), "node": pa.array(np.concatenate(nodes)), "n": pa.array(np.concatenate(sizes))})
-
-    return sets.select("node", "n", "tokens").mapInArrow(run, "token long, node long, n long")
-
-
-def meet(rows: DataFrame, done: int, pivots: int) -> DataFrame:
-    """(big, a, b, n) from (token, node, n, label): pairs (a, b) of the nodes ``done`` to ``pivots`` of
-    each group with its later ones of other labels; groups of over ``pivots`` nodes as (token, node, n)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-
         def take(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             token, node = cols[:2]
             fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-            token, node, n, label = (c[fresh] for c in cols)
+            token, node, n, mark, label = (c[fresh] for c in cols)
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             sizes = np.diff(np.append(starts, len(token)))
             size = np.repeat(sizes, sizes)
             rank = np.arange(len(token)) - np.repeat(starts, sizes)
             large = size > pivots
             if large.any():
-                yield batch_of(True, token[large], node[large], n[large])
+                yield batch_of(True, token[large], node[large], n[large], mark[large])
             at = np.flatnonzero((rank >= done) & (rank < pivots))
             shift = 1
             while True:
@@ -174,29 +105,52 @@ def meet(rows: DataFrame, done: int, pivots: int) -> DataFrame:
                 if not len(at):
                     break
                 to = at + shift
-                ok = (label[at] != label[to]) & (5 * np.minimum(n[at], n[to]) >= 4 * np.maximum(n[at], n[to]))
+                ok = label[at] != label[to]
+                ok[ok] = close(mark[at[ok]], mark[to[ok]])
                 if ok.any():
-                    yield batch_of(False, node[at[ok]], node[to[ok]], np.zeros(int(ok.sum()), np.int64))
+                    none = np.zeros(int(ok.sum()), np.int64)
+                    yield batch_of(False, node[at[ok]], node[to[ok]], none, none)
                 shift += 1
 
-        def batch_of(big: bool, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"big": pa.array(np.full(len(a), big)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n)})
+        def batch_of(big: bool, a: np.ndarray, b: np.ndarray, n: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"big": pa.array(np.full(len(a), big)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n), "print": pa.array(mark)})
 
+        groups = Groups()
         for batch in batches:
-            cols = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            end = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last group may go on
-            if end:
-                yield from take([c[:end] for c in cols])
-            held = [c[end:] for c in cols]
-        if len(held[0]):
-            yield from take(held)
+            for cols in groups.add([c.to_numpy() for c in batch.columns]):
+                yield from take(cols)
+        for cols in groups.rest():
+            yield from take(cols)
 
-    placed = rows.select("token", "node", "n", "label").repartition("token").sortWithinPartitions("token", "node")
-    return placed.mapInArrow(run, "big boolean, a long, b long, n long").distinct()
+    placed = rows.select("token", "node", "n", "print", "label").repartition("token").sortWithinPartitions("token", "node")
+    return placed.mapInArrow(run, "big boolean, a long, b long, n long, print long").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 0.8 or more, as (u, v)."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, n, sketch, tokens) of (node, t) rows; tokens as little-endian 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, 1, PIECE_BYTES):
+            sets = [shingles(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                ],
+                names=["node", "n", "sketch", "tokens"],
+            )
+
+    return texts.select("node", "t").mapInArrow(run, "node long, n long, sketch binary, tokens binary")
+
+
+def verify(pairs: DataFrame, owners: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of 0.8 or more, as (u, v).
+
+    ``owners`` (node, k) names for each node one key of a text that has it; ``texts`` are
+    (k, node, t).  Only texts of nodes in pairs are read.
+    """
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,66 +167,38 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(9 * len(np.intersect1d(s, t, assume_unique=True)) >= 4 * (len(s) + len(t)))
             yield pa.RecordBatch.from_pydict({"u": pa.array([i for i, k in zip(a, ok, strict=True) if k], pa.int64()), "v": pa.array([i for i, k in zip(b, ok, strict=True) if k], pa.int64())})
 
-    def attach(pairs: DataFrame, column: str, *more: str) -> DataFrame:
+    def nodes_of(pairs: DataFrame) -> DataFrame:
         nodes = cut(pairs.select(F.col("a").alias("_n")).union(pairs.select("b")).distinct())
-        if nodes.count() <= FEW:
-            nodes = F.broadcast(nodes)
-        wanted = sets.join(nodes, F.col("node") == F.col("_n"), "left_semi").dropDuplicates(["node"])
-        side = lambda at, out: wanted.select(F.col("node").alias(f"_{at}"), F.col(column).alias(out), *[F.col(m).alias(f"{m}_{out}") for m in more])
+        return F.broadcast(nodes) if nodes.count() <= FEW else nodes
+
+    def attach(pairs: DataFrame, sets: DataFrame, column: str, *more: str) -> DataFrame:
+        side = lambda at, out: sets.select(F.col("node").alias(f"_{at}"), F.col(column).alias(out), *[F.col(m).alias(f"{m}_{out}") for m in more])
         return pairs.join(side("b", "y"), F.col("b") == F.col("_b")).join(side("a", "x"), F.col("a") == F.col("_a"))
 
-    small = attach(pairs, "sketch", "n").select("a", "b", "x", "y", (F.col("n_x") + F.col("n_y")).alias("both"))
-    left = cut(small.mapInArrow(bound, "a long, b long"))
-    return attach(left, "tokens").select("a", "b", "x", "y").mapInArrow(exact, "u long, v long")
+    own = owners.join(nodes_of(pairs), F.col("node") == F.col("_n"), "left_semi").select(F.col("node").alias("_n"), F.col("k").alias("_k"))
+    own = cut(own)
+    own = F.broadcast(own) if own.count() <= FEW else own
+    wanted = texts.join(own, (F.col("node") == F.col("_n")) & F.col("k").eqNullSafe(F.col("_k")), "left_semi").dropDuplicates(["node"])
+    sets = cut(shingle_sets(wanted))
+    small = attach(pairs, sets, "sketch", "n").where(5 * F.least("n_x", "n_y") >= 4 * F.greatest("n_x", "n_y"))
+    left = cut(small.select("a", "b", "x", "y", (F.col("n_x") + F.col("n_y")).alias("both")).mapInArrow(bound, "a long, b long"))
+    return attach(left, sets, "tokens").select("a", "b", "x", "y").mapInArrow(exact, "u long, v long")
 
 
-def similar_links(sets: DataFrame) -> DataFrame:
-    """Links (u, v) between nodes of similarity 0.8 or more, by which nodes are connected
-    exactly when they are connected by all such pairs."""
-    rows = prefix_rows(sets, frequent(sets)).withColumn("label", F.col("node"))
+def verified_links(rows: DataFrame, owners: DataFrame, texts: DataFrame, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Links (u, v) between nodes of similarity 0.8 or more that meet in a group of ``rows``, by
+    which nodes are connected exactly when they are connected by all such pairs."""
     links, done = None, 0
     for pivots in PIVOTS:
-        found = cut(meet(rows, done, pivots))
-        new = cut(verify(found.where("not big").select("a", "b"), sets))
+        found = cut(meet(rows, done, pivots, close))
+        new = cut(verify(found.where("not big").select("a", "b"), owners, texts))
         links = new if links is None else links.unionByName(new)
-        big = found.where("big").select(F.col("a").alias("token"), F.col("b").alias("node"), "n")
+        big = found.where("big").select(F.col("a").alias("token"), F.col("b").alias("node"), "n", "print")
         if big.isEmpty():
             break
         home = components(links).withColumnRenamed("node", "_node")
-        labelled = big.join(home, F.col("node") == F.col("_node"), "left").select("token", "node", "n", F.coalesce("component", "node").alias("label"))
-        rows, done = cut(labelled), pivots
+        labelled = big.join(home, F.col("node") == F.col("_node"), "left").select("token", "node", "n", "print", F.coalesce("component", "node").alias("label"))
+        # A group whose nodes are all in one component is settled.
+        open_ = labelled.groupBy(F.col("token").alias("_t")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("_t")
+        rows, done = cut(labelled.join(open_, F.col("token") == F.col("_t"), "left_semi")), pivots
     return links
-
-
-def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node, component) of every row; component is a node of the row's own component.
-
-    Rows with equal word sequences have equal nodes; texts without words are one node.
-    """
-    require(df, key, text)
-    sets = _shared(shingle_sets(df, key, text))
-    home = components(similar_links(sets)).withColumnRenamed("node", "_node")
-    rows = sets.select(key, "node")
-    return rows.join(home, F.col("node") == F.col("_node"), "left").select(key, "node", F.coalesce("component", "node").alias("component"))
-
-
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component of ``near_copies``, the one with the smallest key; same columns.
-
-    Rows are told apart by key and word sequence, so a key that occurs with several texts
-    loses only those that are copies.  Rows with a null key form no group and all stay.
-    """
-    found = cut(near_copies(df.where(F.col(key).isNotNull()), key, text))
-    least = found.groupBy("component").agg(F.min(F.struct(F.col(key).alias("k"), F.col("node").alias("n"))).alias("m"), F.count("*").alias("c")).where("c > 1")
-    held = found.join(least.withColumnRenamed("component", "_c"), F.col("component") == F.col("_c"))
-    first = (F.col(key) == F.col("m.k")) & (F.col("node") == F.col("m.n"))
-    gone = held.where(~first).select(F.col(key).alias("_k"), F.col("node").alias("_n")).distinct()
-    same = lambda n: (F.col(key) == F.col("_k")) & (F.col(n) == F.col("_n"))
-    mark = "_node_" + uuid.uuid4().hex[:8]
-    names = [F.col(f"`{c}`") for c in df.columns]
-    left = df.withColumn(mark, node_of(text)).join(gone, same(mark), "left_anti")
-    many = cut(held.where(first).groupBy(F.col(key).alias("_k"), F.col("node").alias("_n")).count().where("count > 1").select("_k", "_n"))
-    if many.isEmpty():
-        return left.select(*names)
-    one = left.join(many, same(mark), "left_semi").dropDuplicates([key, mark])
-    return left.join(many, same(mark), "left_anti").select(*names).unionByName(one.select(*names))
