@@ -6,14 +6,13 @@ read again as the next one's docs.  All but the last return the columns they wer
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import bpe, decontaminate, quality, similar, toxicity
-from rangeloom.llm.common import table
+from rangeloom.llm import bpe, decontaminate, quality, simhash, toxicity
+from rangeloom.llm.common import shared_folder, table
 from rangeloom.llm.queries import held_out, tokenizer_path
 
 
@@ -29,8 +28,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more on five-word shingles the one with the smallest doc_id stays."""
-    return similar.deduplicate(docs)
+    """Of documents linked by SimHash and verified at a similarity of 0.8 or more on five-word shingles
+    the one with the smallest doc_id stays."""
+    return simhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rangeloom-")
-    folder = f"{base.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
