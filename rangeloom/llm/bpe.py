@@ -33,7 +33,7 @@ BEYOND_LATIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\u024f]")
 NO_RANK = np.int64(1) << 40
 #: Bytes of words and ids a worker keeps, with what a cached word costs beside them; the cache
 #: starts anew beyond it, which changes no result.
-CACHE_BYTES = 48_000_000
+CACHE_BYTES = 32_000_000
 WORD_COST = 160
 PIECE_BYTES = 1_000_000
 #: A word of more symbols is merged by ranks in turn, not by rounds over all words.

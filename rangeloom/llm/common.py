@@ -13,8 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session says nothing else.
+BATCH_BYTES = 8_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, so that long texts cannot fill a worker; a setting made before stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the parquet tables of a data folder."""
+    """One of the parquet tables of a data folder; also bounds the session's Arrow batches."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

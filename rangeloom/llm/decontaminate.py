@@ -32,7 +32,7 @@ from rangeloom.llm.common import ascii_words, blob, free_name, pieces, require
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 4_000_000
 
 
 @dataclass

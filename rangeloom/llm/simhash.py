@@ -15,8 +15,8 @@ task holds an unbounded point.  Only fingerprints, never texts, are shuffled.
 
 ``near_copies`` is the same search for texts of a given similarity on word shingles.
 There a pair may lie beyond any small radius, so several fingerprints over the distinct
-words of a text are searched, each pair that meets is a candidate, and every candidate is
-verified on the whole shingle sets (``similar``).
+words of a text are searched, and the texts that meet a neighbour are compared on their
+whole shingle sets (``similar``).
 """
 
 from __future__ import annotations
@@ -28,16 +28,15 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeloom.llm import similar
 from rangeloom.llm.common import blob, cut, pieces, require, salted_lookup
 from rangeloom.llm.components import components
+from rangeloom.llm.grid import SEGMENTS, Groups, grid_points, manhattan, segment_counts
 
-SEGMENTS = 16  # two-bit segments in each half
-POWERS = 3 ** np.arange(SEGMENTS, dtype=np.int64)
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 4_000_000
 #: A shingle list of a long text is hashed and counted in blocks of this many rows.
 BLOCK = 65_536
 #: A grid point of more fingerprints is dealt anew over several tasks.
@@ -90,43 +89,6 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     return df.select(F.col(f"`{key}`").alias("k"), blob(text).alias("t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fingerprint long")
 
 
-def segment_counts(fp: np.ndarray) -> np.ndarray:
-    """(n, 2, 16) bit counts of the two-bit segments of both halves."""
-    fp = fp.astype(np.uint64)
-    pairs = (fp & np.uint64(0x5555555555555555)) + ((fp >> np.uint64(1)) & np.uint64(0x5555555555555555))
-    shifts = np.arange(0, 64, 2, dtype=np.uint64)
-    return ((pairs[:, None] >> shifts) & np.uint64(3)).astype(np.int64).reshape(-1, 2, SEGMENTS)
-
-
-def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Manhattan distance of the segment counts of two fingerprint arrays."""
-    return np.abs(segment_counts(a) - segment_counts(b)).sum(axis=(1, 2))
-
-
-def grid_points(fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grid points within ``reach`` of both halves of each fingerprint: (row, point)."""
-    counts = segment_counts(fp)
-    rows, points = [], []
-    for half in range(2):
-        layer = [(np.arange(len(fp)), counts[:, half] @ POWERS + half * 3**SEGMENTS, np.full(len(fp), -1), counts[:, half])]
-        for step in range(reach + 1):
-            rows += [r for r, *_ in layer]
-            points += [p for _, p, *_ in layer]
-            if step == reach:
-                break
-            grown = []
-            for r, p, top, c in layer:
-                for i in range(SEGMENTS):
-                    for sign in (1, -1):
-                        ok = (top <= i) & (c[:, i] + sign >= 0) & (c[:, i] + sign <= 2)
-                        if ok.any():
-                            moved = c[ok].copy()
-                            moved[:, i] += sign
-                            grown.append((r[ok], p[ok] + sign * POWERS[i], np.full(int(ok.sum()), i), moved))
-            layer = grown
-    return np.concatenate(rows), np.concatenate(points)
-
-
 def link_point(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Spanning links of the distinct fingerprints of one grid point.
 
@@ -174,28 +136,6 @@ def link_point(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
 SMALL_POINT = 16
 
 
-class Groups:
-    """Cuts sorted batches into runs of whole groups; the group that goes on is held back."""
-
-    def __init__(self) -> None:
-        self.held: list[list[np.ndarray]] = []
-
-    def add(self, cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        """Columns of the groups that end in ``cols``, whose first column names the group."""
-        if not len(cols[0]):
-            return
-        last = int(np.searchsorted(cols[0], cols[0][-1]))
-        if last or (self.held and self.held[0][0][0] != cols[0][0]):
-            first = [c[:last] for c in cols]
-            yield [np.concatenate(parts) for parts in zip(*self.held, first, strict=True)] if self.held else first
-            self.held = []
-        self.held.append([c[last:] for c in cols])
-
-    def rest(self) -> Iterator[list[np.ndarray]]:
-        if self.held:
-            yield [np.concatenate(parts) for parts in zip(*self.held, strict=True)]
-
-
 def link_rows(point: np.ndarray, fp: np.ndarray, radius: int) -> set[tuple[int, int]]:
     """Spanning links inside each grid point of rows that are sorted by point."""
     found: set[tuple[int, int]] = set()
@@ -318,82 +258,68 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     return salted_lookup(prints, where, "fingerprint", "_rows").select(key, "fingerprint", "component_id")
 
 
-#: SimHashes over distinct words per text, and the Hamming radius of a candidate in one of them.
-PRINTS, WORD_RADIUS = 4, 12
-
-
-def candidate_rows(nodes: DataFrame) -> DataFrame:
-    """(token, node, n, print, label) for every grid point of every fingerprint of distinct nodes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 5_000):
-                part = batch.slice(i, 5_000)
-                node, n = part.column(0).to_numpy(), part.column(1).to_numpy()
-                prints = np.frombuffer(b"".join(part.column(2).to_pylist()), ">i8").astype(np.int64).reshape(len(node), -1)
-                for f in range(prints.shape[1]):
-                    rows, points = grid_points(prints[:, f], 1)
-                    yield pa.RecordBatch.from_pydict(
-                        {"token": pa.array(points + 2 * f * 3**SEGMENTS), "node": pa.array(node[rows]), "n": pa.array(n[rows]), "print": pa.array(prints[rows, f]), "label": pa.array(node[rows])}
-                    )
-
-    return nodes.select("node", "n", "prints").mapInArrow(run, similar.CANDIDATE)
+#: SimHashes over distinct words per text.
+PRINTS = 2
 
 
-def close_prints(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The Manhattan bound, then the popcount, for pairs of fingerprints."""
-    ok = manhattan(a, b) <= WORD_RADIUS
-    ok[ok] = np.bitwise_count(a[ok].astype(np.uint64) ^ b[ok].astype(np.uint64)) <= WORD_RADIUS
-    return ok
+def text_hash(text: str) -> Column:
+    """Hash by which rows of one key are told apart: of the whole text as it is, null as empty."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", prints: int = PRINTS) -> DataFrame:
-    """(key, node, component) of every row: texts whose five-word shingle sets have a Jaccard
-    similarity of 0.8 or more, as far as one of their fingerprints meets, are in one component.
+    """(key, text_hash, node, component) of every row: texts whose five-word shingle sets have a
+    Jaccard similarity of 0.8 or more are in one component, as far as their fingerprints have a neighbour.
 
     ``node`` is a hash of the word sequence; ``component`` the least node of the component.  Every
-    link is verified on whole shingle sets; which pairs are seen is up to the fingerprints
-    (``PRINTS`` of them; the recall is measured in the tests).  Rows with equal word sequences
-    have equal nodes, texts without words are one node; null keys and repeated rows have rows.
+    link is verified on whole shingle sets; which texts are compared is up to the fingerprints
+    (``PRINTS`` of them over distinct words; the README has the recall).  Rows with equal word
+    sequences have equal nodes, texts without words are one node; null keys and repeated rows
+    have rows.
     """
     require(df, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 2, PIECE_BYTES):
-            texts = part.column(2).to_pylist()
+            node, n, marks = [], [], []
+            for data in part.column(2).to_pylist():
+                words = data.lower().split()
+                node.append(xxhash.xxh64_digest(b" ".join(words), 42))
+                n.append(len(words))
+                marks.append(word_prints(data, prints))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([similar.count_shingles(t) for t in texts], pa.int64()), pa.array([word_prints(t, prints) for t in texts], pa.binary())],
-                names=[key, "node", "n", "prints"],
+                [part.column(0), part.column(1), pa.array(np.frombuffer(b"".join(node), ">i8").astype(np.int64)), pa.array(n, pa.int64()), pa.array(marks, pa.binary())],
+                names=[key, "text_hash", "node", "n", "prints"],
             )
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(f"`{key}`").alias("k"), similar.node_of(text).alias("node"), blob(text).alias("t"))
-    rows = cut(rows.mapInArrow(run, f"`{key}` {kind}, node long, n long, prints binary"))
-    nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prints").alias("prints"), F.count("*").alias("_rows"), F.min(key).alias("_key")))
-    texts = df.select(F.col(f"`{key}`").alias("k"), similar.node_of(text).alias("node"), blob(text).alias("t"))
-    links_ = similar.verified_links(candidate_rows(nodes.where("n > 0")), nodes.select("node", F.col("_key").alias("k")), texts, close_prints)
-    home = components(links_).withColumnRenamed("node", "_node")
+    rows = df.select(F.col(f"`{key}`").alias("k"), text_hash(text).alias("h"), blob(text).alias("t"))
+    rows = cut(rows.mapInArrow(run, f"`{key}` {kind}, text_hash long, node long, n long, prints binary"))
+    owner = F.min(F.struct(F.col(f"`{key}`").alias("k"), F.col("text_hash").alias("h")))
+    nodes = cut(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prints").alias("prints"), F.count("*").alias("_rows"), owner.alias("owner")))
+    texts = df.select(F.col(f"`{key}`").alias("k"), text_hash(text).alias("h"), blob(text).alias("t"))
+    home = components(similar.verified_links(nodes.where("n > 0"), texts)).withColumnRenamed("node", "_node")
     where = nodes.join(home, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"), "_rows")
-    return salted_lookup(rows.select(key, "node"), where, "node", "_rows").select(key, "node", "component")
+    return salted_lookup(rows.select(key, "text_hash", "node"), where, "node", "_rows").select(key, "text_hash", "node", "component")
 
 
 def keep_first(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    """``df`` with one row of each component of ``found`` (key, node, component), the one with
-    the smallest key (ties: the smallest node); same columns.
+    """``df`` with one row of each component of ``found`` (key, text_hash, component), the one with
+    the smallest key (ties: the smallest text hash); same columns.
 
-    Rows are judged and removed by key and word sequence, so a key that occurs with several
-    texts loses only the texts that have a copy elsewhere.  Rows with a null key all stay.
+    Rows are judged and removed by key and text, so a key that occurs with several texts
+    loses only the texts that have a copy elsewhere.
     """
-    least = found.groupBy("component").agg(F.min(F.struct(F.col(f"`{key}`").alias("k"), F.col("node").alias("n"))).alias("m"), F.count("*").alias("c")).where("c > 1")
+    least = found.groupBy("component").agg(F.min(F.struct(F.col(f"`{key}`").alias("k"), F.col("text_hash").alias("h"))).alias("m"), F.count("*").alias("c")).where("c > 1")
     held = salted_lookup(found, least.select("component", "m", "c"), "component", "c").where("m is not null")
-    first = (F.col(f"`{key}`") == F.col("m.k")) & (F.col("node") == F.col("m.n"))
+    first = (F.col(f"`{key}`") == F.col("m.k")) & (F.col("text_hash") == F.col("m.h"))
     tag = uuid.uuid4().hex[:8]
-    k, n, mark = f"_k_{tag}", f"_n_{tag}", f"_node_{tag}"
-    gone = held.where(~first).select(F.col(f"`{key}`").alias(k), F.col("node").alias(n)).distinct()
+    k, n, mark = f"_k_{tag}", f"_n_{tag}", f"_hash_{tag}"
+    gone = held.where(~first).select(F.col(f"`{key}`").alias(k), F.col("text_hash").alias(n)).distinct()
     same = (F.col(f"`{key}`") == F.col(k)) & (F.col(mark) == F.col(n))
     names = [F.col(f"`{c}`") for c in df.columns]
-    left = df.withColumn(mark, similar.node_of(text)).join(gone, same, "left_anti")
-    many = cut(held.where(first).groupBy(F.col(f"`{key}`").alias(k), F.col("node").alias(n)).count().where("count > 1").select(k, n))
+    left = df.withColumn(mark, text_hash(text)).join(gone, same, "left_anti")
+    many = cut(held.where(first).groupBy(F.col(f"`{key}`").alias(k), F.col("text_hash").alias(n)).count().where("count > 1").select(k, n))
     if many.isEmpty():
         return left.select(*names)
     one = left.join(many, same, "left_semi").dropDuplicates([key, mark])
@@ -403,8 +329,8 @@ def keep_first(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFram
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component of ``near_copies``, the one with the smallest key; same columns.
 
-    Rows with a null key form no group and all stay; of rows that agree in key and word
-    sequence one stays; an empty frame stays empty.
+    Rows with a null key form no group and all stay; of rows that agree in key and text one
+    stays; an empty frame stays empty.
     """
     found = cut(near_copies(df.where(F.col(f"`{key}`").isNotNull()), key, text))
     return keep_first(df, found, key, text)

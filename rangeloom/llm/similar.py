@@ -1,43 +1,50 @@
-"""Verification of near copies on their five-word shingle sets.
-
-Candidates come as rows (group, node): nodes that meet in a group may be near copies.  In
-a group of more than ``PIVOTS[0]`` nodes the first ones are held against the rest; later
-rounds take further ones, but only across components, so a large group of near copies
-costs few pairs a row.  A candidate must pass the sizes, the caller's test of its
-fingerprints, and a parity sketch (an exact bound); what is left is verified on the whole
-shingle sets, held as 64-bit hashes, which are read again from the texts of the nodes
-concerned only.
+"""Near copies: texts that have a SimHash neighbour, verified on whole five-word shingle sets.
+
+Every node (a distinct word sequence) stands at the grid points of its fingerprints.  A node
+that passes the Manhattan bound and the popcount with another one at a point is a suspect;
+the texts of suspects alone are read again, as sets of shingle hashes.  Which suspects are
+similar is then decided exactly: under one order of all shingles, two sets of a Jaccard
+similarity of 0.8 share one of their first ``n - ceil(0.8 n) + 1`` (rare shingles come first),
+must be of like size and near each other in a parity sketch, and are compared as a whole.
+
+In a large group of near copies a set is held against its first few candidates; sets that
+have more are looked at again in a later round, but only across the components found so
+far, so such a group costs a few pairs a set and no pair of different components is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import blob, cut, pieces  # noqa: F401
+from rangeloom.llm.common import cut, pieces
 from rangeloom.llm.components import components
+from rangeloom.llm.grid import SEGMENTS, Groups, grid_points, segment_counts
 
 K = 5
 PIECE_BYTES = 4_000_000
 #: Bits of the shortest parity sketch.
 SKETCH = 256
-#: Nodes of a group that are held against its rest, round by round.
-PIVOTS = (8, 256, 2**62)
-#: Node tables up to so many rows (eight bytes each) are broadcast.
+#: Bits of the sketch that goes with a set's candidate rows in the first round, at most.
+SHORT = 256
+#: Bits a shingle of the sketch in later rounds, where the sets left are much alike, and their most.
+DENSE, WIDE = 8, 8_192
+#: Differing bits of two fingerprints of neighbours.
+RADIUS = 12
+#: Candidates that a set takes among those before it in a group, round by round.
+ROUNDS = (1, 4, 2**62)
+#: Groups of more members are searched from their first PIVOTS members until the last round.
+WHOLE, PIVOTS = 1_024, 16
+#: A shingle of so many sets of the sample is put last; the order never changes the result.
+HOT, HOT_MAX = 4, 100_000
+#: Node tables up to so many rows (a few words each) are broadcast.
 FEW = 250_000
-CANDIDATE = "token long, node long, n long, print long, label long"
-
-
-def node_of(text: str) -> Column:
-    """64-bit hash of the word sequence: A-Z lower-cased, words between ASCII white space."""
-    t = F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.xxhash64(F.trim(F.regexp_replace(t, "[\\x20\\x09-\\x0D]+", " ")))
 
 
 def shingles(data: bytes, k: int = K) -> np.ndarray:
@@ -53,18 +60,13 @@ def shingles(data: bytes, k: int = K) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends, strict=False)], np.uint64).view(np.int64))
 
 
-def count_shingles(data: bytes, k: int = K) -> int:
-    """Number of k-word shingles with repeats, a text of fewer words has one; none without words."""
-    n = len(data.split())
-    return min(n, max(1, n - k + 1))
-
-
-def sketch(tokens: np.ndarray) -> np.ndarray:
+def sketch(tokens: np.ndarray, dense: int = 1, most: int = 2**62) -> np.ndarray:
     """Parity of the tokens by bit: two sketches differ in no more bits than their sets in tokens.
 
-    The width is a power of two, at least one bit a token; a wider sketch is folded to a narrower one.
+    The width is a power of two, at least ``dense`` bits a token up to ``most``; a wider sketch is
+    folded to a narrower one.
     """
-    width = max(SKETCH, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else SKETCH
+    width = min(most, max(SKETCH, 1 << (dense * len(tokens) - 1).bit_length())) if len(tokens) else SKETCH
     odd = np.bincount((tokens.view(np.uint64) % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
@@ -81,49 +83,218 @@ def sketch_bits(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
-def meet(rows: DataFrame, done: int, pivots: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(big, a, b, n, print) from candidate rows: pairs (a, b) of the nodes ``done`` to ``pivots`` of
-    each group with its later ones of other labels; groups of over ``pivots`` nodes as (token, node, n, print)."""
-    from rangeloom.llm.simhash import Groups
+def fold(raw: bytes, bits: int) -> bytes:
+    """A sketch folded to at most ``bits``."""
+    words = np.frombuffer(raw, np.uint64)
+    return raw if len(words) * 64 <= bits else np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0).tobytes()
+
+
+def expand(nodes: DataFrame) -> DataFrame:
+    """(token, node, print) for every grid point of every fingerprint of (node, prints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def take(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, node = cols[:2]
-            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-            token, node, n, mark, label = (c[fresh] for c in cols)
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            sizes = np.diff(np.append(starts, len(token)))
-            size = np.repeat(sizes, sizes)
-            rank = np.arange(len(token)) - np.repeat(starts, sizes)
-            large = size > pivots
-            if large.any():
-                yield batch_of(True, token[large], node[large], n[large], mark[large])
-            at = np.flatnonzero((rank >= done) & (rank < pivots))
-            shift = 1
-            while True:
-                at = at[rank[at] + shift < size[at]]
-                if not len(at):
-                    break
-                to = at + shift
-                ok = label[at] != label[to]
-                ok[ok] = close(mark[at[ok]], mark[to[ok]])
-                if ok.any():
-                    none = np.zeros(int(ok.sum()), np.int64)
-                    yield batch_of(False, node[at[ok]], node[to[ok]], none, none)
-                shift += 1
-
-        def batch_of(big: bool, a: np.ndarray, b: np.ndarray, n: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"big": pa.array(np.full(len(a), big)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n), "print": pa.array(mark)})
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2_000):
+                part = batch.slice(i, 2_000)
+                node = part.column(0).to_numpy()
+                prints = np.frombuffer(b"".join(part.column(1).to_pylist()), ">i8").astype(np.int64).reshape(len(node), -1)
+                for f in range(prints.shape[1]):
+                    rows, points = grid_points(prints[:, f], 1)
+                    yield pa.RecordBatch.from_pydict({"token": pa.array(points + 2 * f * 3**SEGMENTS), "node": pa.array(node[rows]), "print": pa.array(prints[rows, f])})
+
+    return nodes.select("node", "prints").mapInArrow(run, "token long, node long, print long")
+
+
+def group_sizes(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, sizes) of the runs of equal tokens."""
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    return starts, np.diff(np.append(starts, len(token)))
+
 
+def neighbours(token: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows inside the groups, shift by shift; groups of size 0 have none."""
+    _, real = group_sizes(token)
+    size = np.repeat(sizes, real)
+    rank = np.arange(len(token)) - np.repeat(np.cumsum(real) - real, real)
+    at, shift = np.flatnonzero(size > 1), 1
+    while len(at := at[rank[at] + shift < size[at]]):
+        yield at, at + shift
+        shift += 1
+
+
+def suspects(rows: DataFrame) -> DataFrame:
+    """(node) that pass bound and popcount with another node at a grid point; at a point of
+    over ``WHOLE`` nodes all count as suspects, which costs time and changes no result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[int] = set()
         groups = Groups()
+
+        def add(cols: list[np.ndarray]) -> None:
+            token, node, mark = cols
+            starts, sizes = group_sizes(token)
+            keep = np.repeat((sizes > 1) & (sizes <= WHOLE), sizes)
+            hit = np.repeat(sizes > WHOLE, sizes)
+            found.update(node[hit].tolist())
+            token, node, mark = token[keep], node[keep], mark[keep]
+            if not len(token):
+                return
+            counts, bits = segment_counts(mark).reshape(len(mark), -1).astype(np.int8), mark.astype(np.uint64)
+            hit = np.zeros(len(token), bool)
+            for a, b in neighbours(token, group_sizes(token)[1]):
+                open_ = ~(hit[a] & hit[b]) & (node[a] != node[b])
+                a, b = a[open_], b[open_]
+                ok = np.abs(counts[a] - counts[b]).sum(axis=1, dtype=np.int64) <= RADIUS
+                a, b = a[ok], b[ok]
+                ok = np.bitwise_count(bits[a] ^ bits[b]) <= RADIUS
+                hit[a[ok]] = True
+                hit[b[ok]] = True
+            found.update(node[hit].tolist())
+
         for batch in batches:
             for cols in groups.add([c.to_numpy() for c in batch.columns]):
-                yield from take(cols)
+                add(cols)
+        for cols in groups.rest():
+            add(cols)
+        out = np.array(list(found), np.int64)
+        for i in range(0, len(out), 100_000):
+            yield pa.RecordBatch.from_pydict({"node": pa.array(out[i : i + 100_000])})
+
+    placed = rows.repartition("token").sortWithinPartitions("token", "node")
+    return placed.mapInArrow(run, "node long").distinct()
+
+
+def frequent(sets: DataFrame) -> np.ndarray:
+    """Shingles to be put last, by their sets in a sample."""
+    every = min(20, max(1, sets.count() // 10_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 0, PIECE_BYTES):
+            seen, count = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"token": pa.array(seen), "c": pa.array(count.astype(np.int64))})
+
+    counts = sets.where(F.pmod("node", F.lit(every)) == 0).select("tokens").mapInArrow(run, "token long, c long")
+    most = counts.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT).orderBy(F.desc("c"), "token").limit(HOT_MAX)
+    return np.sort(np.array([r.token for r in most.select("token").collect()], np.int64))
+
+
+def prefix_rows(sets: DataFrame, last: np.ndarray, dense: bool) -> DataFrame:
+    """(token, node, n, sketch, label) for the prefix of every set (node, n, sketch, tokens, label),
+    with a dense sketch or a short one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 3, PIECE_BYTES // 4):
+            node, n, raw, tokens, label = (c.to_pylist() for c in batch.columns)
+            firsts = []
+            for size, t in zip(n, tokens, strict=True):
+                s = np.frombuffer(t, np.int64)
+                if len(last):
+                    hot = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                    s = np.concatenate([s[~hot], s[hot]])
+                firsts.append(s[: size + (-4 * size // 5) + 1])  # n - ceil(0.8 n) + 1
+            at = np.repeat(np.arange(len(node)), [len(s) for s in firsts])
+            if dense:
+                raw = [sketch(np.frombuffer(t, np.int64), DENSE, WIDE).tobytes() for t in tokens]
+            else:
+                raw = [fold(x, SHORT) for x in raw]
+            short = pa.array(raw, pa.binary())
+            for i in range(0, len(at), 20_000):
+                some = at[i : i + 20_000]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "token": pa.array(np.concatenate(firsts)[i : i + 20_000]),
+                        "node": pa.array(np.array(node, np.int64)[some]),
+                        "n": pa.array(np.array(n, np.int64)[some]),
+                        "sketch": short.take(pa.array(some)),
+                        "label": pa.array(np.array(label, np.int64)[some]),
+                    }
+                )
+
+    return sets.where("n > 0").select("node", "n", "sketch", "tokens", "label").mapInArrow(run, "token long, node long, n long, sketch binary, label long")
+
+
+def meet(rows: DataFrame, most: int) -> DataFrame:
+    """Distinct candidates (a, b), a < b, of prefix rows with different labels; a set with
+    candidates that were put off comes as (a, a).
+
+    A set takes the first ``most`` of its candidates among the sets before it in a group.
+    """
+
+    def take(token: np.ndarray, node: np.ndarray, n: np.ndarray, raw: list[bytes], label: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        starts, sizes = group_sizes(token)
+        width = np.array([len(x) // 8 for x in raw])
+        folded = {}
+        for w in np.unique(width).tolist():  # every sketch of at least this width, folded to it
+            wide = np.flatnonzero(width >= w)
+            place = np.zeros(len(raw), np.int64)
+            place[wide] = np.arange(len(wide))
+            folded[w] = place, np.frombuffer(b"".join(fold(raw[i], 64 * w) for i in wide.tolist()), np.uint64).reshape(-1, w)
+        left, right, off = [], [], []
+
+        def hold(a: np.ndarray, b: np.ndarray) -> None:
+            ok = (label[a] != label[b]) & (node[a] != node[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+            a, b = a[ok], b[ok]
+            both = np.minimum(width[a], width[b])
+            for w in np.unique(both).tolist():
+                place, table = folded[w]
+                x, y = a[both == w], b[both == w]
+                for i in range(0, len(x), 50_000):
+                    p, q = x[i : i + 50_000], y[i : i + 50_000]
+                    bits = np.bitwise_count(table[place[p]] ^ table[place[q]]).sum(axis=1, dtype=np.int64)
+                    near = 9 * bits <= n[p] + n[q]
+                    left.append(p[near])
+                    right.append(q[near])
+
+        whole = (sizes <= WHOLE) | (most == ROUNDS[-1])
+        for a, b in neighbours(token, np.where(whole, sizes, 0)):
+            hold(a, b)
+        for start, size in zip(starts[~whole].tolist(), sizes[~whole].tolist(), strict=True):
+            for pivot in range(start, start + PIVOTS):
+                hold(np.full(start + size - pivot - 1, pivot), np.arange(pivot + 1, start + size))
+            if (label[start : start + size] != label[start]).any():
+                off.append(node[start : start + size])
+        if not left:
+            return [np.zeros(0, np.int64)] * 2, off
+        a, b = np.concatenate(left), np.concatenate(right)
+        order = np.lexsort((a, b))
+        a, b = a[order], b[order]
+        fresh = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+        kept = np.arange(len(b)) - np.repeat(fresh, np.diff(np.append(fresh, len(b)))) < most
+        off += [node[a[~kept]], node[b[~kept]]]
+        return [node[a[kept]], node[b[kept]]], off
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: set[tuple[int, int]] = set()
+        groups = Groups()
+
+        def emit() -> pa.RecordBatch:
+            out = np.array(list(pairs), np.int64).reshape(-1, 2)
+            pairs.clear()
+            return pa.RecordBatch.from_pydict({"a": pa.array(out.min(axis=1)), "b": pa.array(out.max(axis=1))})
+
+        def add(cols: list[np.ndarray]) -> None:
+            starts, sizes = group_sizes(cols[0])
+            some = np.repeat(sizes > 1, sizes)
+            if not some.any():
+                return
+            token, node, n, raw, label = (c[some] for c in cols)
+            (a, b), off = take(token, node, n, raw.tolist(), label)
+            pairs.update(zip(a.tolist(), b.tolist(), strict=True))
+            for nodes in off:
+                pairs.update((x, x) for x in np.unique(nodes).tolist())
+
+        for batch in batches:
+            for cols in groups.add([c.to_numpy(zero_copy_only=False) for c in batch.columns]):
+                add(cols)
+            if len(pairs) > 200_000:
+                yield emit()
         for cols in groups.rest():
-            yield from take(cols)
+            add(cols)
+        if pairs:
+            yield emit()
 
-    placed = rows.select("token", "node", "n", "print", "label").repartition("token").sortWithinPartitions("token", "node")
-    return placed.mapInArrow(run, "big boolean, a long, b long, n long, print long").distinct()
+    placed = rows.repartition("token").sortWithinPartitions("token", "node")
+    return placed.mapInArrow(run, "a long, b long").distinct()
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -145,12 +316,8 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "t").mapInArrow(run, "node long, n long, sketch binary, tokens binary")
 
 
-def verify(pairs: DataFrame, owners: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 0.8 or more, as (u, v).
-
-    ``owners`` (node, k) names for each node one key of a text that has it; ``texts`` are
-    (k, node, t).  Only texts of nodes in pairs are read.
-    """
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of 0.8 or more, as (u, v)."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,38 +334,44 @@ def verify(pairs: DataFrame, owners: DataFrame, texts: DataFrame) -> DataFrame:
                 ok.append(9 * len(np.intersect1d(s, t, assume_unique=True)) >= 4 * (len(s) + len(t)))
             yield pa.RecordBatch.from_pydict({"u": pa.array([i for i, k in zip(a, ok, strict=True) if k], pa.int64()), "v": pa.array([i for i, k in zip(b, ok, strict=True) if k], pa.int64())})
 
-    def nodes_of(pairs: DataFrame) -> DataFrame:
-        nodes = cut(pairs.select(F.col("a").alias("_n")).union(pairs.select("b")).distinct())
-        return F.broadcast(nodes) if nodes.count() <= FEW else nodes
-
-    def attach(pairs: DataFrame, sets: DataFrame, column: str, *more: str) -> DataFrame:
+    def attach(pairs: DataFrame, column: str, *more: str) -> DataFrame:
         side = lambda at, out: sets.select(F.col("node").alias(f"_{at}"), F.col(column).alias(out), *[F.col(m).alias(f"{m}_{out}") for m in more])
         return pairs.join(side("b", "y"), F.col("b") == F.col("_b")).join(side("a", "x"), F.col("a") == F.col("_a"))
 
-    own = owners.join(nodes_of(pairs), F.col("node") == F.col("_n"), "left_semi").select(F.col("node").alias("_n"), F.col("k").alias("_k"))
+    small = attach(pairs, "sketch", "n").select("a", "b", "x", "y", (F.col("n_x") + F.col("n_y")).alias("both"))
+    left = cut(small.mapInArrow(bound, "a long, b long"))
+    return attach(left, "tokens").select("a", "b", "x", "y").mapInArrow(exact, "u long, v long")
+
+
+def verified_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) of similarity 0.8 or more between the nodes (node, prints, owner, _rows) that have a
+    SimHash neighbour, by which they are connected exactly when all such pairs connect them.
+
+    ``owner`` names one row (k, h) that has the node; ``texts`` are (k, h, t).
+    """
+    found = cut(suspects(expand(nodes)).withColumnRenamed("node", "_n"))
+    own = nodes.join(found, F.col("node") == F.col("_n"), "left_semi").select("node", F.col("owner.k").alias("_k"), F.col("owner.h").alias("_h"), (F.col("_rows") == 1).alias("single"))
     own = cut(own)
     own = F.broadcast(own) if own.count() <= FEW else own
-    wanted = texts.join(own, (F.col("node") == F.col("_n")) & F.col("k").eqNullSafe(F.col("_k")), "left_semi").dropDuplicates(["node"])
-    sets = cut(shingle_sets(wanted))
-    small = attach(pairs, sets, "sketch", "n").where(5 * F.least("n_x", "n_y") >= 4 * F.greatest("n_x", "n_y"))
-    left = cut(small.select("a", "b", "x", "y", (F.col("n_x") + F.col("n_y")).alias("both")).mapInArrow(bound, "a long, b long"))
-    return attach(left, sets, "tokens").select("a", "b", "x", "y").mapInArrow(exact, "u long, v long")
-
-
-def verified_links(rows: DataFrame, owners: DataFrame, texts: DataFrame, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Links (u, v) between nodes of similarity 0.8 or more that meet in a group of ``rows``, by
-    which nodes are connected exactly when they are connected by all such pairs."""
-    links, done = None, 0
-    for pivots in PIVOTS:
-        found = cut(meet(rows, done, pivots, close))
-        new = cut(verify(found.where("not big").select("a", "b"), owners, texts))
+    read = texts.join(own, F.col("k").eqNullSafe(F.col("_k")) & (F.col("h") == F.col("_h")))
+    # Only a node of several rows can have its owner twice; texts of the others need no shuffle.
+    sets = cut(shingle_sets(read.where("single")).unionByName(shingle_sets(read.where("not single").dropDuplicates(["node"]))))
+    last = frequent(sets)
+    rows = prefix_rows(sets.withColumn("label", F.col("node")), last, dense=False)
+    links = None
+    for most in ROUNDS:
+        met = cut(meet(rows, most))
+        new = cut(verify(met.where("a < b"), sets))
         links = new if links is None else links.unionByName(new)
-        big = found.where("big").select(F.col("a").alias("token"), F.col("b").alias("node"), "n", "print")
-        if big.isEmpty():
+        off = met.where("a = b").select(F.col("a").alias("_off"))
+        if off.isEmpty():
             break
         home = components(links).withColumnRenamed("node", "_node")
-        labelled = big.join(home, F.col("node") == F.col("_node"), "left").select("token", "node", "n", "print", F.coalesce("component", "node").alias("label"))
-        # A group whose nodes are all in one component is settled.
-        open_ = labelled.groupBy(F.col("token").alias("_t")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("_t")
-        rows, done = cut(labelled.join(open_, F.col("token") == F.col("_t"), "left_semi")), pivots
+        again = sets.join(off, F.col("node") == F.col("_off"), "left_semi").join(home, F.col("node") == F.col("_node"), "left")
+        again = prefix_rows(again.withColumn("label", F.coalesce("component", "node")), last, dense=True)
+        # A group whose sets are all in one component is settled.
+        open_ = again.groupBy(F.col("token").alias("_t")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("_t")
+        rows = cut(again.join(open_, F.col("token") == F.col("_t"), "left_semi"))
+        if rows.isEmpty():
+            break
     return links

@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 from rangeloom.llm.common import blob, cut, free_name, pieces, require
 from rangeloom.llm.simhash import word_prints
 
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 4_000_000
 #: Bytes of words that a worker keeps the features of; the cache starts anew beyond it.
-CACHE_BYTES = 48_000_000
+CACHE_BYTES = 24_000_000
 #: A feature's share among positives must exceed that among the others by so many standard errors.
 LEAST_Z = 5.0
 #: Lengths of word beginnings that are features beside the whole word.
@@ -139,7 +139,7 @@ def fit(
     their words), as words of one text are no pattern.  Features are word
     features that at least ``min_texts`` and ``min_share`` of the positives have, twice as often as the unlabelled sample and by ``LEAST_Z`` standard
     errors, the clearest ones first.  Null labels count as unlabelled, null keys are not
-    learnt from, repeated rows of a key count once; without positives or others every text
+    learnt from; without positives or others every text
     scores the prior (next to 0 if there are no labels).
     """
     require(documents, key, text)
@@ -166,7 +166,7 @@ def fit(
             prints = np.frombuffer(b"".join(word_prints(w, 1) for w in words), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_pydict({"words": pa.array(words, pa.binary()), "print": pa.array(prints), "p": part.column("_p"), "u": part.column("_u")})
 
-    texts = documents.select(F.col(key).alias("_key"), blob(text).alias("_text")).join(sample, "_key").dropDuplicates(["_key"]).select("_text", "_p", "_u")
+    texts = documents.select(F.col(key).alias("_key"), blob(text).alias("_text")).join(sample, "_key").select("_text", "_p", "_u")
     bags = cut(texts.mapInArrow(read, "words binary, print long, p boolean, u boolean"))
     prints = bags.groupBy("print").agg(F.bool_or("p").alias("p")).collect()  # the sample's rows at most
     alone = apart(sorted((not r.p, r.print) for r in prints))
@@ -221,15 +221,16 @@ def score_texts(df: DataFrame, model: ToxicityModel, text: str = "text", out: st
         raise ValueError(f"column {out} exists; choose another name")
     schema = T.StructType([*[T.StructField(c, df.schema[c].dataType, True) for c in names], T.StructField(out, T.DoubleType())])
     width = len(names)
+    at = names.index(text) if keep_text else width  # the text travels once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, tuple[int, ...]] = {}
         held = 0
         features = model.features
-        for part in pieces(batches, width, PIECE_BYTES):
+        for part in pieces(batches, at, PIECE_BYTES):
             scores = []
-            for data in part.column(width).to_pylist():
-                words = words_of(data)
+            for data in part.column(at).cast(pa.binary()).to_pylist():
+                words = words_of(data or b"")
                 for w in [w for w in words if w not in cache]:
                     cache[w] = tuple(features[f] for f in word_features(w) if f in features)
                     held += len(w) + 120
@@ -239,7 +240,8 @@ def score_texts(df: DataFrame, model: ToxicityModel, text: str = "text", out: st
                     held = 0
             yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(scores, pa.float64())], names=[*names, out])
 
-    return df.select(*[F.col(f"`{c}`") for c in names], blob(text).alias(free_name(df, "_text"))).mapInArrow(run, schema)
+    columns = [F.col(f"`{c}`") for c in names]
+    return (df.select(*columns) if keep_text else df.select(*columns, blob(text).alias(free_name(df, "_text")))).mapInArrow(run, schema)
 
 
 def drop_toxic(df: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -602,9 +602,11 @@ def plain_similar(rows, k=5):
     return [min(rows[j][0] for j in range(len(rows)) if group[j] == g) for g in group]
 
 
-@pytest.mark.parametrize("pivots", [similar.PIVOTS, (1, 2, 2**62)])
-def test_near_copies_against_all_pairs(spark, monkeypatch, pivots):
-    monkeypatch.setattr(similar, "PIVOTS", pivots)
+@pytest.mark.parametrize(("rounds", "whole"), [(similar.ROUNDS, similar.WHOLE), ((1, 2, 2**62), 4)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, rounds, whole):
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
+    monkeypatch.setattr(similar, "WHOLE", whole)
+    monkeypatch.setattr(similar, "PIVOTS", min(whole, similar.PIVOTS))
     rng = random.Random(6)
     rows = [(900, None), (901, " \n"), (902, "one two"), (903, "One  TWO"), (904, "one two three"), (905, "été a b c d e"), (906, "Été a b c d e")]
     for _ in range(8):
