@@ -65,12 +65,6 @@ def range_sql(name: str, r: NumRange) -> list[str]:
     return [f"{name} BETWEEN {number(r.least)} AND {number(r.most)}"]
 
 
-def in_range(c: Column, r: NumRange) -> Column:
-    """Verdict per value: true or false, null for a null value or an open range."""
-    cond = range_condition(c, r)
-    return F.lit(None).cast("boolean") if cond is None else F.when(c.isNotNull(), cond)
-
-
 def in_limits(c: Column, least: Column, most: Column, tolerance: float, null_is_fine: bool) -> Column:
     """Range test whose ends are columns; a null end is open, ends in the wrong order wrap around.
 

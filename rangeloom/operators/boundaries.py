@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rangeloom.functions.ranges import in_limits
 from rangeloom.functions.scalars import circular_mean, wrap180
@@ -34,15 +35,17 @@ def apply_boundaries(
 
     ``params`` names the boundary columns ``<name>_min`` and ``<name>_max`` and what they
     limit; names without boundary columns are skipped.  Classes compare without regard to
-    case; a class that is absent or has no limits accepts nothing; of a repeated class one
-    row counts.
+    case; a class that is absent or has no limits accepts nothing; of a repeated class its
+    first row counts, in the order of the boundary frame.
     """
     used = [p for p in params if {f"{p}_min", f"{p}_max"} & set(boundaries.columns)]
     ends = {f"{p}_{e}": (F.col(f"{p}_{e}") if f"{p}_{e}" in boundaries.columns else F.lit(None)).cast("double") for p in used for e in ("min", "max")}
-    side = boundaries.where(limited(boundaries, used)).dropDuplicates(list(keys))
-    side = side.select(*[F.upper(k).alias(f"_b_{k}") for k in keys], *[v.alias(f"_b_{n}") for n, v in ends.items()])
-    if len(side.head(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
-        side = F.broadcast(side)
+    folded = [f"_b_{k}" for k in keys]
+    side = boundaries.where(limited(boundaries, used)).select(*[F.upper(k).alias(f"_b_{k}") for k in keys], *[v.alias(f"_b_{n}") for n, v in ends.items()], F.monotonically_increasing_id().alias("_at"))
+    side = side.withColumn("_n", F.row_number().over(Window.partitionBy(*folded).orderBy("_at"))).where("_n = 1").drop("_n", "_at")
+    few = side.head(BROADCAST_ROWS + 1)
+    if len(few) <= BROADCAST_ROWS:  # read once; the local rows are what is broadcast
+        side = F.broadcast(df.sparkSession.createDataFrame(few, side.schema))
     on = reduce(lambda a, b: a & b, [F.upper(F.col(k)) == F.col(f"_b_{k}") for k in keys])
     tests = [in_limits(params[p], F.col(f"_b_{p}_min"), F.col(f"_b_{p}_max"), tolerance, null_is_fine) for p in used]
     ok = reduce(lambda a, b: a & b, tests, F.col(f"_b_{keys[0]}").isNotNull())

@@ -74,8 +74,8 @@ def group_sets(df: DataFrame, sets: list[list[str]], exprs: dict[str, str] | Non
     base = df.selectExpr("*", *[f"{exprs[n]} AS {n}" for n in names if n in exprs])
     if not names:
         return base.selectExpr(*[f"{a} AS {n}" for n, a in aggs.items()])
-    base.createOrReplaceTempView("_group_sets")
     text = ", ".join("(" + ", ".join(s) + ")" for s in sets)
     return df.sparkSession.sql(
-        f"SELECT {', '.join(names)}, cast(grouping_id({', '.join(names)}) as bigint) AS grouping_set, {', '.join(f'{a} AS {n}' for n, a in aggs.items())} FROM _group_sets GROUP BY GROUPING SETS ({text})"
+        f"SELECT {', '.join(names)}, cast(grouping_id({', '.join(names)}) as bigint) AS grouping_set, {', '.join(f'{a} AS {n}' for n, a in aggs.items())} FROM {{base}} GROUP BY GROUPING SETS ({text})",
+        base=base,
     )

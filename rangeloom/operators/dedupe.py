@@ -60,6 +60,16 @@ def membership(df: DataFrame, lists: dict[str, DataFrame], sides: list[list[str]
     return df
 
 
+def not_in(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """SQL's NOT IN over a one-column frame: an equi-join, with the null rules as scalar tests.
+
+    A null member leaves nothing; a null key stays only where there are no members.
+    """
+    m = members.toDF("_m")
+    some, null = m.agg(F.count("*")).scalar(), m.agg(F.count(F.when(F.col("_m").isNull(), 1))).scalar()
+    return df.where((some == 0) | (F.col(key).isNotNull() & (null == 0))).join(m.where("_m is not null").distinct(), F.col(key) == F.col("_m"), "left_anti")
+
+
 def family_candidates(df: DataFrame, families: DataFrame) -> DataFrame:
     """Every row with every candidate family (a fixed, small list)."""
     if len(families.head(65)) > 64:

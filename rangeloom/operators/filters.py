@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -97,27 +98,85 @@ def capped_bonds(f: PairFilter, atoms: dict[str, tuple[str, str]], plain: float
     return replace(f, ranges=ranges)
 
 
-#: Orders by name; each is a list of columns with explicit places of nulls.
-ORDERS: dict[str, list] = {
-    "identity": [("pid", "asc"), ("k1", "asc"), ("k2", "asc"), ("k3", "asc")],
-    "shortest_bond": [("hb_0", "asc"), ("pid", "asc")],
-    "longest_bond": [("hb_0", "desc"), ("pid", "asc")],
-    "angle": [("angle", "asc"), ("pid", "asc")],
-    "missing_last": [("hb_2", "desc"), ("pid", "asc")],
+#: Orders by name as ORDER BY text; fixed values of the gallery's order menu.  The empty one keeps the stored order.
+ORDERS: dict[str, str] = {
+    "pdbid": "",
+    "pdbidD": "pdbid DESC, model DESC, chain1 DESC, nr1 DESC",
+    "resolutionA": "resolution NULLS LAST, pdbid, model, chain1, nr1",
+    "modedevA": "mode_deviations",
+    "modedevD": "-mode_deviations",
+    "LLD": "-log_likelihood",
+    "LLA": "log_likelihood",
+    "rmsdA": "(rmsd_edge1+rmsd_edge2)",
+    "rmsdD": "(rmsd_edge1+rmsd_edge2) DESC",
+    "quantile_hmean_Q": "quantile_hmean_Q DESC",
+    "quantile_hmean_QA": "quantile_hmean_Q ASC",
+    "quantile_mean_Q": "quantile_mean_Q DESC",
+    "quantile_mean_QA": "quantile_mean_Q ASC",
 }
+DIRECTION = re.compile(r"^(.*?)(?:\s+(asc|desc))?(?:\s+nulls\s+(first|last))?$", re.I | re.S)
+
+
+def split_list(text: str) -> list[str]:
+    """Parts of a SQL list, cut at commas outside of parentheses and quotes."""
+    parts, depth, quote = [""], 0, ""
+    for c in text:
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        else:
+            depth += (c == "(") - (c == ")")
+            if c == "," and depth == 0:
+                parts.append("")
+                continue
+        parts[-1] += c
+    return [p.strip() for p in parts if p.strip()]
+
+
+def sort_keys(text: str) -> list[Column]:
+    """Sort columns of ORDER BY text: expressions, ASC or DESC, NULLS FIRST or LAST (by default last)."""
+    keys = []
+    for part in split_list(text):
+        expr, way, nulls = DIRECTION.match(part).groups()
+        down, first = (way or "").lower() == "desc", (nulls or "").lower() == "first"
+        c = F.expr(expr)
+        keys.append((c.desc_nulls_first() if first else c.desc_nulls_last()) if down else (c.asc_nulls_first() if first else c.asc_nulls_last()))
+    return keys
 
 
 def order_by(df: DataFrame, preset: str) -> DataFrame:
-    """A named order, or any SQL ORDER BY text; nulls come last in the named ones."""
-    if preset in ORDERS:
-        return df.orderBy(*[F.col(c).asc_nulls_last() if way == "asc" else F.col(c).desc_nulls_last() for c, way in ORDERS[preset]])
-    return df.orderBy(F.expr(preset))
+    """A named order (``ORDERS``) or any ORDER BY text; nulls come last unless it says otherwise."""
+    keys = sort_keys(ORDERS.get(preset, preset))
+    return df.orderBy(*keys) if keys else df
 
 
-def limits_verdict(df: DataFrame, ranges: dict[str, NumRange]) -> DataFrame:
-    """Columns ``<name>_in_range``: true, false or null, a null value being null."""
-    from rangeloom.functions.ranges import in_range
+def page(df: DataFrame, order: str, size: int, number: int = 0) -> DataFrame:
+    """One page of an ordered result; pages are numbered from 0."""
+    return order_by(df, order).offset(size * number).limit(size)
+
+
+def select_columns(df: DataFrame, keep: str | None = None, drop: str | None = None) -> DataFrame:
+    """Columns whose whole name fits ``keep`` and not ``drop``, two regular expressions."""
+    names = [c for c in df.columns if (keep is None or re.fullmatch(keep, c)) and not (drop and re.fullmatch(drop, c))]
+    return df.select(*[F.col(f"`{c}`") for c in names])
+
+
+def both_in(sides: tuple[str, str], values: list) -> Column:
+    """Whether both residues are among the values; null counts as no."""
+    return F.coalesce(F.col(sides[0]).isin(values) & F.col(sides[1]).isin(values), F.lit(False))
 
+
+def identity_and_stats(df: DataFrame, ids: list[str], comparison: tuple[str, ...] = ("comparison_in_baseline", "comparison_in_current"), stats: str = r".*(_quantile|_likelihood|_deviations?|quantile_.*)") -> DataFrame:
+    """Identity columns, comparison flags that are there, and the columns of computed statistics."""
+    flags = [c for c in comparison if c in df.columns]
+    rest = [c for c in df.columns if c not in ids and c not in flags and re.fullmatch(stats, c)]
+    return df.select(*ids, *flags, *rest)
+
+
+def limits_verdict(df: DataFrame, ranges: dict[str, NumRange]) -> DataFrame:
+    """Columns ``<name>_in_range``: null for an open range, else true or false; a null value is outside."""
+    in_range = lambda c, r: F.lit(None).cast("boolean") if r.empty else F.coalesce(range_condition(c, r), F.lit(False))
     return df.select("*", *[in_range(F.col(n), r).alias(f"{n}_in_range") for n, r in ranges.items()])
 
 

@@ -64,6 +64,44 @@ def yaw_pitch_roll(rows: list[Vector]) -> tuple[Column, Column, Column]:
     return F.degrees(F.atan2(r[1][0], r[0][0])), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -r[2][0])))), F.degrees(F.atan2(r[2][1], r[2][2]))
 
 
+def euler_zxz(rows: list[Vector]) -> tuple[Column, Column, Column]:
+    """Degrees of a rotation matrix as extrinsic z-x-z turns."""
+    r = rows
+    return F.degrees(F.atan2(r[2][0], r[2][1])), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r[2][2])))), F.degrees(F.atan2(r[0][2], -r[1][2]))
+
+
+def relative_rotation(first: tuple[Vector, Vector, Vector], second: tuple[Vector, Vector, Vector]) -> list[Vector]:
+    """Rows of the second frame in the first, the second turned half about its z axis, as pairs face each other."""
+    x, y, z = second
+    return [[-dot(a, x), -dot(a, y), dot(a, z)] for a in first]
+
+
+def plane_deviation(point: Vector, origin: Vector, normal: Vector) -> Column:
+    """Signed distance of a point from the plane through ``origin``."""
+    return dot(minus(point, origin), normal)
+
+
+def closest_to_zero(values: list[Column]) -> Column:
+    """The value nearest to 0, the first of equals; nulls are passed over."""
+    rows = F.array_sort(F.array(*[F.struct(F.abs(v).alias("a"), F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(values)]))
+    return F.get(F.filter(rows, lambda r: r["v"].isNotNull()), F.lit(0))["v"]
+
+
+def coplanarity(origin1: Vector, normal1: Vector, edge1: list[Vector], origin2: Vector, normal2: Vector, edge2: list[Vector]) -> dict[str, Column]:
+    """Angle of two planes, each edge's shift from the other plane, and the tilt of its line against it.
+
+    An edge's line runs from its first atom to its last; the tilt is 0 along the plane.
+    """
+    tilt = lambda edge, normal: F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(minus(edge[-1], edge[0]), normal), norm(minus(edge[-1], edge[0])) * norm(normal))))))
+    return {
+        "coplanarity_angle": angle_between(normal1, normal2),
+        "coplanarity_shift1": closest_to_zero([plane_deviation(p, origin2, normal2) for p in edge1]),
+        "coplanarity_shift2": closest_to_zero([plane_deviation(p, origin1, normal1) for p in edge2]),
+        "coplanarity_edge_angle1": tilt(edge1, normal2),
+        "coplanarity_edge_angle2": tilt(edge2, normal1),
+    }
+
+
 def in_frame(axes: tuple[Vector, Vector, Vector], origin: Vector, point: Vector) -> Vector:
     """Coordinates of a point in a frame."""
     d = minus(point, origin)
@@ -80,20 +118,25 @@ def bond_params(a0: Vector, a1: Vector, b1: Vector, b0: Vector, normal_a: Vector
 def contacts(points: DataFrame, group: str, reach: float, xyz: tuple[str, str, str] = ("x", "y", "z"), structure: list[str] = ()) -> DataFrame:
     """Ordered pairs (left, right) of different groups with two points nearer than ``reach``.
 
-    A point meets those in its own and the neighbouring cells of a grid of that size: one
-    side is spread to 27 cells, the join is an equi-join on the cell.  Copies of a group's
-    point collapse first.
+    A point meets those in its own and the neighbouring cells of a grid of that size.  One
+    side is spread to its own cell and the half of the neighbours that come after it, so
+    every pair is met once and mirrored afterwards; the join is an equi-join on the cell.
+    Copies of a group's point collapse first.
     """
     own = points.select(*structure, group, *xyz).where(" and ".join(f"{c} is not null" for c in xyz)).distinct()
     cell = [F.floor(F.col(c) / reach) for c in xyz]
-    near = [F.explode(F.sequence(F.lit(-1), F.lit(1))).alias(f"_d{i}") for i in range(3)]
+    after = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
     a = own.select(*[F.col(s).alias(f"_s_{s}") for s in structure], F.col(group).alias("left"), *[F.col(c).alias(f"_a{i}") for i, c in enumerate(xyz)], *[c.alias(f"_c{i}") for i, c in enumerate(cell)])
-    for i, n in enumerate(near):
-        a = a.select("*", n).withColumn(f"_c{i}", F.col(f"_c{i}") + F.col(f"_d{i}")).drop(f"_d{i}")
+    steps = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{n}") for n, x in enumerate(step)]) for step in after]))
+    a = a.select("*", steps.alias("_d"))
+    a = a.withColumns({f"_c{i}": F.col(f"_c{i}") + F.col(f"_d.d{i}") for i in range(3)}).withColumn("_own", (F.col("_d.d0") == 0) & (F.col("_d.d1") == 0) & (F.col("_d.d2") == 0))
     b = own.select(*structure, F.col(group).alias("right"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(xyz)], *[c.alias(f"_e{i}") for i, c in enumerate(cell)])
     on = [F.col(f"_c{i}") == F.col(f"_e{i}") for i in range(3)] + [F.col(s) == F.col(f"_s_{s}") for s in structure]
     d2 = reduce(lambda p, q: p + q, [(F.col(f"_a{i}") - F.col(f"_b{i}")) * (F.col(f"_a{i}") - F.col(f"_b{i}")) for i in range(3)])
-    return a.join(b, reduce(lambda p, q: p & q, on) & (d2 < reach * reach) & (F.col("left") != F.col("right"))).select(*structure, "left", "right").distinct()
+    once = ~F.col("_own") | (F.col("left") < F.col("right"))  # two points of one cell would meet twice
+    met = a.join(b, reduce(lambda p, q: p & q, on) & (d2 < reach * reach) & (F.col("left") != F.col("right")) & once).select(*structure, "left", "right").distinct()
+    both = F.explode(F.array(F.struct(F.col("left").alias("l"), F.col("right").alias("r")), F.struct(F.col("right").alias("l"), F.col("left").alias("r"))))
+    return met.select(*structure, both.alias("p")).select(*structure, F.col("p.l").alias("left"), F.col("p.r").alias("right")).distinct()
 
 
 def transform_points(points: DataFrame, operators: DataFrame, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
@@ -114,21 +157,37 @@ def plane_fit(df: DataFrame, key: str, xyz: tuple[str, str, str] = ("x", "y", "z
     """(key, nx, ny, nz, deviation, accepted): best plane through each residue's atoms.
 
     The normal's sign is fixed by its largest component; a plane whose squared deviation
-    exceeds half an atom each is not accepted.  A group is one residue: a few dozen atoms.
+    exceeds half an atom each is not accepted.  Atoms without all coordinates do not count;
+    fewer than ``least`` give nulls.  Residues are reduced to their scatter by aggregation and
+    solved a batch at a time.
     """
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[list(xyz)].to_numpy(float)
-        a = a[~np.isnan(a).any(axis=1)]
-        if len(a) < least:
-            return pd.DataFrame({key: [pdf[key].iloc[0]], "nx": [None], "ny": [None], "nz": [None], "deviation": [None], "accepted": [False]})
-        centred = a - a.mean(axis=0)
-        _, _, vt = np.linalg.svd(centred, full_matrices=False)
-        n = vt[-1] * np.sign(vt[-1][np.argmax(np.abs(vt[-1]))])
-        dev = float(((centred @ n) ** 2).sum())
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "nx": [n[0]], "ny": [n[1]], "nz": [n[2]], "deviation": [dev], "accepted": [dev <= 0.5 * len(a)]})
-
-    return df.groupBy(key).applyInPandas(fit, f"{key} {df.schema[key].dataType.simpleString()}, nx double, ny double, nz double, deviation double, accepted boolean")
+    spread = {f"_{x}": F.col(x).cast("double") for x in xyz}
+    full = reduce(lambda p, q: p & q, [F.col(f"_{x}").isNotNull() & ~F.isnan(f"_{x}") for x in xyz])
+    sums = [F.sum(F.when(full, F.lit(1.0))).alias("n")] + [F.sum(F.when(full, F.col(f"_{x}"))).alias(f"s{i}") for i, x in enumerate(xyz)]
+    centred = df.select(F.col(key), *[c.alias(n) for n, c in spread.items()])
+    middle = centred.groupBy(key).agg(*sums).select(F.col(key).alias("_key"), *[F.col(f"s{i}").alias(f"_m{i}") / F.col("n") for i in range(3)], F.col("n").alias("_n"))
+    middle = middle.toDF("_key", "_m0", "_m1", "_m2", "_n")
+    moved = centred.join(middle, F.col(key).eqNullSafe(F.col("_key"))).select(key, "_n", *[(F.col(f"_{x}") - F.col(f"_m{i}")).alias(f"d{i}") for i, x in enumerate(xyz)])
+    spreads = [F.sum(F.when(F.col("d0").isNotNull() & F.col("d1").isNotNull() & F.col("d2").isNotNull(), F.col(f"d{i}") * F.col(f"d{j}"))).alias(f"c{i}{j}") for i in range(3) for j in range(i, 3)]
+    scatter = moved.groupBy(key).agg(F.first("_n").alias("n"), *spreads)
+
+    def fit(batches):
+        for pdf in batches:  # one row a residue; its plane is the least eigenvector of the scatter
+            c = np.zeros((len(pdf), 3, 3))
+            for i in range(3):
+                for j in range(i, 3):
+                    c[:, i, j] = c[:, j, i] = pdf[f"c{i}{j}"].astype(float).fillna(0.0)
+            n = pdf["n"].astype(float).fillna(0.0).to_numpy()
+            values, vectors = np.linalg.eigh(c) if len(pdf) else (np.zeros((0, 3)), np.zeros((0, 3, 3)))
+            normal = vectors[:, :, 0]
+            top = np.argmax(np.abs(normal), axis=1)
+            normal = normal * np.sign(normal[np.arange(len(pdf)), top])[:, None]
+            deviation, enough = np.maximum(values[:, 0], 0.0), n >= least
+            blank = lambda v: pd.Series(v, dtype=object).where(pd.Series(enough), None)  # noqa: B023, E731
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "nx": blank(normal[:, 0]), "ny": blank(normal[:, 1]), "nz": blank(normal[:, 2]), "deviation": blank(deviation), "accepted": enough & (deviation <= 0.5 * n)})
+
+    return scatter.mapInPandas(fit, f"{key} {df.schema[key].dataType.simpleString()}, nx double, ny double, nz double, deviation double, accepted boolean")
 
 
 def kabsch(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

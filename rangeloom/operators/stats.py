@@ -50,9 +50,9 @@ def bin_of(x: Column, low: float, width: float, bins: int) -> Column:
 
 
 def histogram(df: DataFrame, x: str, low: float, high: float, bins: int, by: Column | None = None) -> DataFrame:
-    """(label, bin, count) with empty bins as 0; without ``by`` the label is 0.  Nulls are left out."""
+    """(label, bin, count) with empty bins as 0; without ``by`` the label is 0.  Nulls and NaN are left out."""
     label = F.lit(0) if by is None else by
-    counted = df.where(F.col(x).isNotNull()).groupBy(label.cast("long").alias("label"), bin_of(F.col(x), low, (high - low) / bins, bins).alias("bin")).count()
+    counted = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(label.cast("long").alias("label"), bin_of(F.col(x), low, (high - low) / bins, bins).alias("bin")).count()
     grid = counted.select("label").distinct().select(F.col("label").alias("_l"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")).alias("_b"))
     return grid.join(counted, (F.col("label") == F.col("_l")) & (F.col("bin") == F.col("_b")), "left").select(F.col("_l").alias("label"), F.col("_b").alias("bin"), F.coalesce("count", F.lit(0)).alias("count"))
 
@@ -64,27 +64,66 @@ def histogram_2d(df: DataFrame, x: str, y: str, domain: tuple[float, float, floa
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cell(x, x0, x1).alias("x_bin"), cell(y, y0, y1).alias("y_bin")).count()
 
 
+#: Stripes of a class's range of values; each is ordered by a task of its own.
+STRIPES = 256
+
+
+def striped(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """``df`` with ``_stripe``: the place of x in its class's range, 0 for the greatest values, a
+    stripe of its own for null and NaN.
+
+    Equal values are in one stripe and a greater value is in no later one, so stripes can be
+    ordered apart and their totals added up.  The ranges are one small row a class.
+    """
+    number = F.col(x).cast("double")
+    fine = F.when(~F.isnan(number), number)
+    ends = df.groupBy(*keys).agg(F.min(fine).alias("_low"), F.max(fine).alias("_high")).select(*[F.col(k).alias(f"_e_{k}") for k in keys], "_low", "_high")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys])
+    place = F.floor(F.coalesce(F.try_divide(F.col("_high") - number, F.col("_high") - F.col("_low")), F.lit(0.0)) * (STRIPES - 1))
+    stripe = F.when(number.isNull(), STRIPES).when(F.isnan(number), -1).otherwise(place).cast("int")
+    return df.join(ends, on, "left").select(*df.columns, stripe.alias("_stripe"))
+
+
+def before_stripe(df: DataFrame, keys: list[str], total: Column) -> DataFrame:
+    """(keys as _o_<key>, _s, _before, _all): the sum of ``total`` over earlier stripes and over the class."""
+    sums = df.groupBy(*keys, "_stripe").agg(total.alias("_sum"))
+    w = Window.partitionBy(*keys)  # STRIPES + 2 rows a class at most
+    before = F.coalesce(F.sum("_sum").over(w.orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sums.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_stripe").alias("_s"), before.alias("_before"), F.sum("_sum").over(w).alias("_all"))
+
+
 def rank_quantile(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
     """Descending average rank mapped to 0..1 within the class.
 
     Equal values share a rank, so they are counted before anything is ordered: only
-    distinct values are ranked, and the result is joined back to the rows.
+    distinct values are ranked, stripe by stripe of the class's range, and the result is
+    joined back to the rows.
     """
-    w = Window.partitionBy(*keys)
-    counted = df.groupBy(*keys, x).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(w.orderBy(F.col(x).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    value = (before + (F.col("_n") - 1) / 2.0) / F.greatest(F.sum("_n").over(w) - 1, F.lit(1))
+    counted = striped(df.groupBy(*keys, x).agg(F.count("*").alias("_n")), keys, x)
+    offsets = before_stripe(counted, keys, F.sum("_n"))
+    at = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]) & (F.col("_stripe") == F.col("_s"))
+    inside = Window.partitionBy(*keys, "_stripe").orderBy(F.col(x).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, at)
+    value = (F.col("_before") + F.col("_in") + (F.col("_n") - 1) / 2.0) / F.greatest(F.col("_all") - 1, F.lit(1))
     ranked = counted.select(*[F.col(c).alias(f"_r_{c}") for c in [*keys, x]], value.alias(out))
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*keys, x]])
     return df.join(ranked, on, "left").select(*df.columns, out)
 
 
-def masked_quantile(df: DataFrame, keys: list[str], order: list[Column], accepted: str, out: str) -> DataFrame:
-    """Share of the accepted rows that stand at or before the row in ``order``."""
-    w = Window.partitionBy(*keys)
-    run = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def masked_quantile(df: DataFrame, keys: list[str], x: str, ties: list[Column], accepted: str, out: str) -> DataFrame:
+    """Share of the class's accepted rows that stand at or before the row, by descending x (nulls
+    last) and ``ties``.
+
+    Stripes of the class's range are ordered by tasks of their own; a row's sum is that of
+    the stripes before it and of its place in its own.
+    """
     flag = F.coalesce(F.col(accepted).cast("int"), F.lit(0))
-    return df.withColumn(out, F.try_divide(F.sum(flag).over(run).cast("double"), F.sum(flag).over(w).cast("double")))
+    rows = striped(df, keys, x)
+    offsets = before_stripe(rows, keys, F.sum(flag))
+    at = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]) & (F.col("_stripe") == F.col("_s"))
+    inside = Window.partitionBy(*keys, "_stripe").orderBy(F.col(x).desc_nulls_last(), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_in", F.sum(flag).over(inside)).join(offsets, at)
+    return rows.select(*df.columns, F.try_divide((F.col("_before") + F.col("_in")).cast("double"), F.col("_all").cast("double")).alias(out))
 
 
 def combine_quantiles(cols: list[str]) -> dict[str, Column]:
@@ -139,11 +178,12 @@ def lowest_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
     return kept.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def kde_likelihood(df: DataFrame, keys: list[str], row: list[str], x: str, angular: bool = False, sample: int = KDE_SAMPLE, rows_per_task: int = 1_000_000) -> DataFrame:
+def kde_likelihood(df: DataFrame, keys: list[str], row: list[str], x: str, angular: bool = False, sample: int | None = KDE_SAMPLE, rows_per_task: int = 1_000_000) -> DataFrame:
     """(keys, row, ``log_likelihood``, ``mode``): density of each value within its class.
 
     The density is that of a deterministic sample (lowest hashes of ``row``) of at most
-    ``sample`` values, a size bound that goes with the method; every row is evaluated.
+    ``sample`` values, a size bound that goes with the method (None: all values of the class,
+    which must then fit into a task); every row is evaluated.
     Rows are dealt to salted parts of their class, each with a copy of the sample, so no
     class has to fit into one task.  Fewer than five values or no spread: null.  Angles are
     mirrored by a turn on both sides.  ``mode`` is the sample value of highest density.
@@ -151,7 +191,7 @@ def kde_likelihood(df: DataFrame, keys: list[str], row: list[str], x: str, angul
     named = df.where(F.col(x).isNotNull()).select(*keys, *row, F.col(x).cast("double").alias("_x"))
     salts = max(1, -(-named.count() // rows_per_task))
     order = F.xxhash64(*[F.col(r).cast("string") for r in row])
-    chosen = lowest_rows(named.withColumn("_salt", F.pmod(order, F.lit(salts)).cast("int")), keys, [order, *map(F.col, row)], sample).drop("_salt")
+    chosen = named if sample is None else lowest_rows(named.withColumn("_salt", F.pmod(order, F.lit(salts)).cast("int")), keys, [order, *map(F.col, row)], sample).drop("_salt")
     samples = chosen.select(*keys, F.col("_x").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     dealt = named.withColumn("_salt", F.pmod(order, F.lit(salts)).cast("int"))
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*keys, *row]) + ", log_likelihood double, mode double"
@@ -234,12 +274,12 @@ def curve_summary(sample: np.ndarray, points: int = 200, share: float = 0.05) ->
     return mode, float(low), float(high)
 
 
-def kde_curve(df: DataFrame, keys: list[str], row: list[str], x: str, sample: int = KDE_SAMPLE, rows_per_task: int = 1_000_000) -> DataFrame:
+def kde_curve(df: DataFrame, keys: list[str], row: list[str], x: str, sample: int | None = KDE_SAMPLE, rows_per_task: int = 1_000_000) -> DataFrame:
     """(keys, ``mode``, ``low``, ``high``) of each class's KDE over the sample of ``kde_likelihood``."""
     named = df.where(F.col(x).isNotNull()).select(*keys, *row, F.col(x).cast("double").alias("_x"))
     order = F.xxhash64(*[F.col(r).cast("string") for r in row])
     salts = max(1, -(-named.count() // rows_per_task))
-    chosen = lowest_rows(named.withColumn("_salt", F.pmod(order, F.lit(salts)).cast("int")), keys, [order, *map(F.col, row)], sample)
+    chosen = named if sample is None else lowest_rows(named.withColumn("_salt", F.pmod(order, F.lit(salts)).cast("int")), keys, [order, *map(F.col, row)], sample)
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys) + ", mode double, low double, high double"
 
     def summarise(part: pd.DataFrame) -> pd.DataFrame:

@@ -118,7 +118,7 @@ FORMS = {"hb_0": NumRange(10, 30), "hb_1": NumRange(3, 3), "hb_2": NumRange(None
 
 
 @query("""select pid, k1, k2, k3, hb_0, hb_1, hb_2, angle, hb_0 between 10 and 30 as hb_0_in_range, hb_1 = 3 as hb_1_in_range,
-  case when hb_2 is not null then hb_2 <= 5 end as hb_2_in_range, angle not between -120 and 120 as angle_in_range from obs""")
+  coalesce(hb_2 <= 5, false) as hb_2_in_range, angle not between -120 and 120 as angle_in_range from obs""")
 def range_condition_forms(spark, d):
     return filters.limits_verdict(obs(spark, d).select(*ROW, *FORMS), FORMS)
 
@@ -152,7 +152,7 @@ def identity_normalise(spark, d):
 
 @query("select * from obs where pid = (select max(o_orderkey) % 7 + 2 from orders) and k3 is not distinct from 1 order by k1, k2 limit 1")
 def point_lookup(spark, d):
-    key = t(spark, d, "orders").agg(F.max("o_orderkey") % 7 + 2).first()[0]
+    key = t(spark, d, "orders").agg(F.max("o_orderkey") % 7 + 2).scalar()
     o = obs(spark, d).where((F.col("pid") == key) & F.col("k3").eqNullSafe(1))
     return o.orderBy("k1", "k2").limit(1)
 
@@ -361,7 +361,7 @@ def rank_quantile(spark, d):
 
 @query("""select pid, k1, k2, k3, round(sum(quality::int) over (partition by family, variant order by hb_0 desc, pid, k1, k2, k3 rows unbounded preceding)::double / sum(quality::int) over (partition by family, variant), 4) as q from obs""")
 def masked_quantile(spark, d):
-    return rounded(stats.masked_quantile(obs(spark, d), CLASS, [F.col("hb_0").desc(), *map(F.col, ROW)], "quality", "q").select(*ROW, "q"))
+    return rounded(stats.masked_quantile(obs(spark, d), CLASS, "hb_0", [*map(F.col, ROW)], "quality", "q").select(*ROW, "q"))
 
 
 @query("""with q as (select pid, k1, k2, k3, hb_0 / 50 as a, hb_1 / 10 as b, hb_2 / 10 as c from obs)
@@ -448,16 +448,78 @@ def geometry_angles(spark, d):
     return df
 
 
-@query()
+def _frame_sql(o: str, y: str, p: str, n: str) -> str:
+    """CTE text for the axes x, y, z of a frame, as lists."""
+    minus = lambda a, b: f"[{a}[1] - {b}[1], {a}[2] - {b}[2], {a}[3] - {b}[3]]"
+    unit = lambda v: f"[i / sqrt(list_dot_product({v}, {v})) for i in {v}]"
+    return f"""{n}1 as (select *, {minus(o, y)} as {n}u, {minus(p, o)} as {n}p from {{source}}), {n}2 as (select *, {unit(n + 'u')} as {n}y from {n}1),
+    {n}3 as (select *, [{n}p[i] - list_dot_product({n}p, {n}y) * {n}y[i] for i in [1, 2, 3]] as {n}v from {n}2), {n}4 as (select *, {unit(n + 'v')} as {n}x from {n}3),
+    {n}5 as (select *, [{n}x[2] * {n}y[3] - {n}x[3] * {n}y[2], {n}x[3] * {n}y[1] - {n}x[1] * {n}y[3], {n}x[1] * {n}y[2] - {n}x[2] * {n}y[1]] as {n}z from {n}4)"""
+
+
+FRAMES = f"with v as (select vec_id, {', '.join(f'{_v(n)} as p{n}' for n in range(6))} from embeddings), " + _frame_sql("p0", "p1", "p2", "f").format(source="v") + ", " + _frame_sql("p3", "p4", "p5", "g").format(source="f5")
+DOT = "list_dot_product({}, {})".format
+
+
+@query(f"""{FRAMES} select vec_id, round(degrees(atan2({DOT('fy', 'gx')}, {DOT('fx', 'gx')})), 3) as yaw, round(degrees(asin(greatest(-1, least(1, -{DOT('fz', 'gx')})))), 3) as pitch, round(degrees(atan2({DOT('fz', 'gy')}, {DOT('fz', 'gz')})), 3) as roll,
+  round({DOT('fx', '[p3[i] - p0[i] for i in [1, 2, 3]]')}, 4) as x, round({DOT('fy', '[p3[i] - p0[i] for i in [1, 2, 3]]')}, 4) as y, round({DOT('fz', '[p3[i] - p0[i] for i in [1, 2, 3]]')}, 4) as z from g5""")
 def base_frames(spark, d):
     """Frames, coordinates of one frame's origin in another, and angles between them."""
+    v, f1, f2 = _frames(spark, d)
+    yaw, pitch, roll = spatial.yaw_pitch_roll([[spatial.dot(a, b) for b in f2] for a in f1])
+    x, y, z = spatial.in_frame(f1, v[0], v[3])
+    named = {"yaw": yaw, "pitch": pitch, "roll": roll, "x": x, "y": y, "z": z}
+    return t(spark, d, "embeddings").select("vec_id", *[F.round(c, 4 if n in "xyz" else 3).alias(n) for n, c in named.items()])
+
+
+def _frames(spark, d):
     e = F.col("embedding")
     v = [[e[3 * n + i].cast("double") for i in range(3)] for n in range(6)]
-    f1, f2 = spatial.frame(v[0], v[1], v[2]), spatial.frame(v[3], v[4], v[5])
-    rel = [[spatial.dot(a, b) for b in f2] for a in f1]
-    yaw, pitch, roll = spatial.yaw_pitch_roll(rel)
-    x, y, z = spatial.in_frame(f1, v[0], v[3])
-    return t(spark, d, "embeddings").select("vec_id", *[c.alias(n) for n, c in {"yaw": yaw, "pitch": pitch, "roll": roll, "x": x, "y": y, "z": z}.items()])
+    return v, spatial.frame(v[0], v[1], v[2]), spatial.frame(v[3], v[4], v[5])
+
+
+@query(f"""{FRAMES} select vec_id, round(degrees(atan2(-{DOT('fz', 'gx')}, -{DOT('fz', 'gy')})), 3) as euler1, round(degrees(acos(greatest(-1, least(1, {DOT('fz', 'gz')})))), 3) as euler2, round(degrees(atan2({DOT('fx', 'gz')}, -{DOT('fy', 'gz')})), 3) as euler3 from g5""")
+def euler_angles(spark, d):
+    """Euler angles of the second frame, turned to face the first, in the first."""
+    _, f1, f2 = _frames(spark, d)
+    return t(spark, d, "embeddings").select("vec_id", *[F.round(c, 3).alias(f"euler{i}") for i, c in enumerate(spatial.euler_zxz(spatial.relative_rotation(f1, f2)), 1)])
+
+
+SHIFTS = lambda a, b, o, n: f"[{DOT(f'[{a}[i] - {o}[i] for i in [1, 2, 3]]', n)}, {DOT(f'[{b}[i] - {o}[i] for i in [1, 2, 3]]', n)}]"
+TILT = lambda a, b, n: f"round(degrees(asin(greatest(-1, least(1, {DOT(f'[{b}[i] - {a}[i] for i in [1, 2, 3]]', n)} / list_distance({a}, {b}))))), 3)"
+
+
+@query(f"""{FRAMES}, s as (select *, {SHIFTS('p1', 'p2', 'p3', 'gz')} as s1, {SHIFTS('p4', 'p5', 'p0', 'fz')} as s2 from g5)
+  select vec_id, round(degrees(acos(greatest(-1, least(1, {DOT('fz', 'gz')})))), 3) as coplanarity_angle, round(case when abs(s1[1]) <= abs(s1[2]) then s1[1] else s1[2] end, 4) as coplanarity_shift1,
+  round(case when abs(s2[1]) <= abs(s2[2]) then s2[1] else s2[2] end, 4) as coplanarity_shift2, {TILT('p1', 'p2', 'gz')} as coplanarity_edge_angle1, {TILT('p4', 'p5', 'fz')} as coplanarity_edge_angle2 from s""")
+def coplanarity(spark, d):
+    """Angle of two base planes, and shift and tilt of each edge against the other plane."""
+    v, f1, f2 = _frames(spark, d)
+    got = spatial.coplanarity(v[0], f1[2], [v[1], v[2]], v[3], f2[2], [v[4], v[5]])
+    return t(spark, d, "embeddings").select("vec_id", *[F.round(c, 4 if "shift" in n else 3).alias(n) for n, c in got.items()])
+
+
+@query("select pid, k1, k2, k3, family from obs where coalesce(k1 in (2, 4, 6, 8, 10, 20, 30) and k2 in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10), false)")
+def both_sides_in(spark, d):
+    return obs(spark, d).where(filters.both_in(("k1", "k2"), [*range(1, 11), 20, 30]) & F.col("k1").isin([2, 4, 6, 8, 10, 20, 30])).select(*ROW, "family")
+
+
+@query("select o_orderkey, o_orderpriority, o_orderstatus from orders")
+def regex_columns(spark, d):
+    return filters.select_columns(t(spark, d, "orders"), "o_order.*", ".*date")
+
+
+@query("select o_orderkey, o_totalprice, o_orderpriority from orders order by o_orderpriority desc nulls last, (o_totalprice + 0), o_orderkey limit 50 offset 100")
+def ordered_page(spark, d):
+    """The third page of fifty of a free order: paging is the feature."""
+    return filters.page(t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), "o_orderpriority DESC, (o_totalprice + 0), o_orderkey ASC", 50, 2)
+
+
+GREEDY = """with recursive e as (select l_orderkey as pid, l_partkey as k1, l_suppkey as k2, l_linenumber as k3, round(l_discount * 100) / 5 as score, row_number() over (partition by l_orderkey order by round(l_discount * 100) / 5, l_linenumber, l_partkey, l_suppkey) as n from lineitem),
+  r(pid, n, used, taken) as (select pid, cast(0 as bigint), cast([] as bigint[]), false from (select distinct pid from e) union all
+    select r.pid, e.n, case when e.k1 <> e.k2 and not list_contains(r.used, e.k1) and not list_contains(r.used, e.k2) then list_concat(r.used, [cast(e.k1 as bigint), cast(e.k2 as bigint)]) else r.used end,
+    e.k1 <> e.k2 and not list_contains(r.used, e.k1) and not list_contains(r.used, e.k2) from r join e on e.pid = r.pid and e.n = r.n + 1)
+  select e.pid, e.k1, e.k2, e.k3, e.score, r.taken as accepted from e join r on r.pid = e.pid and r.n = e.n"""
 
 
 def atoms(spark, d):
@@ -481,7 +543,7 @@ def candidate_edges(spark, d):
     return obs(spark, d).select("pid", "k1", "k2", "k3", (F.col("hb_1") / 5).alias("score"))
 
 
-@query()
+@query(GREEDY)
 def greedy_edges(spark, d):
     return matching.exclusive_edges(candidate_edges(spark, d), "pid", "k1", "k2", "score", ties=("k3",))
 
@@ -636,7 +698,7 @@ def either_way_lookup(spark, d):
 @query("""select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 200000)""")
 def not_in_keys(spark, d):
     gone = t(spark, d, "orders").where("o_totalprice > 200000").select("o_custkey")
-    return t(spark, d, "customer").join(gone, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return dedupe.not_in(t(spark, d, "customer"), "c_custkey", gone).select("c_custkey", "c_name")
 
 
 @query("""select b.family, b.variant, count(o.pid) as n from (values ('a', 'F'), ('N', 'F'), ('R', 'F'), ('A', 'O')) b(family, variant) left join obs o on lower(o.family) = lower(b.family) and o.variant = b.variant group by 1, 2""")

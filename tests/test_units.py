@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -7,8 +8,9 @@ from pyspark.sql import functions as F
 
 from rangeloom.functions.ranges import NumRange, range_sql
 from rangeloom.functions.scalars import circular_mean, wrap180
-from rangeloom.operators import compare, dedupe, filters, matching, spatial, stats
+from rangeloom.operators import boundaries, compare, dedupe, filters, matching, spatial, stats
 from rangeloom.plans import codec
+from rangeloom.plans.catalogue import QUERIES
 from rangeloom.sources import readers, writers
 
 
@@ -110,7 +112,7 @@ def test_basepair_text_round_trip(spark, tmp_path):
     df = readers.read_basepairs(spark, str(tmp_path / "x.txt"))
     r = df.first()
     assert (r.pdbid, r.model, r.chain1, r.nr1, r.nr2, r.ins2, r.family) == ("1abc", 1, "A", 10, 25, "A", "cWH")
-    assert [x[0].split()[1] for x in writers.basepair_lines(df).collect()] == ["cWH", "cHW"]
+    assert [x[0].split("\t")[1] for x in writers.basepair_lines(df).collect()] == ["cWH", "cWH"]
 
 
 def test_pair_csv_with_and_without_header(spark, tmp_path):
@@ -217,3 +219,105 @@ def test_kde_curve_and_salted_sample(spark):
     assert want.keys() == got.keys() and all(abs(want[i] - got[i]) < 1e-9 for i in want)
     curves = [sorted(map(tuple, stats.kde_curve(df, ["k"], ["i"], "x", sample=50, rows_per_task=n).collect())) for n in (40, 10**6)]
     assert curves[0] == curves[1] and len(curves[0]) == 2
+
+
+def test_optimal_matching_is_polynomial_and_exact():
+    rng = random.Random(7)
+
+    def brute(edges, weights, used=frozenset(), start=0):
+        best = 0.0
+        for i in range(start, len(edges)):
+            a, b = edges[i]
+            if a != b and not {a, b} & used:
+                best = max(best, weights[i] + brute(edges, weights, used | {a, b}, i + 1))
+        return best
+
+    for _ in range(300):
+        n = rng.randint(2, 8)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, 11))]
+        weights = [rng.choice((rng.uniform(0.01, 2), rng.randint(1, 4) / 2)) for _ in edges]
+        kept = [(e, w) for e, w, k in zip(edges, weights, matching.max_weight_matching(edges, weights), strict=True) if k]
+        nodes = [x for e, _ in kept for x in e]
+        assert len(nodes) == len(set(nodes)) and abs(sum(w for _, w in kept) - brute(edges, weights)) < 1e-6
+    edges = [(rng.randrange(250), rng.randrange(250)) for _ in range(500)]
+    start = time.perf_counter()
+    matching.max_weight_matching(edges, [rng.uniform(0.01, 2) for _ in edges])
+    matching.max_weight_matching([(i, i + 1) for i in range(3000)], [1.0] * 3000)
+    assert time.perf_counter() - start < 2
+
+
+def test_optimal_edges_of_the_query_equal_brute_force(spark, data):
+    rows = {}
+    for r in QUERIES["max_weight_matching"](spark, data).collect():
+        rows.setdefault(r.pid, []).append(r)
+    for part in rows.values():
+        edges, weights = [(r.k1, r.k2) for r in part], [max(0.01, 2 - r.score) for r in part]
+        best = 0.0
+        for chosen in range(1 << len(part)):
+            picked = [e for i, e in enumerate(edges) if chosen >> i & 1]
+            nodes = [x for e in picked for x in e]
+            if len(nodes) == len(set(nodes)):
+                best = max(best, sum(w for i, w in enumerate(weights) if chosen >> i & 1))
+        kept = [(e, w) for e, w, r in zip(edges, weights, part, strict=True) if r.accepted]
+        nodes = [x for e, _ in kept for x in e]
+        assert len(nodes) == len(set(nodes)) and abs(sum(w for _, w in kept) - best) < 1e-6
+
+
+def test_a_node_is_one_on_both_sides(spark):
+    df = spark.createDataFrame([("s", "x", "y", 0.1), ("s", "y", "z", 0.2), ("s", "z", "w", 0.3), (None, "x", "y", 0.1), ("t", None, "y", 0.1)], "pid string, a string, b string, score double")
+    for optimal in (False, True):
+        got = {(r.pid, r.a, r.b): r.accepted for r in matching.exclusive_edges(df, "pid", "a", "b", "score", optimal).collect()}
+        assert got == {("s", "x", "y"): True, ("s", "y", "z"): False, ("s", "z", "w"): True, (None, "x", "y"): True, ("t", None, "y"): False}
+    pairs = spark.createDataFrame([("cWH", "A", 1, "B", 2), ("ntsW", "B", 2, "A", 1), ("odd", "A", 1, "B", 2)], "family string, c1 string, n1 int, c2 string, n2 int")
+    a, b = matching.edge_nodes("family", ["c1", "n1"], ["c2", "n2"])
+    assert [tuple(r) for r in pairs.select(a, b).collect()] == [("W|A|1", "H|B|2"), ("S|B|2", "W|A|1"), (None, None)]
+
+
+def test_first_boundary_row_of_a_class_wins(spark):
+    df = spark.createDataFrame([("cWW", "x", 1.0), ("cww", "x", 5.0)], "family string, variant string, p double")
+    limits = spark.createDataFrame([("cWW", "x", 0.0, 2.0), ("CWW", "X", 4.0, 6.0)], "family string, variant string, p_min double, p_max double").coalesce(1)
+    assert [r.p for r in boundaries.apply_boundaries(df, limits, {"p": F.col("p")}).collect()] == [1.0]
+    assert boundaries.apply_boundaries(df, limits, {"p": F.col("p")}, accepted="ok").count() == 2
+
+
+def test_order_text(spark):
+    df = spark.createDataFrame([(1, "b"), (None, "a"), (3, "c"), (3, "a")], "x int, y string")
+    assert [tuple(r) for r in filters.order_by(df, "x DESC, y").collect()] == [(3, "a"), (3, "c"), (1, "b"), (None, "a")]
+    assert [tuple(r) for r in filters.order_by(df, "coalesce(x, 2) asc nulls last, y desc").collect()] == [(1, "b"), (None, "a"), (3, "c"), (3, "a")]
+    assert [r.x for r in filters.order_by(df, "x NULLS FIRST").collect()][0] is None
+    assert filters.split_list("f(a, b) DESC, 'x,y', c") == ["f(a, b) DESC", "'x,y'", "c"]
+    assert len(filters.ORDERS) == 13
+    assert [r.y for r in filters.page(df, "y, x", 2, 1).collect()] == ["b", "c"]
+    assert filters.select_columns(df, ".", "y").columns == ["x"]
+
+
+def test_base_pair_text(spark):
+    df = spark.createDataFrame([("1abc", 1, "cWH", "A", "G", 1, "B", "C", 2, True, False), ("1abc", 1, "ncWWa", "A", "G", 1, "B", "C", 2, True, True), ("1abc", 1, "cWB", "A", "G", 1, "B", "C", 2, False, True)], "pdbid string, model int, family string, chain1 string, res1 string, nr1 int, chain2 string, res2 string, nr2 int, comparison_in_baseline boolean, comparison_in_current boolean")
+    lines = [r.value.split("\t") for r in writers.basepair_lines(df, detailed=False, label=True).collect()]
+    assert lines == [["1ABC|1|A|G|1|||", "cWH", "1ABC|1|B|C|2|||", "MISSING"], ["1ABC|1|B|C|2|||", "cWH", "1ABC|1|A|G|1|||", "MISSING"]]
+    ordered = [r.value.split("\t")[1] for r in writers.basepair_lines(df.limit(1), order_sensitive=("cwh-g-c",)).collect()]
+    assert ordered == ["cWh", "chW"]
+    assert writers.basepair_lines(df, once=True).count() == 3
+
+
+def test_columnar_csv_lines_up(spark, tmp_path):
+    df = spark.createDataFrame([("a", float(i), -float(i)) for i in range(40)], "id string, x double, y double").repartition(5)
+    writers.write_columns(df, str(tmp_path / "c"), ["id"])
+    read = lambda n: {int(r.row): float(r[n]) for r in spark.read.option("header", True).csv(str(tmp_path / "c" / n)).collect()}
+    x, y = read("x"), read("y")
+    assert len(x) == 40 and all(y[k] == -v for k, v in x.items())
+
+
+def test_nan_and_nulls_in_statistics(spark):
+    df = spark.createDataFrame([("a", 1.0, True), ("a", float("nan"), True), ("a", None, False), ("a", 9.0, True), ("a", 9.0, False)], "k string, x double, ok boolean")
+    assert sum(r["count"] for r in stats.histogram(df, "x", 0, 10, 5).collect()) == 3
+    got = sorted((str(r.x), r.q) for r in stats.rank_quantile(df, ["k"], "x", "q").collect())
+    assert got == [("1.0", 0.75), ("9.0", 0.375), ("9.0", 0.375), ("None", 1.0), ("nan", 0.0)]
+    run = {(str(r.x), r.ok): round(r.q, 4) for r in stats.masked_quantile(df, ["k"], "x", [F.col("ok").desc()], "ok", "q").collect()}
+    assert run == {("nan", True): 0.3333, ("9.0", True): 0.6667, ("9.0", False): 0.6667, ("1.0", True): 1.0, ("None", False): 1.0}
+
+
+def test_not_in_follows_sql(spark):
+    keys = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    take = lambda rows: sorted((r.k for r in dedupe.not_in(keys, "k", spark.createDataFrame(rows, "m int")).collect()), key=str)
+    assert take([(2,), (2,)]) == [1] and take([(None,), (2,)]) == [] and take([]) == [1, 2, None]
