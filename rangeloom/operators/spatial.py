@@ -58,6 +58,22 @@ def frame(origin: Vector, y_to: Vector, plane: Vector) -> tuple[Vector, Vector,
     return x, y, cross(x, y)
 
 
+def with_frame(df: DataFrame, name: str, origin: Vector, y_to: Vector, plane: Vector) -> tuple[DataFrame, tuple[Vector, Vector, Vector]]:
+    """``df`` with a frame's axes as columns ``<name>_<axis><i>``, and these columns.
+
+    Each axis is a projection of its own, so that later expressions refer to its numbers and
+    do not repeat how they are made.
+    """
+    put = lambda d, axis, v: d.withColumns({f"{name}_{axis}{i}": c for i, c in enumerate(v)})
+    own = lambda axis: [F.col(f"{name}_{axis}{i}") for i in range(3)]
+    df = put(put(df, "u", minus(origin, y_to)), "p", minus(plane, origin))
+    df = put(df, "y", unit(own("u")))
+    p, y = own("p"), own("y")
+    df = put(df, "v", [a - dot(p, y) * b for a, b in zip(p, y, strict=True)])
+    df = put(df, "x", unit(own("v")))
+    return put(df, "z", cross(own("x"), y)), (own("x"), own("y"), own("z"))
+
+
 def yaw_pitch_roll(rows: list[Vector]) -> tuple[Column, Column, Column]:
     """Degrees of a rotation matrix, z-y-x."""
     r = rows

@@ -465,24 +465,27 @@ DOT = "list_dot_product({}, {})".format
   round({DOT('fx', '[p3[i] - p0[i] for i in [1, 2, 3]]')}, 4) as x, round({DOT('fy', '[p3[i] - p0[i] for i in [1, 2, 3]]')}, 4) as y, round({DOT('fz', '[p3[i] - p0[i] for i in [1, 2, 3]]')}, 4) as z from g5""")
 def base_frames(spark, d):
     """Frames, coordinates of one frame's origin in another, and angles between them."""
-    v, f1, f2 = _frames(spark, d)
+    df, v, f1, f2 = _frames(spark, d)
     yaw, pitch, roll = spatial.yaw_pitch_roll([[spatial.dot(a, b) for b in f2] for a in f1])
     x, y, z = spatial.in_frame(f1, v[0], v[3])
     named = {"yaw": yaw, "pitch": pitch, "roll": roll, "x": x, "y": y, "z": z}
-    return t(spark, d, "embeddings").select("vec_id", *[F.round(c, 4 if n in "xyz" else 3).alias(n) for n, c in named.items()])
+    return df.select("vec_id", *[F.round(c, 4 if n in "xyz" else 3).alias(n) for n, c in named.items()])
 
 
 def _frames(spark, d):
     e = F.col("embedding")
-    v = [[e[3 * n + i].cast("double") for i in range(3)] for n in range(6)]
-    return v, spatial.frame(v[0], v[1], v[2]), spatial.frame(v[3], v[4], v[5])
+    df = t(spark, d, "embeddings").select("vec_id", *[e[3 * n + i].cast("double").alias(f"p{n}_{i}") for n in range(6) for i in range(3)])
+    v = [[F.col(f"p{n}_{i}") for i in range(3)] for n in range(6)]
+    df, f1 = spatial.with_frame(df, "f", v[0], v[1], v[2])
+    df, f2 = spatial.with_frame(df, "g", v[3], v[4], v[5])
+    return df, v, f1, f2
 
 
 @query(f"""{FRAMES} select vec_id, round(degrees(atan2(-{DOT('fz', 'gx')}, -{DOT('fz', 'gy')})), 3) as euler1, round(degrees(acos(greatest(-1, least(1, {DOT('fz', 'gz')})))), 3) as euler2, round(degrees(atan2({DOT('fx', 'gz')}, -{DOT('fy', 'gz')})), 3) as euler3 from g5""")
 def euler_angles(spark, d):
     """Euler angles of the second frame, turned to face the first, in the first."""
-    _, f1, f2 = _frames(spark, d)
-    return t(spark, d, "embeddings").select("vec_id", *[F.round(c, 3).alias(f"euler{i}") for i, c in enumerate(spatial.euler_zxz(spatial.relative_rotation(f1, f2)), 1)])
+    df, _, f1, f2 = _frames(spark, d)
+    return df.select("vec_id", *[F.round(c, 3).alias(f"euler{i}") for i, c in enumerate(spatial.euler_zxz(spatial.relative_rotation(f1, f2)), 1)])
 
 
 SHIFTS = lambda a, b, o, n: f"[{DOT(f'[{a}[i] - {o}[i] for i in [1, 2, 3]]', n)}, {DOT(f'[{b}[i] - {o}[i] for i in [1, 2, 3]]', n)}]"
@@ -494,9 +497,9 @@ TILT = lambda a, b, n: f"round(degrees(asin(greatest(-1, least(1, {DOT(f'[{b}[i]
   round(case when abs(s2[1]) <= abs(s2[2]) then s2[1] else s2[2] end, 4) as coplanarity_shift2, {TILT('p1', 'p2', 'gz')} as coplanarity_edge_angle1, {TILT('p4', 'p5', 'fz')} as coplanarity_edge_angle2 from s""")
 def coplanarity(spark, d):
     """Angle of two base planes, and shift and tilt of each edge against the other plane."""
-    v, f1, f2 = _frames(spark, d)
+    df, v, f1, f2 = _frames(spark, d)
     got = spatial.coplanarity(v[0], f1[2], [v[1], v[2]], v[3], f2[2], [v[4], v[5]])
-    return t(spark, d, "embeddings").select("vec_id", *[F.round(c, 4 if "shift" in n else 3).alias(n) for n, c in got.items()])
+    return df.select("vec_id", *[F.round(c, 4 if "shift" in n else 3).alias(n) for n, c in got.items()])
 
 
 @query("select pid, k1, k2, k3, family from obs where coalesce(k1 in (2, 4, 6, 8, 10, 20, 30) and k2 in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10), false)")
