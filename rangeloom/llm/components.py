@@ -14,16 +14,27 @@ from pyspark.sql import functions as F
 from rangeloom.llm.common import cut
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One star step over (u, v) edges; returns distinct (u, v) with v < u."""
+def _least(edges: DataFrame) -> DataFrame:
+    """(centre, m): the least of each u and its neighbours v."""
+    return edges.groupBy(F.col("u").alias("centre")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node goes to the least of the node's neighbours and itself.
+
+    Takes and returns (u, v) edges with v < u; repeats are left to the small star.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both.where("v < u") if small else both
-    least = near.groupBy(F.col("u").alias("centre")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
-    joined = near.join(least, near.u == least.centre)
-    if small:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("centre").alias("u"), F.col("m").alias("v")))
-        return out.where("u > v").distinct()
-    return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    joined = both.join(_least(both), F.col("u") == F.col("centre"))
+    return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours go to the least of them; distinct (u, v) with v < u from edges of that kind."""
+    least = _least(edges)
+    joined = edges.join(least, F.col("u") == F.col("centre"))
+    moved = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select(F.col("centre").alias("u"), F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges)
     mark = None
     while True:
-        edges = cut(_star(_star(edges, small=False), small=True))
+        edges = cut(_small_star(_large_star(edges)))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
