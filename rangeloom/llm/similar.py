@@ -37,6 +37,8 @@ SHORT = 256
 DENSE, WIDE = 8, 8_192
 #: Differing bits of two fingerprints of neighbours.
 RADIUS = 12
+#: Grid points of one kind of fingerprint.
+TOKENS = 2 * 3**SEGMENTS
 #: Candidates that a set takes among those before it in a group, round by round.
 ROUNDS = (1, 4, 2**62)
 #: Groups of more members are searched from their first PIVOTS members until the last round.
@@ -89,20 +91,23 @@ def fold(raw: bytes, bits: int) -> bytes:
     return raw if len(words) * 64 <= bits else np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0).tobytes()
 
 
-def expand(nodes: DataFrame) -> DataFrame:
-    """(token, node, print) for every grid point of every fingerprint of (node, prints)."""
+def marks(nodes: DataFrame) -> DataFrame:
+    """(node, f, print) for every fingerprint of (node, prints)."""
+    each = F.expr("transform(sequence(0, length(prints) div 8 - 1), i -> cast(conv(hex(substring(prints, cast(8 * i + 1 as int), 8)), 16, -10) as bigint))")
+    return nodes.select("node", F.posexplode(each).alias("f", "print")).select("node", F.col("f").cast("long").alias("f"), "print")
+
+
+def expand(prints: DataFrame) -> DataFrame:
+    """(token, print) for every grid point of every (f, print); the token holds f."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2_000):
-                part = batch.slice(i, 2_000)
-                node = part.column(0).to_numpy()
-                prints = np.frombuffer(b"".join(part.column(1).to_pylist()), ">i8").astype(np.int64).reshape(len(node), -1)
-                for f in range(prints.shape[1]):
-                    rows, points = grid_points(prints[:, f], 1)
-                    yield pa.RecordBatch.from_pydict({"token": pa.array(points + 2 * f * 3**SEGMENTS), "node": pa.array(node[rows]), "print": pa.array(prints[rows, f])})
+                f, mark = (batch.column(c).slice(i, 2_000).to_numpy() for c in ("f", "print"))
+                rows, points = grid_points(mark, 1)
+                yield pa.RecordBatch.from_pydict({"token": pa.array(points + f[rows] * TOKENS), "print": pa.array(mark[rows])})
 
-    return nodes.select("node", "prints").mapInArrow(run, "token long, node long, print long")
+    return prints.select("f", "print").mapInArrow(run, "token long, print long")
 
 
 def group_sizes(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,45 +128,64 @@ def neighbours(token: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarra
 
 
 def suspects(rows: DataFrame) -> DataFrame:
-    """(node) that pass bound and popcount with another node at a grid point; at a point of
-    over ``WHOLE`` nodes all count as suspects, which costs time and changes no result."""
+    """(f, print) that pass bound and popcount with another print at a grid point; at a point of
+    over ``WHOLE`` prints all count as suspects, which costs time and changes no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[int] = set()
+        found: list[set[int]] = []
         groups = Groups()
 
+        def note(token: np.ndarray, mark: np.ndarray) -> None:
+            f = token // TOKENS
+            for one in np.unique(f).tolist():
+                while len(found) <= one:
+                    found.append(set())
+                found[one].update(mark[f == one].tolist())
+
         def add(cols: list[np.ndarray]) -> None:
-            token, node, mark = cols
-            starts, sizes = group_sizes(token)
-            keep = np.repeat((sizes > 1) & (sizes <= WHOLE), sizes)
-            hit = np.repeat(sizes > WHOLE, sizes)
-            found.update(node[hit].tolist())
-            token, node, mark = token[keep], node[keep], mark[keep]
+            token, mark = cols
+            sizes = group_sizes(token)[1]
+            each = np.repeat(sizes, sizes)
+            note(token[each > WHOLE], mark[each > WHOLE])
+            keep = (each > 1) & (each <= WHOLE)
+            token, mark = token[keep], mark[keep]
             if not len(token):
                 return
             counts, bits = segment_counts(mark).reshape(len(mark), -1).astype(np.int8), mark.astype(np.uint64)
             hit = np.zeros(len(token), bool)
             for a, b in neighbours(token, group_sizes(token)[1]):
-                open_ = ~(hit[a] & hit[b]) & (node[a] != node[b])
+                open_ = ~(hit[a] & hit[b])
                 a, b = a[open_], b[open_]
                 ok = np.abs(counts[a] - counts[b]).sum(axis=1, dtype=np.int64) <= RADIUS
                 a, b = a[ok], b[ok]
                 ok = np.bitwise_count(bits[a] ^ bits[b]) <= RADIUS
                 hit[a[ok]] = True
                 hit[b[ok]] = True
-            found.update(node[hit].tolist())
+            note(token[hit], mark[hit])
 
         for batch in batches:
             for cols in groups.add([c.to_numpy() for c in batch.columns]):
                 add(cols)
         for cols in groups.rest():
             add(cols)
-        out = np.array(list(found), np.int64)
-        for i in range(0, len(out), 100_000):
-            yield pa.RecordBatch.from_pydict({"node": pa.array(out[i : i + 100_000])})
+        for f, some in enumerate(found):
+            out = np.array(list(some), np.int64)
+            for i in range(0, len(out), 100_000):
+                part = out[i : i + 100_000]
+                yield pa.RecordBatch.from_pydict({"f": pa.array(np.full(len(part), f)), "print": pa.array(part)})
 
-    placed = rows.repartition("token").sortWithinPartitions("token", "node")
-    return placed.mapInArrow(run, "node long").distinct()
+    placed = rows.repartition("token").sortWithinPartitions("token", "print")
+    return placed.mapInArrow(run, "f long, print long")
+
+
+def near_nodes(nodes: DataFrame) -> DataFrame:
+    """(_n) of the nodes that have a SimHash neighbour: a fingerprint that is a suspect or that another
+    node has too.  The grid join is over distinct fingerprints, so nodes that share one cost it once."""
+    own = marks(nodes)
+    prints = own.groupBy("f", "print").agg(F.count("*").alias("c"))
+    found = suspects(expand(prints)).unionByName(prints.where("c > 1").select("f", "print"))
+    found = found.select(F.col("f").alias("_f"), F.col("print").alias("_print"))
+    return own.join(found, (F.col("f") == F.col("_f")) & (F.col("print") == F.col("_print")), "left_semi").select(F.col("node").alias("_n")).distinct()
 
 
 def frequent(sets: DataFrame) -> np.ndarray:
@@ -316,8 +340,11 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "t").mapInArrow(run, "node long, n long, sketch binary, tokens binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 0.8 or more, as (u, v)."""
+def verify(pairs: DataFrame, sets: DataFrame, bounded: bool) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of 0.8 or more, as (u, v).
+
+    Unless they are ``bounded`` by dense sketches already, pairs far apart in the sketches go first.
+    """
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,6 +365,8 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         side = lambda at, out: sets.select(F.col("node").alias(f"_{at}"), F.col(column).alias(out), *[F.col(m).alias(f"{m}_{out}") for m in more])
         return pairs.join(side("b", "y"), F.col("b") == F.col("_b")).join(side("a", "x"), F.col("a") == F.col("_a"))
 
+    if bounded:
+        return attach(pairs, "tokens").select("a", "b", "x", "y").mapInArrow(exact, "u long, v long")
     small = attach(pairs, "sketch", "n").select("a", "b", "x", "y", (F.col("n_x") + F.col("n_y")).alias("both"))
     left = cut(small.mapInArrow(bound, "a long, b long"))
     return attach(left, "tokens").select("a", "b", "x", "y").mapInArrow(exact, "u long, v long")
@@ -349,7 +378,7 @@ def verified_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
     ``owner`` names one row (k, h) that has the node; ``texts`` are (k, h, t).
     """
-    found = cut(suspects(expand(nodes)).withColumnRenamed("node", "_n"))
+    found = cut(near_nodes(nodes))
     own = nodes.join(found, F.col("node") == F.col("_n"), "left_semi").select("node", F.col("owner.k").alias("_k"), F.col("owner.h").alias("_h"), (F.col("_rows") == 1).alias("single"))
     own = cut(own)
     own = F.broadcast(own) if own.count() <= FEW else own
@@ -361,12 +390,14 @@ def verified_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     links = None
     for most in ROUNDS:
         met = cut(meet(rows, most))
-        new = cut(verify(met.where("a < b"), sets))
+        new = cut(verify(met.where("a < b"), sets, bounded=most != ROUNDS[0]))
         links = new if links is None else links.unionByName(new)
         off = met.where("a = b").select(F.col("a").alias("_off"))
         if off.isEmpty():
             break
-        home = components(links).withColumnRenamed("node", "_node")
+        home = components(links)
+        links = home.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u != v")
+        home = home.withColumnRenamed("node", "_node")
         again = sets.join(off, F.col("node") == F.col("_off"), "left_semi").join(home, F.col("node") == F.col("_node"), "left")
         again = prefix_rows(again.withColumn("label", F.coalesce("component", "node")), last, dense=True)
         # A group whose sets are all in one component is settled.
