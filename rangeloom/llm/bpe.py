@@ -179,7 +179,8 @@ class Vocabulary:
 
         Every round takes, in each unfinished word, the adjacent pair of lowest rank and
         merges all its occurrences from left to right.  Pairs are found by binary search
-        over the sorted keys; finished words leave the flat array.
+        over the sorted keys, once for each pair that a merge brings about; finished words
+        leave the flat array.
         """
         n = len(words)
         lengths = np.fromiter(map(len, words), np.int64, n)
@@ -187,15 +188,20 @@ class Vocabulary:
         done_word: list[np.ndarray] = []
         symbols = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(n), lengths)
-        last = len(self.keys) - 1
+        rank, into = np.full(len(symbols), NO_RANK), np.zeros(len(symbols), np.int64)
+
+        def look(places: np.ndarray) -> None:
+            """Rank and merged id of the pairs that begin at ``places``, in words of their own."""
+            places = places[places < len(symbols) - 1]
+            places = places[word[places] == word[places + 1]]
+            if len(places) and len(self.keys):
+                known, at = self._lookup(symbols[places], symbols[places + 1])
+                rank[places] = np.where(known, self.ranks[at], NO_RANK)
+                into[places] = self.merged[at]
+
+        look(np.arange(len(symbols)))
         while len(symbols):
-            same = word[1:] == word[:-1]
-            key = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), last) if last >= 0 else np.zeros(len(key), np.int64)
-            found = same & (self.keys[at] == key) if last >= 0 else np.zeros(len(key), bool)
-            rank = np.full(len(symbols), NO_RANK)
-            rank[:-1][found] = self.ranks[at[found]]
-            starts = np.flatnonzero(np.concatenate([[True], ~same]))
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             sizes = np.diff(np.append(starts, len(symbols)))
             best = np.minimum.reduceat(rank, starts)
             open_word = best < NO_RANK
@@ -205,16 +211,22 @@ class Vocabulary:
                 done_word.append(word[~keep])
             if not open_word.any():
                 break
-            hit = keep & (rank == np.repeat(best, sizes))
             # In a run of overlapping occurrences (a a a) every second one merges.
-            pos = np.flatnonzero(hit)
+            pos = np.flatnonzero(keep & (rank == np.repeat(best, sizes)))
             run_start = np.concatenate([[True], np.diff(pos) != 1])
             first = np.maximum.accumulate(np.where(run_start, np.arange(len(pos)), 0))
             pos = pos[(np.arange(len(pos)) - first) % 2 == 0]
-            symbols = symbols.copy()
-            symbols[pos] = self.merged[at[pos]]
+            symbols[pos] = into[pos]
             keep[pos + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            # Only pairs at and before a merged symbol are new; the others keep their rank.
+            rank[pos] = NO_RANK
+            place = np.cumsum(keep) - 1
+            new = place[pos]
+            symbols, word, rank, into = symbols[keep], word[keep], rank[keep], into[keep]
+            beside = np.zeros(len(symbols), bool)
+            beside[new] = True
+            beside[np.maximum(new - 1, 0)] = True
+            look(np.flatnonzero(beside))
         if not done_ids:
             return np.zeros(0, np.int64), np.zeros(n, np.int64)
         ids, owner = np.concatenate(done_ids), np.concatenate(done_word)
