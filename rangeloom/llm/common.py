@@ -132,3 +132,9 @@ WORD_BYTES = bytes(
 def ascii_words(data: bytes) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z."""
     return data.translate(WORD_BYTES).split()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

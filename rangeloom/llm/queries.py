@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import bpe, decontaminate, extract, licenses, quality, rollups, sharding, simhash, toxicity, urls
+from rangeloom.llm import bpe, decontaminate, divergence, extract, licenses, packing, quality, rollups, sharding, simhash, toxicity, urls, vector_codes
 from rangeloom.llm.common import shared_folder, table
 
 #: Host rules of the production URL filter.
@@ -151,6 +151,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and where they are packed; null texts count as empty and are their end id alone."""
+    out = packing.pack(table(spark, sf_dir, "documents"), bpe.Vocabulary.load(tokenizer_path()), ids=False)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector's code and error, its label's error, and the digest of the codebooks."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source is from each other source of its language, and its 200 most telling terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_urls": op1_urls,
     "op2_quality": op2_quality,
@@ -162,4 +178,7 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_packing": op11_packing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_divergence": op13_divergence,
 }
