@@ -1,10 +1,11 @@
 """Divergence of sources within a language, by sort-based streaming over term occurrences.
 
-Occurrences, one row per document and term, are range-partitioned and sorted by (lang, term,
-source, document).  Scanning the runs gives every (lang, term, source) its document frequency and
-count; a range may end inside a run, so what the scan yields are partial rows, summed afterwards.  No
-key is too hot: the range partitioner cuts a frequent term between documents.  A second
-scan, over the sorted counts, yields per run of a term the partial sums of all pairs of its sources.
+Occurrences, one row per document and term, are partitioned by term and sorted by (lang, term,
+source, document) behind a hash of the first two, which spares most comparisons of strings.  Scanning
+the runs gives every (lang, term, source) its document frequency and count.  A term that fills
+more than a part of a partition is dealt over several by its documents' hash, so the scan yields partial
+rows, summed afterwards; which terms these are is read off a sample and changes no result.  A
+second scan, over the sorted counts, yields per run of a term the partial sums of all pairs of its sources.
 
 A pair's value is a sum over all kept terms of the language, most of which a source does not have.
 With ``z`` the share of an absent term and ``f`` the value of one term, it is
@@ -35,6 +36,9 @@ TOP_TERMS = 200
 #: Rows of the table of groups up to which it is broadcast.
 GROUPS_BROADCAST = 100_000
 SALTS = 16
+#: Share of the documents that tells frequent terms, and the part of a partition from which a term is one.
+SAMPLE = 0.01
+HOT_PART = 0.25
 PIECE_BYTES = 4_000_000
 #: Pairs of rows that the second scan holds at once, and partial sums a task keeps before it yields them.
 PAIRS_AT_ONCE = 1 << 20
@@ -51,22 +55,49 @@ def terms(data: bytes) -> Counter:
     return Counter(data.translate(TERM_BYTES).split())
 
 
-def occurrences(df: DataFrame, text: str, lang: str, source: str, key: str) -> DataFrame:
-    """lang, term, source, document and n: one row per document and term."""
+def occurrences(df: DataFrame, text: str, lang: str, source: str, key: str, spread: dict[tuple[str, str], int] | None = None) -> DataFrame:
+    """lang, term, source, document, n and salt: one row per document and term.
+
+    The salt is 0, or for a (lang, term) in ``spread`` one of that many, by the document's hash.
+    """
     kind = df.schema[key].dataType.simpleString()
-    schema = f"lang string, term string, source string, document {kind}, n long"
+    schema = f"lang string, term string, source string, document {kind}, n long, salt int"
+    frequent = pa.array(sorted({t for _, t in spread or ()}), pa.string())
+
+    def salts(lang: pa.Array, term: pa.Array, mixed: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(term), np.int32)
+        some = np.flatnonzero(pc.is_in(term, value_set=frequent).to_numpy(zero_copy_only=False)) if len(frequent) else ()
+        if len(some):
+            names = zip(lang.take(pa.array(some)).to_pylist(), term.take(pa.array(some)).to_pylist(), strict=True)
+            out[some] = mixed[some] % np.array([spread.get(x, 1) for x in names])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "t", PIECE_BYTES):
             found = [terms(t) for t in part.column("t").to_pylist()]
-            owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            owner = pa.array(at)
             term = pa.array([t for f in found for t in f], pa.binary()).cast(pa.string())
             n = pa.array([x for f in found for x in f.values()], pa.int64())
-            rows = pa.RecordBatch.from_arrays([part.column("l").take(owner), term, part.column("s").take(owner), part.column("k").take(owner), n], names=["lang", "term", "source", "document", "n"])
-            yield rows.take(pc.sort_indices(rows, sort_keys=[("lang", "ascending"), ("term", "ascending"), ("source", "ascending")]))  # runs compress and merge well
+            lang = part.column("l").take(owner)
+            salt = pa.array(salts(lang, term, part.column("h").to_numpy(zero_copy_only=False)[at]), pa.int32())
+            rows = pa.RecordBatch.from_arrays([lang, term, part.column("s").take(owner), part.column("k").take(owner), n, salt], names=["lang", "term", "source", "document", "n", "salt"])
+            yield rows.take(pc.sort_indices(rows, sort_keys=[("lang", "ascending"), ("term", "ascending"), ("source", "ascending")]))  # runs compress well
 
     whole = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in (lang, source)]
-    return df.select(whole[0].alias("l"), whole[1].alias("s"), F.col(f"`{key}`").alias("k"), blob(text).alias("t")).mapInArrow(run, schema)
+    picked = [whole[0].alias("l"), whole[1].alias("s"), F.col(f"`{key}`").alias("k"), F.xxhash64(f"`{key}`").alias("h"), blob(text).alias("t")]
+    return df.select(*picked).mapInArrow(run, schema)
+
+
+def frequent_terms(rows: DataFrame, partitions: int, part: float = HOT_PART) -> dict[tuple[str, str], int]:
+    """(lang, term) of more than ``part`` of an even partition's rows, with the number of parts to deal it into.
+
+    There are at most ``partitions / part`` of them.
+    """
+    counts = rows.groupBy("lang", "term").agg(F.count("*").alias("m"))
+    total = counts.agg(F.sum("m")).first()[0] or 0
+    hot = counts.where(F.col("m") * partitions > F.lit(total) * part).collect()
+    return {(r["lang"], r["term"]): -int(-r["m"] * partitions // (total * part)) for r in hot}
 
 
 def run_starts(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -221,8 +252,10 @@ class Audit:
         require(df, text, lang, source, key)
         self.spark = df.sparkSession
         folder = f"{shared_folder(self.spark)}/divergence-{uuid.uuid4().hex}"
-        ordered = [*KEYS, "document"]
-        runs = occurrences(df, text, lang, source, key).repartitionByRange(*ordered).sortWithinPartitions(*ordered)
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = frequent_terms(occurrences(df.sample(SAMPLE, seed=7), text, lang, source, key).select("lang", "term"), partitions)
+        dealt = occurrences(df, text, lang, source, key, spread).repartition("lang", "term", "salt").drop("salt")
+        runs = dealt.withColumn("mixed", F.xxhash64("lang", "term")).sortWithinPartitions("mixed", *KEYS, "document").drop("mixed")
         partial = runs.mapInArrow(scan_counts, "lang string, term string, source string, df long, n long")
         counts = partial.repartition("lang", "term").groupBy(*KEYS).agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
         term = Window.partitionBy("lang", "term")
