@@ -1,7 +1,7 @@
 """Divergence of sources within a language, by sort-based streaming over term occurrences.
 
 Occurrences, one row per document and term, are partitioned by term and sorted by (lang, term,
-source, document) behind a hash of the first two, which spares most comparisons of strings.  Scanning
+source, document); a task's rows leave it in that order, so the sort is a merge of runs.  Scanning
 the runs gives every (lang, term, source) its document frequency and count.  A term that fills
 more than a part of a partition is dealt over several by its documents' hash, so the scan yields partial
 rows, summed afterwards; which terms these are is read off a sample and changes no result.  A
@@ -255,7 +255,7 @@ class Audit:
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         spread = frequent_terms(occurrences(df.sample(SAMPLE, seed=7), text, lang, source, key).select("lang", "term"), partitions)
         dealt = occurrences(df, text, lang, source, key, spread).repartition("lang", "term", "salt").drop("salt")
-        runs = dealt.withColumn("mixed", F.xxhash64("lang", "term")).sortWithinPartitions("mixed", *KEYS, "document").drop("mixed")
+        runs = dealt.sortWithinPartitions(*KEYS, "document")
         partial = runs.mapInArrow(scan_counts, "lang string, term string, source string, df long, n long")
         counts = partial.repartition("lang", "term").groupBy(*KEYS).agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
         term = Window.partitionBy("lang", "term")
