@@ -47,6 +47,71 @@ def drop_mirrored(df: DataFrame, left: list[str], right: list[str], family: str,
     return best_per_key(out, ["_pair"], order).drop("_pair")
 
 
+#: How a family's name is spelt, families read from the less wanted side, and the order of bases.
+FAMILY_NAME = "^(n?[ct])([WHSBwhsb])([WHSBwhsb])([a-z]*)$"
+REVERSED_EDGES = "^(?i)n?(c|t)(SH|HW|SW|BW)a?$"
+SMALL_FIRST = "^n?[ct][whsb][WHSB]a?$"
+BASE_RANK = {"A": 1, "G": 2, "C": 3, "U": 4, "T": 4}
+UNORDERED_FAMILIES = ("tss", "css")
+
+
+def reversed_family(family: Column) -> Column:
+    """A family's name seen from the other side: its two edges exchanged; other names stay."""
+    return F.regexp_replace(family, FAMILY_NAME, "$1$3$2$4")
+
+
+def drop_mirrored_passes(df: DataFrame, left: list[str], right: list[str], shared: list[str], family: str, loose: tuple[str, str], passes: list[Column]) -> DataFrame:
+    """Rows that no pass drops as the less wanted reading of a mirrored pair.
+
+    A row is matched by those that have its family reversed, its ``shared`` columns, and its sides exchanged;
+    ``loose`` names a column of each side (the residue's name) of which only the first side's must equal the other's
+    second.  A pass drops the rows that its condition holds for and that are matched, unless they
+    are themselves the match of a row that it holds for: then neither reading is preferred.  Later
+    passes see what earlier ones left.
+
+    Every row that bears on another has the same two sites, so one shuffle by them serves all
+    passes; a pass is two sets of match keys per group and a look into each.  Nulls are equal.
+    """
+    key = lambda cs: F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cs)]), {"ignoreNullFields": "false"})
+    cols = lambda names: [F.col(n) for n in names]
+    bare = lambda side, name: [c for c in side if c != name]
+    one, two = key(cols(bare(left, loose[0]))), key(cols(bare(right, loose[1])))
+    out = df.withColumns(
+        {
+            "_group": key([*cols(shared), F.least(one, two), F.greatest(one, two)]),
+            "_wants": key([F.col(family), F.col(loose[0]), *cols(bare(left, loose[0])), *cols(bare(right, loose[1]))]),
+            "_is": key([reversed_family(F.col(family)), F.col(loose[1]), *cols(bare(right, loose[1])), *cols(bare(left, loose[0]))]),
+        }
+    )
+    group = Window.partitionBy("_group")
+    for condition in passes:
+        holds = F.coalesce(condition, F.lit(False))
+        out = out.withColumn("_holds", holds).withColumns({"_there": F.collect_set("_is").over(group), "_held": F.collect_set(F.when(F.col("_holds"), F.col("_wants"))).over(group)})
+        goes = F.col("_holds") & F.array_contains("_there", F.col("_wants")) & ~F.array_contains("_held", F.col("_is"))
+        out = out.where(~goes).drop("_holds", "_there", "_held")
+    return out.drop("_group", "_wants", "_is")
+
+
+def mirror_passes(family: str, base1: Column, base2: Column) -> list[Column]:
+    """The three preferences between two readings: the nobler edge first, a small letter second, the lower base first."""
+    rank = lambda b: reduce(lambda c, kv: c.when(b == kv[0], kv[1]), BASE_RANK.items(), F.when(b.isNull(), 0)).otherwise(0)
+    return [
+        F.col(family).rlike(REVERSED_EDGES),
+        F.col(family).rlike(SMALL_FIRST),
+        ~F.lower(F.col(family)).isin(*UNORDERED_FAMILIES) & (rank(base1) > rank(base2)),
+    ]
+
+
+def keep_least_broken(df: DataFrame, left: list[str], right: list[str], shared: list[str], family: str, bases: Column, lengths: list[str], annotations: list[str] = (), ties: list[str] = ()) -> DataFrame:
+    """One row per family, bases and unordered pair of sites: fewest missing bonds first, then the least sum of
+    lengths (a missing one as 4, each missing annotation as 0.03), then the lower first side, then ``ties``."""
+    site = lambda cs: F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cs)]), {"ignoreNullFields": "false"})
+    missing = sum((F.col(c).isNull().cast("int") for c in lengths), F.lit(0))
+    score = sum((F.coalesce(F.col(c).cast("double"), F.lit(4.0)) for c in lengths), F.lit(0.0)) + sum((F.col(c).isNull().cast("double") * 0.03 for c in annotations), F.lit(0.0))
+    out = df.withColumns({"_bases": bases, "_one": F.least(site(left), site(right)), "_two": F.greatest(site(left), site(right))})
+    return best_per_key(out, [family, *shared, "_bases", "_one", "_two"], [missing, score, *[F.col(c) for c in [*left, *right, *ties]]]).drop("_bases", "_one", "_two")
+
+
 def membership(df: DataFrame, lists: dict[str, DataFrame], sides: list[list[str]]) -> DataFrame:
     """A flag per list: whether either side is on it.  Lists are made distinct first."""
     for name, members in lists.items():

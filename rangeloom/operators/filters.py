@@ -162,9 +162,9 @@ def select_columns(df: DataFrame, keep: str | None = None, drop: str | None = No
     return df.select(*[F.col(f"`{c}`") for c in names])
 
 
-def both_in(sides: tuple[str, str], values: list) -> Column:
-    """Whether both residues are among the values; null counts as no."""
-    return F.coalesce(F.col(sides[0]).isin(values) & F.col(sides[1]).isin(values), F.lit(False))
+def both_in(sides: tuple[str, str], values: list, second: list | None = None) -> Column:
+    """Whether both residues are among the values, the other one among ``second`` where that is given; null counts as no."""
+    return F.coalesce(F.col(sides[0]).isin(values) & F.col(sides[1]).isin(values if second is None else second), F.lit(False))
 
 
 def identity_and_stats(df: DataFrame, ids: list[str], comparison: tuple[str, ...] = ("comparison_in_baseline", "comparison_in_current"), stats: str = r".*(_quantile|_likelihood|_deviations?|quantile_.*)") -> DataFrame:

@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from rangeloom.functions.lineage import cut
 
 Vector = list[Column]
 
@@ -155,6 +158,104 @@ def contacts(points: DataFrame, group: str, reach: float, xyz: tuple[str, str, s
     return met.select(*structure, both.alias("p")).select(*structure, F.col("p.l").alias("left"), F.col("p.r").alias("right")).distinct()
 
 
+#: Points of a cell from which it is split into cells of half the reach.
+CROWDED = 64
+#: Crowded cells up to which their list is broadcast.
+CROWDED_BROADCAST = 200_000
+
+
+def near(left: DataFrame, right: DataFrame, reach: float, on: list[str], xyz: tuple[str, str, str] = ("x", "y", "z"), crowded: int = CROWDED, closed: bool = False) -> DataFrame:
+    """Pairs of a left and a right point, equal in ``on``, nearer than ``reach`` (or as near, if ``closed``).
+
+    All columns of both sides but ``on`` and ``xyz`` of the right must have names of their own; the
+    right's coordinates come as ``_bx`` and so on, the left's under their names.  A right point is in
+    one cell of a grid of size ``reach``, a left point is sent to its own and the 26 cells around.
+    A cell of more than ``crowded`` right points is split into eight, and left points are
+    sent only to those of the eight that they can reach, so a dense place is many join keys
+    and few vain comparisons.  Points without all coordinates meet nothing.
+    """
+    present = " and ".join(f"{c} is not null" for c in xyz)
+    axes = range(3)
+    half = reach / 2
+    b = right.where(present).withColumnsRenamed({c: f"_b{c}" for c in xyz})
+    b = b.withColumns({f"_f{i}": F.floor(F.col(f"_b{xyz[i]}") / half) for i in axes}).withColumns({f"_e{i}": F.floor(F.col(f"_f{i}") / 2) for i in axes})
+    dense = b.groupBy(*on, "_e0", "_e1", "_e2").agg(F.count("*").alias("_m")).where(F.col("_m") > crowded).drop("_m")
+    dense = dense.withColumnsRenamed({c: f"_d{c}" for c in [*on, "_e0", "_e1", "_e2"]}).withColumn("_dense", F.lit(True))
+    if dense.limit(CROWDED_BROADCAST + 1).count() <= CROWDED_BROADCAST:
+        dense = F.broadcast(dense)
+    same = lambda cell: reduce(lambda p, q: p & q, [F.col(f"{s}") == F.col(f"_d{s}") for s in on] + [F.col(f"{cell}{i}") == F.col(f"_d_e{i}") for i in axes])
+    split = F.coalesce(F.col("_dense"), F.lit(False))
+    b = b.join(dense, same("_e"), "left").withColumns({f"_h{i}": F.when(split, F.col(f"_f{i}") - 2 * F.col(f"_e{i}")).otherwise(-1) for i in axes})
+    b = b.drop("_dense", *[f"_d{c}" for c in [*on, "_e0", "_e1", "_e2"]], *[f"_f{i}" for i in axes]).withColumnsRenamed({s: f"_b_{s}" for s in on})
+    a = left.where(present).withColumns({f"_g{i}": F.floor(F.col(xyz[i]) / half) for i in axes})
+    steps = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{i}") for i, x in enumerate((i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
+    a = a.withColumn("_d", steps).withColumns({f"_c{i}": F.floor(F.col(f"_g{i}") / 2) + F.col(f"_d.d{i}") for i in axes}).drop("_d")
+    a = a.join(dense, same("_c"), "left").drop(*[f"_d{c}" for c in [*on, "_e0", "_e1", "_e2"]])
+    whole = F.array(F.struct(*[F.lit(-1).cast("long").alias(f"_k{i}") for i in axes]))
+    eight = F.array(*[F.struct(*[F.lit(x).cast("long").alias(f"_k{i}") for i, x in enumerate(((n >> 2) & 1, (n >> 1) & 1, n & 1))]) for n in range(8)])
+    reached = lambda s: reduce(lambda p, q: p & q, [F.abs(2 * F.col(f"_c{i}") + s[f"_k{i}"] - F.col(f"_g{i}")) <= 2 for i in axes])
+    a = a.withColumn("_s", F.explode(F.when(split, F.filter(eight, reached)).otherwise(whole))).select("*", "_s.*").drop("_s", "_dense", *[f"_g{i}" for i in axes])
+    meet = [F.col(s) == F.col(f"_b_{s}") for s in on] + [F.col(f"_c{i}") == F.col(f"_e{i}") for i in axes] + [F.col(f"_k{i}") == F.col(f"_h{i}") for i in axes]
+    d2 = reduce(lambda p, q: p + q, [(F.col(c) - F.col(f"_b{c}")) * (F.col(c) - F.col(f"_b{c}")) for c in xyz])
+    test = d2 <= reach * reach if closed else d2 < reach * reach
+    return a.join(b, reduce(lambda p, q: p & q, meet) & test).drop(*[f"{p}{i}" for p in ("_c", "_e", "_k", "_h") for i in axes], *[f"_b_{s}" for s in on])
+
+
+def boxes(points: DataFrame, structure: str, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
+    """(structure, _m0.._m2, _w0.._w2): the middle and half width of each structure's bounding box."""
+    ends = points.groupBy(structure).agg(*[f(c).alias(f"_{n}{i}") for i, c in enumerate(xyz) for n, f in (("l", F.min), ("u", F.max))])
+    return ends.select(structure, *[((F.col(f"_l{i}") + F.col(f"_u{i}")) / 2).alias(f"_m{i}") for i in range(3)], *[((F.col(f"_u{i}") - F.col(f"_l{i}")) / 2).alias(f"_w{i}") for i in range(3)])
+
+
+def symmetry_contacts(points: DataFrame, operators: DataFrame, structure: str, residue: str, reach: float, xyz: tuple[str, str, str] = ("x", "y", "z"), crowded: int = CROWDED) -> DataFrame:
+    """(structure, left, right, op): residues of a structure near to residues of its symmetry copies.
+
+    ``left`` is of the untransformed structure, ``right`` of the copy under ``op``; a residue may meet
+    its own copy.  ``operators`` has (structure, op, r11..r33, t1..t3); the identity 1_555 is left out.
+    An operator whose copy's box cannot touch the structure's own is dropped before a point is
+    moved, and a moved point outside the structure's box before it meets a cell.
+    """
+    own = points.select(structure, residue, *xyz).where(" and ".join(f"{c} is not null" for c in xyz)).distinct()
+    box = boxes(own, structure, xyz)
+    moves = operators.where("op <> '1_555'").join(box, structure)
+    middle = [sum((F.col(f"r{i + 1}{j + 1}") * F.col(f"_m{j}") for j in range(3)), F.col(f"t{i + 1}")) for i in range(3)]
+    extent = [sum((F.abs(F.col(f"r{i + 1}{j + 1}")) * F.col(f"_w{j}") for j in range(3)), F.lit(0.0)) for i in range(3)]
+    slack = 1e-6 + reach  # a box may be off by rounding, never too small
+    touch = reduce(lambda p, q: p & q, [F.abs(middle[i] - F.col(f"_m{i}")) <= extent[i] + F.col(f"_w{i}") + slack for i in range(3)])
+    moves = moves.where(touch).withColumnRenamed(structure, "_of")
+    moved = own.join(moves, F.col(structure) == F.col("_of")).drop("_of")
+    copies = moved.withColumns({f"_t{c}": sum((F.col(f"r{i + 1}{j + 1}") * F.col(x) for j, x in enumerate(xyz)), F.col(f"t{i + 1}")) for i, c in enumerate(xyz)})
+    inside = reduce(lambda p, q: p & q, [F.abs(F.col(f"_t{c}") - F.col(f"_m{i}")) <= F.col(f"_w{i}") + slack for i, c in enumerate(xyz)])
+    copies = copies.where(inside).select(structure, F.col(residue).alias("right"), "op", *[F.col(f"_t{c}").alias(c) for c in xyz])
+    met = near(copies, own.withColumnRenamed(residue, "left"), reach, [structure], xyz, crowded)
+    return met.select(structure, "left", "right", "op").distinct()
+
+
+def bonded_atoms(atoms: DataFrame, residue: list[str], atom: str, seed: Column, seed_reach: float = 1.8, bond: float = 1.6, xyz: tuple[str, str, str] = ("x", "y", "z"), crowded: int = CROWDED) -> DataFrame:
+    """The atoms of each residue that hang together with its seed atom.
+
+    Atoms within ``seed_reach`` of the seed atom (where ``seed`` holds) are reached, then atoms within ``bond`` of a reached
+    one, and so on; the seed itself is no link and is not returned.  A residue without seed, or without an atom near
+    it, has no rows.  Of repeated atoms of a residue the row of least coordinates counts.
+
+    Bonds come from a grid join within the residue.  A round looks only from the atoms that the round
+    before found, and leaves out those reached already.
+    """
+    first = Window.partitionBy(*residue, "_atom").orderBy(*xyz)
+    own = atoms.select(*residue, F.col(atom).alias("_atom"), *xyz, F.coalesce(seed, F.lit(False)).alias("_seed")).where(" and ".join(f"{c} is not null" for c in xyz))
+    own = cut(own.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+    rest = own.where("not _seed").drop("_seed")
+    to = rest.withColumnRenamed("_atom", "_to")
+    reached = cut(near(own.where("_seed").drop("_seed", "_atom"), to, seed_reach, residue, xyz, crowded, closed=True).select(*residue, F.col("_to").alias("_atom")).distinct())
+    bonds = cut(near(rest, to, bond, residue, xyz, crowded, closed=True).where("_atom <> _to").select(*residue, "_atom", "_to").distinct())
+    frontier = reached
+    while not frontier.isEmpty():
+        found = frontier.join(bonds, [*residue, "_atom"]).select(*residue, F.col("_to").alias("_atom")).distinct()
+        frontier = cut(found.join(reached, [*residue, "_atom"], "left_anti"))
+        reached = cut(reached.unionByName(frontier))
+    return atoms.join(reached.withColumnRenamed("_atom", atom), [*residue, atom], "left_semi")
+
+
 def transform_points(points: DataFrame, operators: DataFrame, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """Points under every symmetry operator (columns op, r11..r33, t1..t3), without the identity 1_555.
 

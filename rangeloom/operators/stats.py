@@ -11,22 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rangeloom.functions.scalars import circular_mean, row_mean, row_sum, wrap180
+from rangeloom.operators.selection import order_statistics
 
 
 def parameter_stats(df: DataFrame, keys: list[str], params: list[str]) -> DataFrame:
-    """avg, min, max, median, sample stddev and count of each parameter, one pass."""
+    """avg, min, max, median, sample stddev and count of each parameter; medians by distributed selection."""
     aggs = []
     for p in params:
-        aggs += [F.avg(p).alias(f"{p}_avg"), F.min(p).alias(f"{p}_min"), F.max(p).alias(f"{p}_max"), F.median(p).alias(f"{p}_median"), F.stddev(p).alias(f"{p}_stddev"), F.count(p).alias(f"{p}_count")]
-    return df.groupBy(*keys).agg(*aggs)
+        aggs += [F.avg(p).alias(f"{p}_avg"), F.min(p).alias(f"{p}_min"), F.max(p).alias(f"{p}_max"), F.stddev(p).alias(f"{p}_stddev"), F.count(p).alias(f"{p}_count")]
+    return order_statistics(df, keys, {p: F.col(p) for p in params}, {"median": (0.5, "linear")}, aggs)
 
 
 def population_stats(df: DataFrame, keys: list[str], params: list[str]) -> DataFrame:
     """mean and population stddev; null for no value, stddev null for one."""
     aggs = []
     for p in params:
-        aggs += [F.avg(p).alias(f"{p}_mean"), F.when(F.count(p) > 1, F.stddev_pop(p)).alias(f"{p}_std"), F.percentile(p, 0.9).alias(f"{p}_p90")]
-    return df.groupBy(*keys).agg(*aggs)
+        aggs += [F.avg(p).alias(f"{p}_mean"), F.when(F.count(p) > 1, F.stddev_pop(p)).alias(f"{p}_std")]
+    return order_statistics(df, keys, {p: F.col(p) for p in params}, {"p90": (0.9, "linear")}, aggs)
 
 
 def _with_centre(df: DataFrame, keys: list[str], angle: str) -> DataFrame:
@@ -44,6 +45,14 @@ def circular_stats(df: DataFrame, keys: list[str], angle: str) -> DataFrame:
     )
 
 
+def circular_percentiles(df: DataFrame, keys: list[str], angle: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """(keys, min, max): the angles' percentiles about their circular mean, the low one rounded down to a value
+    that is there, the high one up; 0 and 1 give the extent.  A class without angles has null."""
+    d = wrap180(F.col(angle) - F.col("_centre"))
+    got = order_statistics(_with_centre(df, keys, angle), keys, {"d": d}, {"low": (low, "lower"), "high": (high, "higher")}, [F.first("_centre").alias("_c")])
+    return got.select(*keys, wrap180(F.col("_c") + F.col("d_low")).alias("min"), wrap180(F.col("_c") + F.col("d_high")).alias("max"))
+
+
 def bin_of(x: Column, low: float, width: float, bins: int) -> Column:
     """Bin number, values outside the domain in the outer bins."""
     return F.least(F.greatest(F.floor((x - low) / width), F.lit(0)), F.lit(bins - 1)).cast("long")
@@ -214,7 +223,7 @@ def kde_likelihood(df: DataFrame, keys: list[str], row: list[str], x: str, angul
 
 def percentile_bands(df: DataFrame, keys: list[str], params: list[str], points: dict[str, float]) -> DataFrame:
     """Linear percentiles of each parameter, named ``{parameter}_{point}``."""
-    return df.groupBy(*keys).agg(*[F.percentile(p, q).alias(f"{p}_{n}") for p in params for n, q in points.items()])
+    return order_statistics(df, keys, {p: F.col(p) for p in params}, {n: (q, "linear") for n, q in points.items()})
 
 
 def trim_quantiles(df: DataFrame, cols: list[str], q: float) -> DataFrame:
@@ -223,8 +232,8 @@ def trim_quantiles(df: DataFrame, cols: list[str], q: float) -> DataFrame:
     Each column's limits come from what the columns before it left; nulls go.
     """
     for c in cols:
-        ends = df.agg(F.percentile(c, q).alias("_low"), F.percentile(c, 1 - q).alias("_high"))
-        df = df.join(F.broadcast(ends), F.col(c).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")  # one row of limits
+        ends = order_statistics(df, [], {"_": F.col(c)}, {"low": (q, "linear"), "high": (1 - q, "linear")}).first()
+        df = df.where(F.col(c).between(ends["__low"], ends["__high"]))
     return df
 
 

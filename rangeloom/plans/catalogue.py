@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.functions import scalars
 from rangeloom.functions.ranges import NumRange
-from rangeloom.operators import boundaries, compare, dedupe, filters, matching, spatial, stats
+from rangeloom.operators import boundaries, compare, dedupe, filters, matching, panels, spatial, stats
 from rangeloom.plans import codec
 
 OBS = """select l_orderkey as pid, l_partkey as k1, l_suppkey as k2, l_linenumber as k3, l_returnflag as family, l_linestatus as variant,
@@ -177,6 +177,68 @@ def mirror_dedupe(spark, d):
     return dedupe.drop_mirrored(e, ["a"], ["b"], "family", F.regexp_replace("family", "^(.)(.)(.)$", "$1$3$2"), [F.col("a"), F.col("b"), F.col("family")])
 
 
+FAMILIES = ["cWS", "cSW", "cHW", "cWH", "tsS", "tSs", "cWW", "tSS", "ntBW"]
+#: Pairs between a dozen sites of a structure, so that both readings and repeated ones are common.
+MIRROR_SQL = """with f as (select l_orderkey % 97 as pid, list_extract(['cWS', 'cSW', 'cHW', 'cWH', 'tsS', 'tSs', 'cWW', 'tSS', 'ntBW'], cast((l_quantity + l_linenumber) % 9 as int) + 1) as family,
+    l_partkey % 12 as nr1, l_suppkey % 12 as nr2, nullif(l_linenumber, 7) as sym, nullif(round(l_tax * 100), 4) as hb_0_length, nullif(round(l_discount * 100), 3) as hb_1_length from lineitem),
+  g as (select pid, family, nr1, list_extract(['A', 'G', 'C', 'U'], cast((nr1 + case when nr1 = 5 then coalesce(sym, 0) else 0 end) % 4 as int) + 1) as res1, nr2, list_extract(['A', 'G', 'C', 'U'], cast(nr2 % 4 as int) + 1) as res2, sym, min(hb_0_length) as hb_0_length, min(hb_1_length) as hb_1_length from f group by all),
+  r0 as materialized (select *, row_number() over () as id, regexp_replace(family, '^(n?[ct])([WHSBwhsb])([WHSBwhsb])([a-z]*)$', '\\1\\3\\2\\4') as rev from g)"""
+
+
+def _mirror_sql() -> str:
+    """The three passes as joins, each over what the one before left."""
+    rank = "case {0} when 'A' then 1 when 'G' then 2 when 'C' then 3 when 'U' then 4 else 0 end".format
+    passes = ["regexp_matches(family, '^n?(c|t)(SH|HW|SW|BW)a?$', 'i')", "regexp_matches(family, '^n?[ct][whsb][WHSB]a?$')", f"lower(family) not in ('tss', 'css') and {rank('res1')} > {rank('res2')}"]
+    out = MIRROR_SQL
+    for i, c in enumerate(passes):
+        out += f""",
+  d{i} as materialized (select a.id as l, b.id as r from (select * from r{i} where {c}) a join r{i} b on a.family = b.rev and a.pid = b.pid and a.res1 = b.res2 and a.nr1 = b.nr2 and a.nr2 = b.nr1),
+  r{i + 1} as materialized (select * from r{i} where not (id in (select l from d{i}) and id not in (select r from d{i})))"""
+    return out
+
+
+def readings(spark, d):
+    c, one_of = F.col, lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), i.cast("int") + 1)
+    f = t(spark, d, "lineitem").select(
+        (c("l_orderkey") % 97).alias("pid"), one_of(FAMILIES, (c("l_quantity") + c("l_linenumber")) % 9).alias("family"), (c("l_partkey") % 12).alias("nr1"), (c("l_suppkey") % 12).alias("nr2"), F.nullif(c("l_linenumber"), F.lit(7)).alias("sym"),
+        F.nullif(F.round(c("l_tax") * 100), F.lit(4.0)).alias("hb_0_length"), F.nullif(F.round(c("l_discount") * 100), F.lit(3.0)).alias("hb_1_length"),
+    )
+    odd = F.when(c("nr1") == 5, F.coalesce("sym", F.lit(0))).otherwise(0)  # a site whose residue's name differs
+    f = f.select("pid", "family", "nr1", one_of("AGCU", (c("nr1") + odd) % 4).alias("res1"), "nr2", one_of("AGCU", c("nr2") % 4).alias("res2"), "sym", "hb_0_length", "hb_1_length")
+    return f.groupBy("pid", "family", "nr1", "res1", "nr2", "res2", "sym").agg(F.min("hb_0_length").alias("hb_0_length"), F.min("hb_1_length").alias("hb_1_length"))
+
+
+def _passes(spark, d, n: int):
+    passes = dedupe.mirror_passes("family", F.col("res1"), F.col("res2"))
+    return dedupe.drop_mirrored_passes(readings(spark, d), ["res1", "nr1"], ["res2", "nr2"], ["pid"], "family", ("res1", "res2"), passes[:n])
+
+
+READING = "pid, family, nr1, res1, nr2, res2, sym, hb_0_length, hb_1_length"
+
+
+@query(_mirror_sql() + f" select {READING} from r1")
+def mirror_pass_edges(spark, d):
+    return _passes(spark, d, 1)
+
+
+@query(_mirror_sql() + f" select {READING} from r2")
+def mirror_pass_letters(spark, d):
+    return _passes(spark, d, 2)
+
+
+@query(_mirror_sql() + f" select {READING} from r3")
+def mirror_pass_bases(spark, d):
+    return _passes(spark, d, 3)
+
+
+@query(_mirror_sql() + f""" select {READING} from (select *, row_number() over (partition by family, pid, res1, res2, least(nr1, nr2), greatest(nr1, nr2)
+  order by cast(hb_0_length is null as int) + cast(hb_1_length is null as int), coalesce(hb_0_length, 4) + coalesce(hb_1_length, 4) + case when sym is null then 0.03 else 0 end, nr1, nr2, hb_0_length nulls first, hb_1_length nulls first, sym nulls first) as n from r3) where n = 1""")
+def mirror_two_phases(spark, d):
+    """The three passes, then of each unordered pair of sites the reading with most and shortest bonds."""
+    bases = F.concat_ws("-", "res1", "res2")
+    return dedupe.keep_least_broken(_passes(spark, d, 3), ["nr1"], ["nr2"], ["pid"], "family", bases, ["hb_0_length", "hb_1_length"], ["sym"], ["hb_0_length", "hb_1_length", "sym"])
+
+
 @query("""select family, variant, count(*) as n, count(*) filter (p) as in_part, count(*) filter (s) as in_supplier,
   count(*) filter (not p and s) as only_supplier from (select o.*, k1 in (select p_partkey from part where p_size < 10) as p, k2 in (select s_suppkey from supplier where s_acctbal > 0) as s from obs o) group by 1, 2""")
 def membership_label(spark, d):
@@ -312,6 +374,17 @@ def circular_minmax(spark, d):
     return rounded(stats.circular_stats(o, CLASS, "angle").select(*CLASS, "min", "max"))
 
 
+WRAP = "(({0}) + 180) - 360 * floor((({0}) + 180) / 360) - 180".format
+
+
+@query(f", {CENTRE}, x as (select o.family, o.variant, centre, {DELTA} as dev, row_number() over (partition by o.family, o.variant order by {DELTA}) - 1 as r, cast(count(*) over (partition by o.family, o.variant) - 1 as double) as last from obs o join c using (family, variant) where hb_1 > 2 or angle > 0),"
+  f" e as (select family, variant, first(centre) as centre, min(dev) filter (r >= floor(cast(0.05 as double) * last)) as low, min(dev) filter (r >= ceil(cast(0.95 as double) * last)) as high from x group by 1, 2) select family, variant, round({WRAP('centre + low')}, 4) as min, round({WRAP('centre + high')}, 4) as max from e")
+def circular_percentiles(spark, d):
+    """The 5th and 95th percentile of each class's angles about their circular mean."""
+    o = obs(spark, d).where("hb_1 > 2 or angle > 0")
+    return rounded(stats.circular_percentiles(o, CLASS, "angle", 0.05, 0.95))
+
+
 BOUNDARY_SQL = """select family, variant, param, boundary, value from (select family, variant, param, unnest(['min', 'max']) as boundary, unnest([lo, hi]) as value from (
   select family, variant, 'hb_0' as param, floor(min(hb_0) * 10) / 10 as lo, ceil(max(hb_0) * 10) / 10 as hi from o group by 1, 2 union all
   select family, variant, 'hb_2', case when avg(case when hb_2 is null then 1.0 else 0 end) <= 0.1 then floor(min(hb_2) * 10) / 10 end, case when avg(case when hb_2 is null then 1.0 else 0 end) <= 0.1 then ceil(max(hb_2) * 10) / 10 end from o group by 1, 2 union all
@@ -354,6 +427,35 @@ def histogram_categorical(spark, d):
 # --- windows -----------------------------------------------------------------------------
 
 
+PANELS = [
+    [panels.Variable("hb_0", "hb_0", 0, 50, 10, "quality")],
+    [panels.Variable("hb_1", "hb_1", 0, 11, 11, "angle between -90 and 90")],
+    [panels.Variable("hb_2", "hb_2", 0, 9, 9)],
+    [panels.Variable("angle", "angle", -180, 180, 12, "hb_1 > 2"), panels.Variable("hb_2", "hb_2", 0, 9, 9, "hb_2 < 8")],
+    [panels.Variable("hb_0", "hb_0", 5, 40, 7, "family = 'A'"), panels.Variable("hb_1", "hb_1", 2, 8, 6, "variant = 'F'")],
+    [panels.Variable("hb_0", "hb_0", 0, 50, 40, "hb_2 > 3")],
+    [panels.Variable("sum", "hb_0 + hb_1 + hb_2", 0, 70, 14, "not quality")],
+    [panels.Variable("angle", "angle", -180, 180, 40)],
+    [panels.Variable("hb_1", "hb_1", 0, 11, 11, "family = 'N' and quality"), panels.Variable("hb_2", "hb_2", 0, 9, 3, "angle > 0"), panels.Variable("hb_0", "hb_0", 0, 50, 5)],
+    [panels.Variable("k3", "k3", 0, 8, 8, "family = 'no such'")],
+]
+
+
+def _panel_sql(i: int, panel: list) -> str:
+    where = " and ".join([*(f"coalesce({v.filter}, false)" for v in panel if v.filter), *(f"({v.column}) is not null" for v in panel)])
+    one = lambda v: (
+        f"select {i} as panel, '{v.name}' as variable, cast(least(greatest(floor((cast({v.column} as double) - ({v.low})) / cast({(v.high - v.low) / v.bins} as double)), 0), {v.bins - 1}) as bigint) as bin, cast({v.column} as double) as x from obs where {where}"
+    )
+    return " union all ".join(map(one, panel))
+
+
+@query(", x as (" + " union all ".join(_panel_sql(i, p) for i, p in enumerate(PANELS)) + """), s as (select panel, variable, count(*) as total, avg(x) as mean, stddev_pop(x) as std from x group by 1, 2)
+  select panel, variable, bin, count(*) as count, first(total) as total, round(first(mean), 4) as mean, round(first(std), 4) as std from x join s using (panel, variable) group by 1, 2, 3""")
+def panel_bitmaps(spark, d):
+    """Ten panels' histograms and moments from one scan."""
+    return rounded(panels.panel_histograms(obs(spark, d), PANELS))
+
+
 @query("""select pid, k1, k2, k3, round((rank() over (partition by family, variant order by hb_0 desc) + (count(*) over (partition by family, variant, hb_0) - 1) / 2.0 - 1) / greatest(count(*) over (partition by family, variant) - 1, 1), 4) as q from obs""")
 def rank_quantile(spark, d):
     return rounded(stats.rank_quantile(obs(spark, d), CLASS, "hb_0", "q").select(*ROW, "q"))
@@ -424,6 +526,12 @@ def spatial_grid_join(spark, d):
     return spatial.contacts(points(spark, d), "vec_id", 0.05)
 
 
+@query(f"with p as ({POINTS}) select a.vec_id as left, b.vec_id as right from p a join p b on a.vec_id <> b.vec_id and (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) < 0.1 * 0.1".replace(" as left", ' as "left"').replace(" as right", ' as "right"'))
+def spatial_grid_join_wide(spark, d):
+    """The grid join at a reach of 0.1."""
+    return spatial.contacts(points(spark, d), "vec_id", 0.1)
+
+
 OPS = [("1_555", 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), ("2_655", -1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 1.0, 0.5, 0.0, 0.25), ("3_555", 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.5, 0.0)]
 
 
@@ -433,6 +541,40 @@ def symmetry_transform(spark, d):
     return rounded(spatial.transform_points(points(spark, d), ops))
 
 
+def structured(spark, d):
+    """Points as atoms of residues (three to one) of four structures."""
+    e = F.col("embedding")
+    return t(spark, d, "embeddings").select((F.col("vec_id") % 4).alias("structure"), (F.col("vec_id") / 12).cast("long").alias("residue"), "vec_id", *[e[i].cast("double").alias(n) for i, n in enumerate("xyz")])
+
+
+STRUCTURED = f"select vec_id % 4 as structure, vec_id // 12 as residue, vec_id, x, y, z from ({POINTS})"
+MOVED = " union all ".join(f"select structure, residue, '{o}' as op, {', '.join(f'({r[3 * i]}) * x + ({r[3 * i + 1]}) * y + ({r[3 * i + 2]}) * z + ({r[9 + i]}) as {n}' for i, n in enumerate('xyz'))} from p" for o, *r in OPS[1:])
+
+
+@query(f"""with p as ({STRUCTURED}), m as ({MOVED})
+  select distinct p.structure, p.residue as "left", m.residue as "right", m.op from p join m on p.structure = m.structure and (p.x-m.x)*(p.x-m.x) + (p.y-m.y)*(p.y-m.y) + (p.z-m.z)*(p.z-m.z) < 0.1 * 0.1""")
+def symmetry_contacts(spark, d):
+    """Residues near to residues of symmetry copies of their structure."""
+    ops = spark.createDataFrame(OPS, "op string, " + ", ".join(f"r{i}{j} double" for i in (1, 2, 3) for j in (1, 2, 3)) + ", t1 double, t2 double, t3 double")
+    each = ops.withColumn("structure", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")))
+    return spatial.symmetry_contacts(structured(spark, d), each, "structure", "residue", 0.1)
+
+
+@query(f"""with recursive p as materialized (select vec_id, label, x, y, z from ({POINTS}) join (select vec_id, label from embeddings) using (vec_id)),
+  s as (select label, min(vec_id) as seed from p group by 1),
+  e as materialized (select a.label, a.vec_id as a, b.vec_id as b from p a join p b on a.label = b.label and a.vec_id <> b.vec_id join s on s.label = a.label
+    where a.vec_id <> seed and b.vec_id <> seed and (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.12 * 0.12),
+  r as (select b.label, b.vec_id from s join p a on a.vec_id = seed and a.label = s.label join p b on b.label = s.label and b.vec_id <> seed and (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.2 * 0.2
+    union select e.label, e.b from r join e on e.label = r.label and e.a = r.vec_id)
+  select label, vec_id from r""")
+def bonded_component(spark, d):
+    """The points of each label that hang together with its first."""
+    e = F.col("embedding")
+    atoms = t(spark, d, "embeddings").select("vec_id", "label", *[e[i].cast("double").alias(n) for i, n in enumerate("xyz")])
+    seeds = atoms.groupBy("label").agg(F.min("vec_id").alias("seed"))
+    return spatial.bonded_atoms(atoms.join(seeds, "label"), ["label"], "vec_id", F.col("vec_id") == F.col("seed"), 0.2, 0.12).select("label", "vec_id")
+
+
 def _v(n: int) -> str:
     return "[" + ", ".join(f"cast(embedding[{3 * n + i + 1}] as double)" for i in range(3)) + "]"
 
@@ -504,7 +646,7 @@ def coplanarity(spark, d):
 
 @query("select pid, k1, k2, k3, family from obs where coalesce(k1 in (2, 4, 6, 8, 10, 20, 30) and k2 in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10), false)")
 def both_sides_in(spark, d):
-    return obs(spark, d).where(filters.both_in(("k1", "k2"), [*range(1, 11), 20, 30]) & F.col("k1").isin([2, 4, 6, 8, 10, 20, 30])).select(*ROW, "family")
+    return obs(spark, d).where(filters.both_in(("k1", "k2"), [2, 4, 6, 8, 10, 20, 30], [*range(1, 11)])).select(*ROW, "family")
 
 
 @query("select o_orderkey, o_orderpriority, o_orderstatus from orders")

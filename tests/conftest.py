@@ -7,6 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], *filter(None, [os.environ.get("PYTHONPATH")])])
 
 DATA = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
@@ -31,3 +32,8 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def data():
     return DATA
+
+
+@pytest.fixture
+def larger():
+    return LARGER
