@@ -72,7 +72,9 @@ class Mark:
     """An element that its name or its being a form tells as boilerplate, unless it holds the page's main heading or part."""
 
     flag: str
+    outer: Mark | None = None
     around: bool = False
+    told: frozenset[str] = frozenset()  # its flag and those of the marks around it, in the end
 
 
 @dataclass
@@ -84,7 +86,7 @@ class Block:
     tag: str
     link_chars: int
     siblings: list[int] = field(default_factory=list)
-    marks: tuple[Mark, ...] = ()
+    mark: Mark | None = None  # the innermost around the block
 
 
 def name_kind(value: str) -> str:
@@ -149,6 +151,7 @@ def parse(page: str) -> list[Block]:
     stack = [Node("", frozenset())]
     open_at: dict[str, list[int]] = {}
     marks: list[Mark] = []
+    every: list[Mark] = []
     parts: list[str] = []
     link_chars = links = 0
 
@@ -159,7 +162,7 @@ def parse(page: str) -> list[Block]:
         if text:
             at = stack[-1].block
             top = stack[at]
-            block = Block(text, top.flags, top.name, min(link_chars, len(text)), marks=tuple(marks[-8:]))
+            block = Block(text, top.flags, top.name, min(link_chars, len(text)), mark=marks[-1] if marks else None)
             for owner in stack[max(0, at - 1) : at + 1]:  # its own element and the one around it
                 if owner.last >= 0:
                     block.siblings.append(owner.last)
@@ -230,9 +233,10 @@ def parse(page: str) -> list[Block]:
             flags |= {"dropped"}
         if name == "body" and "dropped" in flags:
             flags -= {"dropped", "hidden"}
-        mark = Mark(told) if told else None
+        mark = Mark(told, marks[-1] if marks else None) if told else None
         if mark:
             marks.append(mark)
+            every.append(mark)
         stack.append(Node(name, flags, len(stack) if name in BLOCK_TAGS else stack[-1].block, mark=mark))
         open_at.setdefault(name, []).append(len(stack) - 1)
         links += name == "a"
@@ -240,8 +244,10 @@ def parse(page: str) -> list[Block]:
         tail = page[end:]
         parts.append(tail[: tail.rfind("<")] if re.search(r"<[a-zA-Z/!?][^>]*\Z", tail) else tail)
     flush()
+    for mark in every:  # an outer mark comes before those inside it
+        mark.told = (mark.outer.told if mark.outer else frozenset()) | ({mark.flag} if not mark.around else frozenset())
     for block in blocks:
-        block.flags |= {mark.flag for mark in block.marks if not mark.around}
+        block.flags |= block.mark.told if block.mark else frozenset()
     return blocks
 
 

@@ -282,3 +282,15 @@ def test_audit_of_nothing(spark):
     assert divergence.audit(spark.createDataFrame([], schema)).collect() == []
     pair = divergence.audit(spark.createDataFrame([(1, None, None, None), (2, "a", None, "s")], schema)).collect()
     assert sorted((r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in pair) == [("", "pair", "s", 0, 1), ("s", "pair", "", 0, 1)]
+
+
+# --- extraction --------------------------------------------------------------------------
+
+
+def test_boilerplate_stays_boilerplate_however_deep():
+    from rangeloom.llm import extract
+
+    for depth in (1, 7, 8, 9, 300):
+        page = '<body><div class="sidebar">' + "<form>" * depth + "<p>Sign up for the letter.</p>" + "</form>" * depth + "</div><p>An article of some words stands here.</p></body>"
+        blocks = extract.parse(page)
+        assert "bad" in blocks[0].flags and "form" in blocks[0].flags and not blocks[1].flags & {"bad", "form"}
