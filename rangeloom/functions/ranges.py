@@ -23,6 +23,11 @@ class NumRange:
     def inverted(self) -> bool:
         return self.least is not None and self.most is not None and self.least > self.most
 
+    @property
+    def symmetric(self) -> bool:
+        """Whether the ends are the same distance from 0, but for a thousandth; such a range is one of magnitudes."""
+        return self.least is not None and self.most is not None and self.least < self.most and self.most > 0 and abs(self.least + self.most) <= 0.001 * self.most
+
     def widened(self, by: float) -> NumRange:
         """Both ends moved outwards; a range that wraps around grows as well."""
         move = lambda x, d: None if x is None else x + d
@@ -41,6 +46,8 @@ def range_condition(c: Column, r: NumRange) -> Column | None:
         return c <= r.most
     if r.most is None:
         return c >= r.least
+    if r.symmetric:
+        return c.between(-r.most, r.most)
     return c.between(r.least, r.most)
 
 
@@ -56,7 +63,7 @@ def range_sql(name: str, r: NumRange) -> list[str]:
         return [f"{name} NOT BETWEEN {number(r.most)} AND {number(r.least)}"]
     if r.least is not None and r.least == r.most:
         return [f"{name} = {number(r.least)}"]
-    if r.least is not None and r.most is not None and r.most > 0 and abs(r.least + r.most) <= 0.001 * r.most:
+    if r.symmetric:
         return [f"abs({name}) <= {number(r.most)}"]
     if r.least is None:
         return [f"{name} <= {number(r.most)}"]

@@ -3,26 +3,46 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
+from math import isfinite
 from urllib.parse import parse_qsl, quote, unquote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rangeloom.functions.ranges import NumRange, number
+from rangeloom.functions.ranges import NumRange
 from rangeloom.operators.filters import PairFilter
 
-RANGE = re.compile(r"^(-?\d+\.?\d*)?\.\.(-?\d+\.?\d*)?$")
 #: Short names of bond parameters in URLs.
 BOND_KEYS = {"L": "length", "DA": "donor_angle", "AA": "acceptor_angle", "OOPA1": "OOPA1", "OOPA2": "OOPA2"}
 
 
-def parse_range(text: str) -> NumRange | None:
-    m = RANGE.match(text)
-    return NumRange(*(float(g) if g else None for g in m.groups())) if m else None
+#: Data sources that old links name by the letters f (filtered) and n (near pairs too).
+LEGACY_SOURCES = {"": "fr3d", "f": "fr3d-f", "n": "fr3d-n", "fn": "fr3d-nf"}
+
+
+def range_end(text: str) -> float | None:
+    """One end of a range; nothing is an open end, and what is no finite number is an error."""
+    if not text:
+        return None
+    value = float(text)
+    if not isfinite(value):
+        raise ValueError(f"not an end of a range: {text}")
+    return value
+
+
+def parse_range(text: str) -> NumRange:
+    """``least..most``, either end open; no text at all is an open range, any other text an error."""
+    least, dots, most = text.strip().partition("..")
+    if least and not dots:
+        raise ValueError(f"not a range: {text}")
+    return NumRange(range_end(least), range_end(most))
 
 
 def range_text(r: NumRange) -> str:
-    return f"{'' if r.least is None else number(r.least)}..{'' if r.most is None else number(r.most)}"
+    """The range in plain decimals, to the last digit."""
+    end = lambda x: "" if x is None else f"{Decimal(repr(float(x))).normalize():f}"
+    return f"{end(r.least)}..{end(r.most)}"
 
 
 def to_url(family: str, f: PairFilter, source: str = "") -> str:
@@ -44,25 +64,32 @@ def to_url(family: str, f: PairFilter, source: str = "") -> str:
 
 
 def parse_url(url: str) -> tuple[str, PairFilter, str]:
-    """(class, filter, data source) of a URL; what is no filter part is ignored."""
+    """(class, filter, data source) of a URL; what is no filter part is ignored.
+
+    A limit that is no range is an error, so no filter is lost.  Of old links ``f=`` gives the source and
+    the kind; a source that ends in D or R is one of DNA or RNA.
+    """
     path, _, query = url.partition("/")
     ranges: dict[str, NumRange] = {}
     least, kind, accepted, source, sql = NumRange(), None, None, "", []
     for key, value in parse_qsl(query, keep_blank_values=True):
         m = re.match(r"^hb(\d+)_(\w+)$", key)
-        r = parse_range(value)
-        if m and m[2] in BOND_KEYS and r:
-            ranges[f"hb_{m[1]}_{BOND_KEYS[m[2]]}"] = r
-        elif key.startswith("range_") and r:
-            ranges[key[6:]] = r
-        elif key == "min_bond" and r:
-            least = r
+        if m and m[2] in BOND_KEYS:
+            ranges[f"hb_{m[1]}_{BOND_KEYS[m[2]]}"] = parse_range(value)
+        elif key.startswith("range_"):
+            ranges[key[6:]] = parse_range(value)
+        elif key == "min_bond":
+            least = parse_range(value)
         elif key == "kind":
             kind = value
         elif key == "accepted":
             accepted = value
         elif key == "ds":
-            source = value
+            source = value[:-1] if value[-1:] in ("D", "R") else value
+            kind = {"D": "DNA", "R": "RNA"}.get(value[-1:], kind)
+        elif key == "f":
+            source = source or LEGACY_SOURCES["".join(x for x in "fn" if x in value)]
+            kind = "DNA" if "D" in value else "RNA" if "R" in value else kind
         elif key == "sql":
             sql.append(value)
     return unquote(path), PairFilter(ranges, min_bond_length=least, accepted=accepted, kind=kind, sql=tuple(sql)), source

@@ -7,6 +7,7 @@ import gzip
 import re
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +38,19 @@ def read_pairs(spark: SparkSession, *files: str, casts: dict[str, str] | None =
 
 
 def read_pair_csv(spark: SparkSession, *files: str) -> DataFrame:
-    """Legacy CSV pair files, with or without header; missing columns become null, identities are normalised."""
+    """Legacy CSV pair files, with or without header; missing columns become null, identities are normalised.
+
+    A file with a header is read by its names, in whatever order; without one the legacy order holds.
+    Columns that are not legacy ones are text.
+    """
     out = None
     for f in files:
         head = spark.read.text(f).head()
-        header = head is not None and head[0].startswith("pdbid,")
-        df = spark.read.schema(LEGACY_COLUMNS).option("header", header).option("enforceSchema", True).csv(f)
+        named = [n.strip() for n in head[0].split(",")] if head is not None else []
+        header = "pdbid" in named
+        kinds = dict(c.split(" ") for c in LEGACY_COLUMNS.split(", "))
+        schema = ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in named) if header else LEGACY_COLUMNS
+        df = spark.read.schema(schema).option("header", header).option("enforceSchema", True).csv(f)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return normalise_identity(out)
 
@@ -71,12 +79,14 @@ def diagonal_concat(*dfs: DataFrame) -> DataFrame:
 
 
 def read_boundaries(spark: SparkSession, *sources: str) -> DataFrame:
-    """Boundary CSV: the first source that can be read; of a repeated class the first row."""
+    """Boundary CSV: the first source that is there; of a repeated class the first row."""
     last: Exception | None = None
     for s in sources:
         try:
             df = spark.read.option("header", True).option("inferSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(s)
-        except Exception as e:  # the next source is tried
+        except AnalysisException as e:  # the next source is tried if this one is not there, and only then
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             last = e
             continue
         df = df.withColumn("class_key", F.lower(F.concat_ws("-", F.trim("family"), F.trim("bases")))).withColumn("_n", F.monotonically_increasing_id())
@@ -137,7 +147,7 @@ def read_basepairs(spark: SparkSession, *files: str) -> DataFrame:
 
 def read_residue_list(spark: SparkSession, *files: str) -> DataFrame:
     """``pdbid_chain_base[.alt]_nr[.ins]`` lines; a line of another form is an error when read."""
-    pattern = r"^(\w{4})_([^_\s]+)_([A-Za-z0-9]+)(?:\.(\w))?_(-?\d+)(?:\.(\w))?$"
+    pattern = r"^(\w{4})_([^_\s]+)_([A-Za-z0-9]+)(?:\.([A-Za-z0-9]+))?_(-?\d+)(?:\.([A-Za-z0-9]+))?$"
     t = F.trim("value")
     lines = spark.read.text(list(files)).where(t != "").select(F.when(t.rlike(pattern), t).otherwise(F.raise_error(F.concat(F.lit("not a residue: "), t))).alias("t"))
     part = lambda i: F.nullif(F.regexp_extract("t", pattern, i), F.lit(""))
@@ -204,7 +214,6 @@ def partition_of(df: DataFrame, column: str, parts: int, first: int, last: int |
 PARENT_BASE = {"2MG": "G", "7MG": "G", "OMG": "G", "GTP": "G", "5MC": "C", "OMC": "C", "5MU": "T", "CTG": "T", "A2M": "A"}
 #: Fixed value: what the annotator writes for a number that it does not have.
 NO_NUMBER = "999999"
-ANNOTATED_ID = re.compile(r"(\w+)\.(\w+?)/?(-?\d+)(?:\^(\w+))?")
 #: Names of the twelve step parameters, in file order.
 STEP_PARAMETERS = ("shear", "stretch", "stagger", "buckle", "propeller", "opening", "shift", "slide", "rise", "tilt", "roll", "twist")
 ANNOTATED_SCHEMA = "folder string, " + ", ".join(f"seq{i} int, chain{i} string, nr{i} int, res{i} string, alt{i} string" for i in (1, 2)) + ", pairing_type string, " + ", ".join(f"{p} double" for p in STEP_PARAMETERS)
@@ -212,9 +221,25 @@ ANNOTATED_SCHEMA = "folder string, " + ", ".join(f"seq{i} int, chain{i} string,
 
 def parent_base(name: str) -> str:
     """One-letter base of a residue name where it has one, else the name."""
-    name = name.upper()
-    short = name[1:] if name.startswith("D") and len(name) > 1 else name
-    return PARENT_BASE.get(short, short)
+    plain = name.upper().removeprefix("D") or name.upper()  # a deoxy residue counts as its base
+    return PARENT_BASE.get(plain, plain)
+
+
+def annotated_id(text: str) -> tuple[str, str, int, str]:
+    """(chain, residue name, number, insertion code) of ``chain.name[/]number[^code]``.
+
+    The number is what follows the slash, or without one all digits at the end, with their sign.
+    """
+    chain, _, rest = text.partition(".")
+    rest, _, code = rest.partition("^")
+    name, slash, digits = rest.partition("/")
+    if not slash:
+        at = max(len(rest.rstrip("0123456789")), 1)
+        at -= rest[at - 1 : at] == "-" and at > 1
+        name, digits = rest[:at], rest[at:]
+    if not (chain and name and digits.removeprefix("-").isdecimal()):
+        raise ValueError(f"not a residue id: {text}")
+    return chain, name, int(digits), code
 
 
 def annotated_pairs(pairs: str, steps: str) -> list[tuple]:
@@ -225,19 +250,19 @@ def annotated_pairs(pairs: str, steps: str) -> list[tuple]:
     """
     lines = [[x for x in text.splitlines() if x.strip() and not x.startswith("#")] for text in (pairs, steps)]
     rows = []
-    for line, more in zip(*lines, strict=False):
+    if len(lines[0]) != len(lines[1]):
+        raise ValueError(f"the files are out of step: {len(lines[0])} pairs and {len(lines[1])} lines of parameters")
+    for line, more in zip(*lines, strict=True):
         seq1, seq2, _, _, _, id1, id2, written, kind = line.split()
         again, *numbers = more.split()
         if again != written:
             raise ValueError(f"the files are out of step: {written} and {again}")
-        sides = [ANNOTATED_ID.fullmatch(x) for x in (id1, id2)]
-        if None in sides:
-            raise ValueError(f"not residue ids: {id1} {id2}")
-        names = [parent_base(m[2]) for m in sides]
+        sides = [annotated_id(x) for x in (id1, id2)]
+        names = [parent_base(name) for _, name, _, _ in sides]
         if all(len(n) == 1 for n in names) and names != [b.upper() for b in re.split("[-+]", written)]:
             continue
         values = [None if v == NO_NUMBER else float(v) for v in numbers]
-        residues = [x for seq, m in zip((seq1, seq2), sides, strict=True) for x in (int(seq), m[1], int(m[3]), m[2], m[4] or "")]
+        residues = [x for seq, (chain, name, nr, code) in zip((seq1, seq2), sides, strict=True) for x in (int(seq), chain, nr, name, code)]
         rows.append((*residues, kind, *(values + [None] * len(STEP_PARAMETERS))[: len(STEP_PARAMETERS)]))
     return rows
 

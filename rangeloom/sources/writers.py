@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rangeloom.functions.lineage import discard
+
 ID_COLUMNS = ("pdbid", "model", "family", "accepted", "chain1", "res1", "nr1", "ins1", "alt1", "chain2", "res2", "nr2", "ins2", "alt2")
 
 
@@ -51,7 +53,8 @@ def basepair_lines(df: DataFrame, detailed: bool = True, order_sensitive: tuple[
     if not detailed:
         df = df.where(~F.col("family").startswith("n") & ~F.col("family").endswith("a") & ~F.col("family").endswith("B"))
     e = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
-    unit = lambda i: F.concat_ws("|", F.upper("pdbid"), e("model"), e(f"chain{i}"), e(f"res{i}"), e(f"nr{i}"), F.lit(""), e(f"alt{i}"), e(f"ins{i}"))
+    copy = lambda i: F.when(e(f"symmetry_operation{i}") != "", e(f"symmetry_operation{i}"))  # noqa: E731  a ninth part, for copies only
+    unit = lambda i: F.concat_ws("|", F.upper("pdbid"), e("model"), e(f"chain{i}"), e(f"res{i}"), e(f"nr{i}"), F.lit(""), e(f"alt{i}"), e(f"ins{i}"), copy(i))
     part = lambda i: F.regexp_extract("family", "^(n?[ctCT])([WHSBwhsb])([WHSBwhsb])(.?)", i)
     plain = F.concat(part(1), F.upper(part(2)), F.upper(part(3)), part(4))
     kind = F.lower(F.concat_ws("-", "family", "res1", "res2"))
@@ -70,7 +73,7 @@ def write_columns(df: DataFrame, path: str, ids: list[str]) -> None:
 
     The frame is sorted once, by ids and then by all other columns, and written with the row
     place; every folder is cut from that copy and carries the place, so columns line up even
-    where ids tie.
+    where ids tie.  The copy goes in the end.
     """
     spark = df.sparkSession
     rest = [c for c in df.columns if c not in ids]
@@ -80,3 +83,4 @@ def write_columns(df: DataFrame, path: str, ids: list[str]) -> None:
     for name, kind in df.dtypes:
         if kind in ("float", "double"):
             numbered.select("row", name).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+    discard(spark, f"{path}/_sorted")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rangeloom.functions.ranges import NumRange, range_sql
 from rangeloom.functions.scalars import circular_mean, wrap180
 from rangeloom.operators import boundaries, compare, dedupe, filters, matching, spatial, stats
+from rangeloom.operators.filters import PairFilter
 from rangeloom.plans import codec
 from rangeloom.plans.catalogue import QUERIES
 from rangeloom.sources import readers, writers
@@ -321,3 +322,132 @@ def test_not_in_follows_sql(spark):
     keys = spark.createDataFrame([(1,), (2,), (None,)], "k int")
     take = lambda rows: sorted((r.k for r in dedupe.not_in(keys, "k", spark.createDataFrame(rows, "m int")).collect()), key=str)
     assert take([(2,), (2,)]) == [1] and take([(None,), (2,)]) == [] and take([]) == [1, 2, None]
+
+
+def test_ranges_in_urls_lose_nothing():
+    import random
+
+    random.seed(4)
+    ends = [1e6, 1e-5, -1e-300, 3.4, 0.1, -0.0, 5e-324, 1.7976931348623157e308] + [random.uniform(-1, 1) * 10 ** random.randint(-30, 30) for _ in range(200)]
+    for x in ends:
+        for r in (NumRange(x, None), NumRange(None, x), NumRange(x, x), NumRange(0, 1e6)):
+            text = codec.range_text(r)
+            assert "e" not in text.lower() and codec.parse_range(text) == r
+    assert codec.parse_range("1e3..2E+4") == NumRange(1000, 20000)
+    assert codec.parse_range("") == codec.parse_range("..") == NumRange()
+    for bad in ("3", "a..b", "1..nan", "1..inf", "1..2..3"):
+        with pytest.raises(ValueError):
+            codec.parse_range(bad)
+    f = PairFilter({"x": NumRange(0, 1e6), "hb_0_length": NumRange(1e-05, None)})
+    assert codec.parse_url(codec.to_url("cWW-G-C", f)) == ("cWW-G-C", f, "")
+    with pytest.raises(ValueError):
+        codec.parse_url("cWW-G-C/range_x=5")
+
+
+def test_old_links():
+    assert codec.parse_url("cWW-G-C/f=nfD")[1:] == (PairFilter(kind="DNA"), "fr3d-nf")
+    assert codec.parse_url("cWW-G-C/f=R")[1:] == (PairFilter(kind="RNA"), "fr3d")
+    assert codec.parse_url("cWW-G-C/ds=fr3d-nR&f=f")[1:] == (PairFilter(kind="RNA"), "fr3d-n")
+
+
+def test_one_filter_has_one_meaning(spark):
+    df = spark.createDataFrame([(float(x),) for x in (-100, -99.95, -99.9, 0, 99.9, 100, 100.05)] + [(None,)], "x double")
+    for r in (NumRange(-99.95, 100), NumRange(-100, 99.95), NumRange(-100, 100), NumRange(-50, 100), NumRange(100, -100)):
+        f = PairFilter({"x": r})
+        assert df.where(f.condition()).collect() == df.where(" and ".join(f.sql_conditions())).collect()
+
+
+def test_csv_header_decides(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("pdbid,model,res1,chain1,nr1,note\n1ABC,1,G,A,7,seen\n")
+    row = readers.read_pair_csv(spark, str(tmp_path / "h.csv")).first()
+    assert (row.pdbid, row.model, row.res1, row.chain1, row.nr1, row.note) == ("1abc", 1, "G", "A", 7, "seen")
+
+
+def test_annotated_files_of_unequal_length():
+    pair = "1 2 A U c A.A1 A.U2 A-U cWW"
+    assert len(readers.annotated_pairs(pair, "A-U 1 2")) == 1
+    with pytest.raises(ValueError):
+        readers.annotated_pairs(pair + "\n" + pair, "A-U 1 2")
+
+
+def test_annotated_ids():
+    assert readers.annotated_id("A.DG12") == ("A", "DG", 12, "")
+    assert readers.annotated_id("A.2MG/5") == ("A", "2MG", 5, "")
+    assert readers.annotated_id("B.5MC/-3^C") == ("B", "5MC", -3, "C")
+    assert readers.annotated_id("B.G-3") == ("B", "G", -3, "")
+    for bad in ("G12", "A.", "A.G", "A./12", "A.G/x"):
+        with pytest.raises(ValueError):
+            readers.annotated_id(bad)
+    assert [readers.parent_base(x) for x in ("dg", "D", "2MG", "A", "D5MC")] == ["G", "D", "G", "A", "C"]
+
+
+def test_residue_list_with_long_codes(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("1abc_A_G.AB_5\n1ABC_B_U_-7.CD\n")
+    rows = [(r.pdbid, r.chain, r.base, r.nr, r.ins, r.alt) for r in readers.read_residue_list(spark, str(tmp_path / "r.txt")).orderBy("chain").collect()]
+    assert rows == [("1abc", "A", "G", 5, None, "AB"), ("1abc", "B", "U", -7, "CD", None)]
+
+
+def test_symmetry_operation_survives_basepair_text(spark, tmp_path):
+    df = spark.createDataFrame([("1abc", 1, "cWW", "A", "G", 1, None, None, "2_655", "B", "C", 2, None, None, None)], "pdbid string, model int, family string, chain1 string, res1 string, nr1 int, alt1 string, ins1 string, symmetry_operation1 string, chain2 string, res2 string, nr2 int, alt2 string, ins2 string, symmetry_operation2 string")
+    writers.basepair_lines(df, once=True).select(F.concat("value", F.lit("\t0"))).write.text(str(tmp_path / "out"))
+    row = readers.read_basepairs(spark, str(tmp_path / "out")).first()
+    assert (row.symmetry_operation1, row.symmetry_operation2) == ("2_655", None)
+
+
+def test_columnar_csv_leaves_no_copy(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, x double")
+    writers.write_columns(df, str(tmp_path / "c"), ["id"])
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["id", "x"]
+
+
+def test_only_a_missing_boundary_source_is_passed_over(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("family,bases,x_min\ncWW,A-U,1\nCWW,a-u,2\n")
+    got = readers.read_boundaries(spark, str(tmp_path / "none.csv"), str(tmp_path / "b.csv")).collect()
+    assert [r.x_min for r in got] == [1]
+    with pytest.raises(FileNotFoundError):
+        readers.read_boundaries(spark, str(tmp_path / "none.csv"))
+
+
+@pytest.fixture
+def classes(spark, tmp_path):
+    from rangeloom.plans.catalog import Catalog
+
+    put = lambda name, *rows: spark.createDataFrame(list(rows), "cls string, x double, accepted boolean").write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("cWW-G-C", ("cWW-G-C", 1.0, True), ("cWW-G-C", 9.0, True))
+    put("cWW-G-C-filtered", ("cWW-G-C", 1.0, True))
+    put("ncWW-G-C", ("ncWW", 2.0, True), ("ncWW", 3.0, False))
+    put("cWW-G-C-allcontacts", ("all", 4.0, True), ("all", 8.0, True))
+    put("cWW-G-C-filtered-allcontacts", ("all", 4.0, True), ("all", 7.0, True))
+    put("cWW-A-U", ("cWW-A-U", 5.0, True))
+    return Catalog(spark, str(tmp_path), "cWW-G-C", boundaries=lambda df: df.where("x < 6"))
+
+
+def test_catalog_leaves_literals_alone(classes):
+    assert classes.sql("select count(*) from `cWW-G-C` where cls = 'cWW-G-C'").first()[0] == 2
+    assert classes.sql("""with selectedpair_f as (select 5.0 as x) select x from selectedpair_f""").first()[0] == 5
+    assert classes.names("select 1 from a join (select * from b where x in (select x from `c-d`)) where 'from e' <> y") and set(classes.names("with w as (select * from f) select * from w, g")) >= {"f", "g"}
+    assert classes.sql("""select x from "cWW-G-C" where x in (select x from selectedpair_f)""").collect()[0][0] == 1.0
+
+
+def test_catalog_sources_wildcards_and_views(classes):
+    from rangeloom.plans.catalog import SOURCES
+
+    count = {s: sorted(r.x for r in classes.source(s).collect()) for s in SOURCES}
+    assert count == {
+        "fr3d": [1, 9], "fr3d-f": [1], "fr3d-n": [1, 2, 3, 9], "fr3d-nf": [1, 2], "allcontacts": [4, 8], "allcontacts-f": [4, 7],
+        "allcontacts-boundaries": [4], "allcontacts-boundaries-f": [4],
+    }
+    assert sorted(r.class_name for r in classes.sql("select distinct class_name from `cWW-*`").collect()) == ["cWW-A-U", "cWW-G-C"]
+    assert classes.sql("select * from `cWW-A-U,cWW-G-C,cWW-A-U`").count() == 3
+    classes.define("fine", "select * from selectedpair where x < 6")
+    classes.define("finer", "select * from fine where accepted")
+    assert classes.sql("select * from finer").count() == 1
+    classes.define("a", "select * from b")
+    classes.define("b", "select * from a")
+    with pytest.raises(ValueError, match="cycle"):
+        classes.sql("select * from a")
+    for bad in ("cWW-G-G,", "no such,cWW-A-U"):
+        with pytest.raises(Exception):
+            classes.sql(f"select * from `{bad}`").collect()
+    with pytest.raises(ValueError):
+        classes.source("none")
