@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rangeloom.functions.lineage import cut
+from rangeloom.operators.exemplars import Variant, rmsd_variants
 
 Vector = list[Column]
 
@@ -316,40 +317,18 @@ def kabsch(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rot, cb - ca @ rot
 
 
-def mean_distance(pdf: pd.DataFrame, atom: str, exemplar: dict, xyz: tuple[str, str, str]) -> float | None:
-    """Mean distance of a group's atoms to the exemplar's after the best fit; None below three common atoms."""
-    rows = pdf.drop_duplicates(atom).set_index(atom)[list(xyz)].dropna()
-    common = [n for n in sorted(exemplar) if n in rows.index]
-    if len(common) < 3:
-        return None
-    a, b = rows.loc[common].to_numpy(float), np.array([exemplar[n] for n in common], float)
-    rot, shift = kabsch(a, b)
-    return float(np.linalg.norm(a @ rot + shift - b, axis=1).mean())
-
-
-def rmsd_to_exemplar(df: DataFrame, key: str, atom: str, exemplar: dict, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
-    """(key, rmsd): mean distance of each group's atoms to the exemplar's after the best fit.
-
-    ``exemplar`` maps atom names to coordinates; atoms that one side lacks are left out and
-    fewer than three common ones give null.  The column is a mean of distances, as named.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "rmsd": [mean_distance(pdf, atom, exemplar, xyz)]})
-
-    return df.groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, rmsd double")
-
-
 def rmsd_by_class(df: DataFrame, key: str, label: str, atom: str, exemplars: dict[str, dict], xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """(key, label, rmsd) to the exemplar of each group's own class; a class without one gives null.
 
-    The exemplars are one small structure a class and travel with the kernel; a group is
-    one pair's atoms.
+    Atoms that one side lacks are left out and fewer than three common ones give null.  The
+    column is a mean of distances, as named.
     """
+    rows = [(n, a, *map(float, p)) for n, e in exemplars.items() for a, p in e.items()]
+    told = df.sparkSession.createDataFrame(rows, f"{label} {dict(df.dtypes)[label]}, {atom} string, " + ", ".join(f"{c} double" for c in xyz))
+    got = rmsd_variants(df, [key], label, told, [Variant("fit")], atom=[atom], xyz=xyz)
+    return got.withColumnRenamed("rmsd_fit", "rmsd")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        exemplar = exemplars.get(pdf[label].iloc[0], {})
-        return pd.DataFrame({key: [pdf[key].iloc[0]], label: [pdf[label].iloc[0]], "rmsd": [mean_distance(pdf, atom, exemplar, xyz)]})
 
-    kind = dict(df.dtypes)
-    return df.groupBy(key, label).applyInPandas(one, f"{key} {kind[key]}, {label} {kind[label]}, rmsd double")
+def rmsd_to_exemplar(df: DataFrame, key: str, atom: str, exemplar: dict, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
+    """(key, rmsd): mean distance of each group's atoms to the exemplar's after the best fit, as ``rmsd_by_class``."""
+    return rmsd_by_class(df.withColumn("_class", F.lit("all")), key, "_class", atom, {"all": exemplar}, xyz).drop("_class")

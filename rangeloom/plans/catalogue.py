@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.functions import scalars
 from rangeloom.functions.ranges import NumRange
-from rangeloom.operators import boundaries, compare, dedupe, filters, matching, panels, spatial, stats
+from rangeloom.operators import boundaries, classes, compare, constraints, dedupe, exemplars, filters, matching, panels, spatial, stats, variants
 from rangeloom.plans import codec
 
 OBS = """select l_orderkey as pid, l_partkey as k1, l_suppkey as k2, l_linenumber as k3, l_returnflag as family, l_linestatus as variant,
@@ -897,3 +897,120 @@ def bond_geometry(spark, d):
     a, b, c, f = ([e[3 * n + i].cast("double") for i in range(3)] for n in range(4))
     got = spatial.bond_params(a, b, c, f, [F.lit(0.0), F.lit(0.0), F.lit(1.0)], [F.lit(1.0), F.lit(0.0), F.lit(0.0)])
     return t(spark, d, "embeddings").select("vec_id", *[F.round(c, 4 if n == "length" else 3).alias(n) for n, c in got.items()])
+
+
+# --- constraints, variants, classes ----------------------------------------------------------
+
+RULES = [
+    constraints.Constraint("bond_is_short", "hb_0 <= 45", "drop"),
+    constraints.Constraint("bond_is_no_overlap", "hb_1 >= 1", "drop"),
+    constraints.Constraint("angle_is_one", "angle between -180 and 180", "fail"),
+    constraints.Constraint("third_bond_is_there", "hb_2 is not null"),
+    constraints.Constraint("third_bond_is_short", "hb_2 <= 6", null_is_fine=True),
+]
+
+
+def sql_list(xs) -> str:
+    """A list of texts as SQL."""
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+@query(f"""select unnest({sql_list(c.name for c in RULES)}) as name, unnest({sql_list(c.policy for c in RULES)}) as policy, unnest([a, b, c, d, e]) as violations, n as rows from (select count(*) as n, count(*) filter (not coalesce(hb_0 <= 45, false)) as a,
+  count(*) filter (not coalesce(hb_1 >= 1, false)) as b, count(*) filter (not coalesce(angle between -180 and 180, false)) as c, count(*) filter (hb_2 is null) as d, count(*) filter (hb_2 > 6) as e from obs)""")
+def constraint_report(spark, d):
+    """Violations of each declared constraint."""
+    return constraints.report(obs(spark, d), RULES)
+
+
+@query("select pid, k1, k2, k3, hb_0, hb_1 from obs where hb_0 <= 45 and hb_1 >= 1")
+def constraint_drops(spark, d):
+    """What the constraints leave of the rows."""
+    return constraints.checked(obs(spark, d), RULES).select(*ROW, "hb_0", "hb_1")
+
+
+ATOM_NAMES = ["N1", "C2", "H1", "P", "O4", "C1'", "N9"]
+
+
+def pick(xs, i):
+    """The i-th of a list, from 0."""
+    return F.element_at(F.array(*map(F.lit, xs)), i.cast("int") + 1)
+
+
+@query(f"""with r as (select l_orderkey % 1000 as residue, list_extract({sql_list(ATOM_NAMES)}, l_linenumber) as atom, case when l_orderkey % 5 = 0 then '' else list_extract(['', 'A', 'B', 'C'], cast(l_suppkey % 4 as int) + 1) end as alt,
+    l_partkey * 1000 + l_suppkey as serial, l_discount as x, l_tax as y, round(l_discount + l_tax, 2) as z from lineitem),
+  a as (select * from r qualify row_number() over (partition by residue, atom, alt order by serial, x, y, z) = 1),
+  b as (select *, row_number() over own as at1, count(*) over whole as many, count(*) filter (alt <> '') over whole as named from a window own as (partition by residue, atom order by serial, alt), whole as (partition by residue, atom)),
+  g as (select f.residue, f.atom, abs(f.x - s.x) <= 0.05 + 1e-5 * abs(s.x) and abs(f.y - s.y) <= 0.05 + 1e-5 * abs(s.y) and abs(f.z - s.z) <= 0.05 + 1e-5 * abs(s.z) as agree from b f join b s on f.residue = s.residue and f.atom = s.atom and f.at1 = 1 and s.at1 = 2),
+  n as (select distinct residue, alt as variant from a where alt <> ''),
+  v as (select * from n union all select distinct residue, '' from a where residue not in (select residue from n)),
+  c as (select b.*, variant, case when variant = '' then case when many = 1 or (at1 = 1 and (atom[1] = 'H' or atom in ('P', 'C1''') or coalesce(agree, false))) then 0 end when alt = variant then 0 when named = 0 then 1 end as rank from b join v using (residue) left join g using (residue, atom)),
+  d as (select * from c qualify row_number() over (partition by residue, variant, atom order by rank nulls last, serial, alt) = 1)
+  select residue, variant, atom, case when rank is not null then alt end as chosen, case when rank is not null then x end as x, case when rank is not null then y end as y, case when rank is not null then z end as z from d""")
+def alternative_locations(spark, d):
+    """One location of every atom for every variant of its residue."""
+    c = F.col
+    atoms = t(spark, d, "lineitem").select(
+        (c("l_orderkey") % 1000).alias("residue"), pick(ATOM_NAMES, c("l_linenumber") - 1).alias("atom"), F.when(c("l_orderkey") % 5 == 0, "").otherwise(pick(["", "A", "B", "C"], c("l_suppkey") % 4)).alias("alt"),
+        (c("l_partkey") * 1000 + c("l_suppkey")).alias("serial"), c("l_discount").alias("x"), c("l_tax").alias("y"), F.round(c("l_discount") + c("l_tax"), 2).alias("z"),
+    )
+    return variants.resolve_variants(atoms, ["residue"])
+
+
+KINDS = ["cWW", "cWS", "cSW", "tHS", "cWH"]
+SEEN = ["cWW", "cWS", "cSW", "cHW", "ncWW", "cSs", "csS", "tHS", "nTSH"]
+ATOMS1, ATOMS2 = ["N1", "C2", "O2'", "N6", "O6"], ["O4", "N3", "C5", "O2'"]
+PLAIN_BOND = "(atom1[1] <> 'C' and atom2[1] <> 'C')"
+GOOD_BOND = PLAIN_BOND[:-1] + " and not ends_with(atom1, '''') and not ends_with(atom2, ''''))"
+BASE_PLACE = "list_position(['A', 'G', 'C', 'U', 'T'], {0})".format
+CLASS_SQL = f"""with d as (select distinct list_extract({sql_list(KINDS)}, cast(p_partkey % 5 as int) + 1) as family, list_extract(['A', 'G', 'C', 'U'], cast(p_partkey // 5 % 4 as int) + 1) as base1, list_extract(['A', 'G', 'C', 'U'], cast(p_size % 3 as int) + 1) as base2,
+    list_extract({sql_list(ATOMS1)}, cast(p_partkey // 20 % 5 as int) + 1) as atom1, list_extract({sql_list(ATOMS2)}, cast(p_size // 3 % 4 as int) + 1) as atom2 from part where p_size <= 12),
+  s as (select list_extract({sql_list(SEEN)}, cast((l_quantity + l_linenumber) % 9 as int) + 1) as family, list_extract(['A', 'G', 'C', 'U', 'T', 'N'], cast(l_partkey % 6 as int) + 1) as base1, list_extract(['A', 'G', 'C', 'U'], cast(l_suppkey % 4 as int) + 1) as base2, l_linestatus = 'F' as rna from lineitem),
+  c as (select family, base1, base2, count(*) as count, bool_or(rna) as rna, regexp_replace(family, '^n', '') as bare from s group by 1, 2, 3),
+  w as (select *, left(family, strlen(family) - strlen(bare)) || bare[1] || bare[3] || bare[2] as swap from c)"""
+
+
+def bond_definitions(spark, d):
+    c = F.col
+    p = t(spark, d, "part").where("p_size <= 12")
+    return p.select(
+        pick(KINDS, c("p_partkey") % 5).alias("family"), pick("AGCU", F.floor(c("p_partkey") / 5) % 4).alias("base1"), pick("AGCU", c("p_size") % 3).alias("base2"), F.lit(0).alias("place"),
+        pick(ATOMS1, F.floor(c("p_partkey") / 20) % 5).alias("atom1"), pick(ATOMS2, F.floor(c("p_size") / 3) % 4).alias("atom2"),
+    ).distinct()
+
+
+def seen_pairs(spark, d):
+    c = F.col
+    return t(spark, d, "lineitem").select(pick(SEEN, (c("l_quantity") + c("l_linenumber")) % 9).alias("family"), pick("AGCUTN", c("l_partkey") % 6).alias("base1"), pick("AGCU", c("l_suppkey") % 4).alias("base2"), (c("l_linestatus") == "F").alias("rna"))
+
+
+@query(CLASS_SQL + f""",
+  e as (select w.*, exists (select 1 from c x where lower(x.family) = lower(w.swap) and x.base1 = w.base2 and x.base2 = w.base1) as there,
+    exists (select 1 from d where d.family = w.family and d.base1 = w.base1 and d.base2 = w.base2) and exists (select 1 from d where d.family = w.swap and d.base1 = w.base2 and d.base2 = w.base1) as own,
+    case when w.bare[2] = w.bare[3] then {BASE_PLACE('w.base1')} <= {BASE_PLACE('w.base2')} else lower(left(w.bare, 3)) in ('cww', 'tww', 'cwh', 'twh', 'cws', 'tws', 'chh', 'thh', 'chs', 'ths', 'css', 'tss', 'cwb') end as good from w)
+  select family, base1, base2, count, round(count / (select sum(count) from c), 6) as share from e where base1 <> 'N' and not (there and not good and not own) and not (bare[2] <> upper(bare[2]) and bare[3] = upper(bare[2]))""")
+def discovered_classes(spark, d):
+    """The classes that the pairs have, redundant readings left out."""
+    return rounded(classes.discover_classes(seen_pairs(spark, d), bond_definitions(spark, d)), 6)
+
+
+@query(CLASS_SQL + f""", b as (select * from d union all select family[1] || family[3] || family[2], base2, base1, atom2, atom1 from d where not exists (select 1 from d x where x.family = d.family[1] || d.family[3] || d.family[2] and x.base1 = d.base2 and x.base2 = d.base1)),
+  n as (select family, base1, base2, least(count(distinct atom1) filter {GOOD_BOND.replace('(atom1', '(where atom1', 1)}, count(distinct atom2) filter {GOOD_BOND.replace('(atom1', '(where atom1', 1)}) as good,
+    least(count(distinct atom1) filter {PLAIN_BOND.replace('(atom1', '(where atom1', 1)}, count(distinct atom2) filter {PLAIN_BOND.replace('(atom1', '(where atom1', 1)}) as plain from b group by 1, 2, 3)
+  select c.family, c.base1, c.base2, c.rna, cast(case when good is null then null when good >= 2 then 1 when rna and good >= 1 and plain >= 2 then 2 else 3 end as int) as class_number
+  from c left join n on n.family = bare[1] || upper(bare[2:3]) and n.base1 = c.base1 and n.base2 = c.base2""")
+def class_numbers_from_bonds(spark, d):
+    """Class numbers from the table of bonds."""
+    seen = seen_pairs(spark, d).groupBy("family", "base1", "base2").agg(F.bool_or("rna").alias("rna"))
+    return classes.class_numbers(seen, bond_definitions(spark, d))
+
+
+@query()
+def rmsd_six_variants(spark, d):
+    """Pairs of bases held against the nicest pair of their class, fitted in six ways."""
+    names, e = ["C1'", "N1", "C2", "C6", "N3", "O2"], F.col("embedding")
+    side = lambda n: F.array(*[F.struct(F.lit(n + 1).alias("side"), F.lit(a).alias("atom"), *[e[18 * n + 3 * i + k].cast("double").alias(x) for k, x in enumerate("xyz")]) for i, a in enumerate(names)])
+    pairs = t(spark, d, "embeddings").select("vec_id", F.col("label").alias("class"), e[63].alias("score"), F.explode(F.concat(side(0), side(1))).alias("p"))
+    whole = pairs.select("vec_id", "class", "score", "p.*").withColumns({"res": F.lit("U"), "edge": F.col("atom").isin("C2", "N3", "O2"), "base": F.col("atom") != "C1'"})
+    nicest = stats.nicest_rows(whole.select("vec_id", "class", "score").distinct().withColumn("fine", F.lit(True)), ["class"], F.col("score"), "fine", ["vec_id"])
+    told = exemplars.exemplar_atoms(whole, nicest, ["vec_id"], "class")
+    return exemplars.rmsd_variants(whole, ["vec_id"], "class", told, exemplars.base_variants(), more=["res", "edge", "base"])
