@@ -1,8 +1,11 @@
 """Divergence of sources within a language, by sort-based streaming over term occurrences.
 
 Occurrences, one row per document and term, are partitioned by term and sorted by (lang, term,
-source, document); a task's rows leave it in that order, so the sort is a merge of runs.  Scanning
-the runs gives every (lang, term, source) its document frequency and count.  A term that fills
+source, document); a task's rows leave it in that order, so the sort is a merge of runs.  Before they
+leave, a task adds up what it has of a (lang, term, source): its count goes with its first document, and of
+the other documents only as many rows remain as decide whether a term is kept.  Scanning
+the runs gives every (lang, term, source) its count and its document frequency, exact up to that
+many documents.  A term that fills
 more than a part of a partition is dealt over several by its documents' hash, so the scan yields partial
 rows, summed afterwards; which terms these are is read off a sample and changes no result.  A
 second scan, over the sorted counts, yields per run of a term the partial sums of all pairs of its sources.
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ SALTS = 16
 SAMPLE = 0.01
 HOT_PART = 0.25
 PIECE_BYTES = 4_000_000
+#: Terms of a (lang, source) that a task holds before it lets their rows go; they take about 300 bytes each.
+HELD_TERMS = 500_000
 #: Pairs of rows that the second scan holds at once, and partial sums a task keeps before it yields them.
 PAIRS_AT_ONCE = 1 << 20
 HELD_SUMS = 1 << 20
@@ -55,10 +60,52 @@ def terms(data: bytes) -> Counter:
     return Counter(data.translate(TERM_BYTES).split())
 
 
-def occurrences(df: DataFrame, text: str, lang: str, source: str, key: str, spread: dict[tuple[str, str], int] | None = None) -> DataFrame:
-    """lang, term, source, document, n and salt: one row per document and term.
-
-    The salt is 0, or for a (lang, term) in ``spread`` one of that many, by the document's hash.
+class Held:
+    """What a task has added up: per (lang, source) each term's count and its first documents, at most ``least``."""
+
+    def __init__(self, least: int):
+        self.least = least
+        self.groups: dict[tuple[str, str], dict[bytes, list]] = {}
+        self.size = 0
+
+    def add(self, lang: str, source: str, document: int, found: Counter) -> None:
+        """The terms of one document, which goes by its place among the documents that are held."""
+        group = self.groups.setdefault((lang, source), {})
+        before, most = len(group), self.least + 1
+        for term, n in found.items():
+            entry = group.get(term)
+            if entry is None:
+                group[term] = [n, document]
+            else:
+                entry[0] += n
+                if len(entry) < most and document not in entry[1:]:
+                    entry.append(document)
+        self.size += len(group) - before
+
+    def rows(self, documents: pa.Array, hashes: np.ndarray, salts: Callable) -> pa.RecordBatch:
+        """(lang, term, source, document, n, salt) in order; a term's count is in the row of its first document."""
+        columns: list[list] = [[], [], [], [], []]
+        for (lang, source), group in ((k, g) for k, g in self.groups.items() if g):
+            sizes = [len(e) - 1 for e in group.values()]
+            at = np.repeat(np.arange(len(group)), sizes)
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            n = np.zeros(len(at), np.int64)
+            n[first] = [e[0] for e in group.values()]
+            term = pa.array(group, pa.binary()).cast(pa.string()).take(pa.array(at))
+            place = np.fromiter((d for e in group.values() for d in e[1:]), np.int64, len(at))
+            for column, part in zip(columns, (pa.array([lang], pa.string()).take(pa.array(np.zeros(len(at), np.int64))), term, pa.array([source], pa.string()).take(pa.array(np.zeros(len(at), np.int64))), pa.array(place), pa.array(n)), strict=True):
+                column.append(part)
+        lang, term, source, place, n = (pa.concat_arrays(c) for c in columns)
+        salt = salts(lang, term, hashes[place.to_numpy()])
+        rows = pa.RecordBatch.from_arrays([lang, term, source, documents.take(place), n, pa.array(salt, pa.int32())], names=["lang", "term", "source", "document", "n", "salt"])
+        return rows.take(pc.sort_indices(rows, sort_keys=[("lang", "ascending"), ("term", "ascending"), ("source", "ascending")]))
+
+
+def occurrences(df: DataFrame, text: str, lang: str, source: str, key: str, least: int, spread: dict[tuple[str, str], int] | None = None) -> DataFrame:
+    """lang, term, source, document, n and salt: rows per document and term, added up in their task (see ``Held``).
+
+    The salt is 0, or for a (lang, term) in ``spread`` one of that many, by the document's hash, so
+    rows of one document meet wherever they come from.
     """
     kind = df.schema[key].dataType.simpleString()
     schema = f"lang string, term string, source string, document {kind}, n long, salt int"
@@ -73,16 +120,24 @@ def occurrences(df: DataFrame, text: str, lang: str, source: str, key: str, spre
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, documents, hashes, number, read = Held(least), [], [], {}, 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if held.size:
+                whole = held.rows(pa.concat_arrays(documents), np.concatenate(hashes), salts)
+                yield from (whole.slice(i, 50_000) for i in range(0, whole.num_rows, 50_000))
+
         for part in pieces(batches, "t", PIECE_BYTES):
-            found = [terms(t) for t in part.column("t").to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            owner = pa.array(at)
-            term = pa.array([t for f in found for t in f], pa.binary()).cast(pa.string())
-            n = pa.array([x for f in found for x in f.values()], pa.int64())
-            lang = part.column("l").take(owner)
-            salt = pa.array(salts(lang, term, part.column("h").to_numpy(zero_copy_only=False)[at]), pa.int32())
-            rows = pa.RecordBatch.from_arrays([lang, term, part.column("s").take(owner), part.column("k").take(owner), n, salt], names=["lang", "term", "source", "document", "n", "salt"])
-            yield rows.take(pc.sort_indices(rows, sort_keys=[("lang", "ascending"), ("term", "ascending"), ("source", "ascending")]))  # runs compress well
+            documents.append(part.column("k"))
+            hashes.append(part.column("h").to_numpy(zero_copy_only=False))
+            for l, s, k, t in zip(*(part.column(c).to_pylist() for c in "lskt"), strict=True):
+                # A key that comes again is the same document of its group, under its first row's place.
+                held.add(l, s, number.setdefault((l, s, k), read), terms(t))
+                read += 1
+            if held.size > HELD_TERMS:
+                yield from rows()
+                held, documents, hashes, number, read = Held(least), [], [], {}, 0
+        yield from rows()
 
     whole = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in (lang, source)]
     picked = [whole[0].alias("l"), whole[1].alias("s"), F.col(f"`{key}`").alias("k"), F.xxhash64(f"`{key}`").alias("h"), blob(text).alias("t")]
@@ -253,8 +308,8 @@ class Audit:
         self.spark = df.sparkSession
         folder = f"{shared_folder(self.spark)}/divergence-{uuid.uuid4().hex}"
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        spread = frequent_terms(occurrences(df.sample(SAMPLE, seed=7), text, lang, source, key).select("lang", "term"), partitions)
-        dealt = occurrences(df, text, lang, source, key, spread).repartition("lang", "term", "salt").drop("salt")
+        spread = frequent_terms(occurrences(df.sample(SAMPLE, seed=7), text, lang, source, key, least).select("lang", "term"), partitions)
+        dealt = occurrences(df, text, lang, source, key, least, spread).repartition("lang", "term", "salt").drop("salt")
         runs = dealt.sortWithinPartitions(*KEYS, "document")
         partial = runs.mapInArrow(scan_counts, "lang string, term string, source string, df long, n long")
         counts = partial.repartition("lang", "term").groupBy(*KEYS).agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
