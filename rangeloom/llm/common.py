@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -138,3 +139,13 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate results, in whatever store it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files and checkpoints that nothing refers to any more.
+
+    The cleaner acts when the driver's JVM collects garbage, which an idle driver may not do for long;
+    between the phases of one job that is disk held for nothing.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

@@ -259,7 +259,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
 
 #: SimHashes over distinct words per text.
-PRINTS = 2
+PRINTS = 3
 
 
 def text_hash(text: str) -> Column:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import cut, pieces
+from rangeloom.llm.common import cut, pieces, release
 from rangeloom.llm.components import components
 from rangeloom.llm.grid import SEGMENTS, Groups, grid_points, segment_counts
 
@@ -378,13 +378,16 @@ def verified_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
     ``owner`` names one row (k, h) that has the node; ``texts`` are (k, h, t).
     """
+    spark = nodes.sparkSession
     found = cut(near_nodes(nodes))
+    release(spark)  # the grid join's shuffle, the largest of all, is done with
     own = nodes.join(found, F.col("node") == F.col("_n"), "left_semi").select("node", F.col("owner.k").alias("_k"), F.col("owner.h").alias("_h"), (F.col("_rows") == 1).alias("single"))
     own = cut(own)
     own = F.broadcast(own) if own.count() <= FEW else own
     read = texts.join(own, F.col("k").eqNullSafe(F.col("_k")) & (F.col("h") == F.col("_h")))
     # Only a node of several rows can have its owner twice; texts of the others need no shuffle.
     sets = cut(shingle_sets(read.where("single")).unionByName(shingle_sets(read.where("not single").dropDuplicates(["node"]))))
+    release(spark)
     last = frequent(sets)
     rows = prefix_rows(sets.withColumn("label", F.col("node")), last, dense=False)
     links = None
@@ -392,6 +395,7 @@ def verified_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         met = cut(meet(rows, most))
         new = cut(verify(met.where("a < b"), sets, bounded=most != ROUNDS[0]))
         links = new if links is None else links.unionByName(new)
+        release(spark)
         off = met.where("a = b").select(F.col("a").alias("_off"))
         if off.isEmpty():
             break
