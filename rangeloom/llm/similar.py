@@ -238,8 +238,8 @@ def prefix_rows(sets: DataFrame, last: np.ndarray, dense: bool) -> DataFrame:
 
 
 def meet(rows: DataFrame, most: int) -> DataFrame:
-    """Distinct candidates (a, b), a < b, of prefix rows with different labels; a set with
-    candidates that were put off comes as (a, a).
+    """Distinct candidates (a, b), a < b, of prefix rows with different labels; a group
+    with candidates that were put off comes as (token, token).
 
     A set takes the first ``most`` of its candidates among the sets before it in a group.
     """
@@ -276,7 +276,7 @@ def meet(rows: DataFrame, most: int) -> DataFrame:
             for pivot in range(start, start + PIVOTS):
                 hold(np.full(start + size - pivot - 1, pivot), np.arange(pivot + 1, start + size))
             if (label[start : start + size] != label[start]).any():
-                off.append(node[start : start + size])
+                off.append(token[start : start + 1])
         if not left:
             return [np.zeros(0, np.int64)] * 2, off
         a, b = np.concatenate(left), np.concatenate(right)
@@ -284,7 +284,7 @@ def meet(rows: DataFrame, most: int) -> DataFrame:
         a, b = a[order], b[order]
         fresh = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
         kept = np.arange(len(b)) - np.repeat(fresh, np.diff(np.append(fresh, len(b)))) < most
-        off += [node[a[~kept]], node[b[~kept]]]
+        off.append(token[b[~kept]])
         return [node[a[kept]], node[b[kept]]], off
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,8 +304,8 @@ def meet(rows: DataFrame, most: int) -> DataFrame:
             token, node, n, raw, label = (c[some] for c in cols)
             (a, b), off = take(token, node, n, raw.tolist(), label)
             pairs.update(zip(a.tolist(), b.tolist(), strict=True))
-            for nodes in off:
-                pairs.update((x, x) for x in np.unique(nodes).tolist())
+            for tokens in off:
+                pairs.update((x, x) for x in np.unique(tokens).tolist())
 
         for batch in batches:
             for cols in groups.add([c.to_numpy(zero_copy_only=False) for c in batch.columns]):
@@ -399,11 +399,13 @@ def verified_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         off = met.where("a = b").select(F.col("a").alias("_off"))
         if off.isEmpty():
             break
+        # Every pair that was put off stands in such a group; its sets alone are looked at again, and there alone.
+        held = rows.join(off, F.col("token") == F.col("_off"), "left_semi").select(F.col("node").alias("_held")).distinct()
         home = components(links)
         links = home.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u != v")
         home = home.withColumnRenamed("node", "_node")
-        again = sets.join(off, F.col("node") == F.col("_off"), "left_semi").join(home, F.col("node") == F.col("_node"), "left")
-        again = prefix_rows(again.withColumn("label", F.coalesce("component", "node")), last, dense=True)
+        again = sets.join(held, F.col("node") == F.col("_held"), "left_semi").join(home, F.col("node") == F.col("_node"), "left")
+        again = prefix_rows(again.withColumn("label", F.coalesce("component", "node")), last, dense=True).join(off, F.col("token") == F.col("_off"), "left_semi")
         # A group whose sets are all in one component is settled.
         open_ = again.groupBy(F.col("token").alias("_t")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("_t")
         rows = cut(again.join(open_, F.col("token") == F.col("_t"), "left_semi"))
