@@ -372,6 +372,20 @@ def verify(pairs: DataFrame, sets: DataFrame, bounded: bool) -> DataFrame:
     return attach(left, "tokens").select("a", "b", "x", "y").mapInArrow(exact, "u long, v long")
 
 
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` materialised by partitions of ``key``, so that joins on it leave its rows where they are.
+
+    A checkpoint remembers how its rows are dealt, but not if its plan is an adaptive one.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        conf.set(name, before)
+
+
 def verified_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (u, v) of similarity 0.8 or more between the nodes (node, prints, owner, _rows) that have a
     SimHash neighbour, by which they are connected exactly when all such pairs connect them.
@@ -386,7 +400,7 @@ def verified_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     own = F.broadcast(own) if own.count() <= FEW else own
     read = texts.join(own, F.col("k").eqNullSafe(F.col("_k")) & (F.col("h") == F.col("_h")))
     # Only a node of several rows can have its owner twice; texts of the others need no shuffle.
-    sets = cut(shingle_sets(read.where("single")).unionByName(shingle_sets(read.where("not single").dropDuplicates(["node"]))))
+    sets = placed(shingle_sets(read.where("single")).unionByName(shingle_sets(read.where("not single").dropDuplicates(["node"]))), "node")
     release(spark)
     last = frequent(sets)
     rows = prefix_rows(sets.withColumn("label", F.col("node")), last, dense=False)

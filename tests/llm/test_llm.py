@@ -739,3 +739,15 @@ def test_every_query_returns_a_row_per_input(spark, data, name):
     if name not in ("op3_token_counts", "op11_packing", "op13_divergence"):  # these have rows of their own kind
         table_ = {"op1_urls": "pages", "op5_extract": "pages", "op12_vector_codes": "embeddings"}.get(name, "documents")
         assert out.count() == spark.read.parquet(f"{data}/{table_}.parquet").count()
+
+
+def test_placed_rows_stay_where_they_are(spark):
+    from rangeloom.llm import similar
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    sets = similar.placed(spark.range(500).select((F.col("id") * 3).alias("node"), F.col("id").alias("tokens")), "node")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+    pairs = spark.range(500).select((F.col("id") * 6).alias("b"))
+    joined = pairs.hint("merge").join(sets, F.col("b") == F.col("node"))
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert joined.count() == 250
